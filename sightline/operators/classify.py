@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import keywords as K
 from sightline.functions.types import measure, quoted
-from sightline.operators.profile import column_profile, melt, semantic_types
+from sightline.operators.profile import column_profile, distinct_key, melt, semantic_types
 from sightline.plans.ordering import numbered
 from sightline.plans.shared import BROADCAST_ROWS
 
@@ -172,7 +172,7 @@ def primary_dimension(
         if measure_name:
             one = category_correlation(df, name, measure_name).withColumnRenamed("correlation", "score")
         else:
-            one = df.agg(F.count_distinct(quoted(name)).cast("double").alias("score")).select(
+            one = df.agg(F.count_distinct(distinct_key(df, name)).cast("double").alias("score")).select(
                 F.lit(name).alias("column_name"), "score"
             )
         one = one.withColumn("position", F.lit(i))
@@ -187,7 +187,7 @@ def cardinalities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     row = df.agg(
         *[
             (
-                F.count_distinct(quoted(c)) + F.coalesce(F.max(quoted(c).isNull().cast("long")), F.lit(0))
+                F.count_distinct(distinct_key(df, c)) + F.coalesce(F.max(quoted(c).isNull().cast("long")), F.lit(0))
             ).alias(f"n_values_{i}")
             for i, c in enumerate(columns)
         ]
