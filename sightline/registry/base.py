@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +38,21 @@ def shown(df: DataFrame, digits: int = 4) -> DataFrame:
             c = c.cast("long")
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
             c = F.round(c.cast("double"), digits)
-        elif isinstance(f.dataType, (T.TimestampType, T.DateType)):
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
+def steady(name: str) -> Column:
+    """Mean at four decimals, rounded off the midpoint.
+
+    Means of a few two-decimal amounts lie exactly between two roundings, where
+    engines differ; the same small shift is in the SQL.
+    """
+    return F.round(F.col(name) + F.lit(3.7e-7), 4).alias(name)
+
+
 def gappy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with two sparse columns and one that is null throughout a status."""
     li = table(spark, sf_dir, "lineitem")

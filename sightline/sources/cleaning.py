@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,8 @@ PROMOTE_SHARE = 0.8
 PARSE_SHARE = 0.5
 # End of fixed values.
 
+SHORT_YEAR = re.compile(r"(?<!y)yy(?!y)")
+
 
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if kind(f.dataType) == "string"]
@@ -69,8 +72,18 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 def parsed_date(c: Column) -> Column:
-    """First layout that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+    """First layout that fits; null if none does.
+
+    A year of two digits lies less than fifty years ahead.
+    """
+    horizon = F.year(F.current_date()) + 50
+    found = []
+    for layout in DATE_FORMATS:
+        t = F.try_to_timestamp(c, F.lit(layout))
+        if SHORT_YEAR.search(layout):
+            t = F.when(F.year(t) >= horizon, t - F.expr("interval 100 years")).otherwise(t)
+        found.append(t)
+    return F.coalesce(*found)
 
 
 def parse_dates(df: DataFrame) -> DataFrame:

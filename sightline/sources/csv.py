@@ -9,7 +9,6 @@ from sightline.functions.types import quoted
 
 FALLBACK_WARNING = "Failed to read with detected encoding. Fell back to latin-1."
 TITLE_WARNING = "Skipped first row (detected as title)"
-REPLACEMENT = "�"
 
 
 def _reader(spark: SparkSession, encoding: str, mode: str, **options):
@@ -48,7 +47,7 @@ def _undecodable(spark: SparkSession, path: str, encoding: str) -> bool:
     if encoding.upper() not in ("UTF-8", "UTF8"):
         return False
     lines = spark.read.text(path)
-    return not lines.where(F.contains("value", F.lit(REPLACEMENT))).isEmpty()
+    return not lines.where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def title_row_skip(
@@ -64,14 +63,15 @@ def title_row_skip(
         .option("encoding", encoding)
         .option("escape", '"')
     )
-    first_lines = plain.csv(path).limit(2).collect()
     df = csv_source(spark, path, encoding, warnings)
+    # Files are read in order of size; the first lines are those of the first name.
+    first_file = min(df.inputFiles())
+    first_lines = plain.csv(first_file).limit(2).collect()
     if len(df.columns) < 2 or len(first_lines) < 2:
         return df
-    first_row = df.limit(1).collect()
-    if not first_row or sum(v is not None for v in first_row[0]) != 1:
+    if sum(v is not None for v in first_lines[1]) != 1:
         return df
-    # Re-read with the row after the title as header.
+    # Re-read with that row as header. Every file of a folder repeats the line above it.
     names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(first_lines[1])]
     raw = plain.csv(path)
     is_title = F.lit(False)
