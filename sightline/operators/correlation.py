@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -9,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.types import measure, quoted
-from sightline.operators.profile import melt
 from sightline.plans.quantiles import quantiles
 from sightline.plans.shared import beside
 
-PAIRS_PER_SCAN = 120
+PAIRS_PER_SCAN = 60
 PIVOT_COLUMNS = 100
 BINS = 20
 
@@ -27,31 +27,68 @@ def adjusted_skewness(c: Column) -> Column:
 def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Pearson correlation of each pair over the rows where both are present.
 
-    A pair whose either side does not vary has none, and must not reach corr,
-    which fails on it.
+    The first scan takes count, mean and variance per column (one driver row per
+    column). The second sums products of centred columns: one plain sum per pair
+    of complete columns, six for a pair with nulls. A pair whose either side does
+    not vary has none.
     """
+    names = sorted({c for pair in pairs for c in pair})
+    place = {c: i for i, c in enumerate(names)}
+    base = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[
+            f(measure(df, c)).alias(f"{label}{i}")
+            for c, i in place.items()
+            for label, f in (("count", F.count), ("mean", F.avg), ("var", F.var_pop))
+        ],
+    ).first()
+    centred = df.select(
+        *[(measure(df, c) - F.lit(base[f"mean{i}"]).cast("double")).alias(f"x{i}") for c, i in place.items()]
+    )
+    total = base["n"]
     out = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        batch = pairs[start : start + PAIRS_PER_SCAN]
-        aggregates = []
-        for i, (a, b) in enumerate(batch):
-            x, y = measure(df, a), measure(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            aggregates += [
-                F.covar_pop(x, y).alias(f"cov_{i}"),
-                F.var_pop(F.when(both, x)).alias(f"vx_{i}"),
-                F.var_pop(F.when(both, y)).alias(f"vy_{i}"),
-            ]
-        names = [f"{i}" for i in range(len(batch))]
-        one = melt(df.agg(*aggregates), names, ["cov", "vx", "vy"]).select(
-            F.element_at(F.array(*[F.lit(a) for a, _ in batch]), F.col("position") + 1).alias("col_a"),
-            F.element_at(F.array(*[F.lit(b) for _, b in batch]), F.col("position") + 1).alias("col_b"),
-            F.when(
-                (F.col("vx") > 0) & (F.col("vy") > 0), F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))
-            ).alias("r"),
-        )
+        sums, rows = [], []
+        for k, (a, b) in enumerate(pairs[start : start + PAIRS_PER_SCAN]):
+            i, j = place[a], place[b]
+            sums.append(f"sum(x{i} * x{j}) AS xy{k}")
+            if base[f"count{i}"] == base[f"count{j}"] == total:
+                known = [f"{total}D", "0D", "0D"] + [f"{finite(base[f'var{c}']) * total!r}D" for c in (i, j)]
+            else:
+                both = f"x{i} IS NOT NULL AND x{j} IS NOT NULL"
+                sums.append(f"CAST(count_if({both}) AS DOUBLE) AS n{k}")
+                for label, value in (("x", f"x{i}"), ("y", f"x{j}"), ("xx", f"x{i} * x{i}"), ("yy", f"x{j} * x{j}")):
+                    sums.append(f"sum(CASE WHEN {both} THEN {value} END) AS {label}{k}")
+                known = [f"{label}{k}" for label in ("n", "x", "y", "xx", "yy")]
+            rows.append(f"struct({k} AS pair, " + ", ".join(
+                f"{v} AS {label}" for v, label in zip([*known, f"xy{k}"], ("n", "sx", "sy", "sxx", "syy", "sxy"))
+            ) + ")")
+        one = centred.agg(*[F.expr(e) for e in sums]).select(F.expr(f"inline(array({', '.join(rows)}))"))
+        named = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs[start : start + PAIRS_PER_SCAN]])
+        one = one.withColumn("_names", named[F.col("pair")])
         out = one if out is None else out.unionByName(one)
-    return out
+    moments = out.selectExpr(
+        "_names.a AS col_a",
+        "_names.b AS col_b",
+        "sxy / nullif(n, 0) - sx * sy / nullif(n * n, 0) AS cov",
+        "sxx / nullif(n, 0) - sx * sx / nullif(n * n, 0) AS vx",
+        "syy / nullif(n, 0) - sy * sy / nullif(n * n, 0) AS vy",
+        "1e-14D * sxx / nullif(n, 0) AS noise_x",
+        "1e-14D * syy / nullif(n, 0) AS noise_y",
+    )
+    # What rounding leaves of a constant counts as no variance.
+    return moments.selectExpr(
+        "col_a", "col_b", "CASE WHEN vx > noise_x AND vy > noise_y THEN cov / sqrt(vx * vy) END AS r"
+    )
+
+
+def finite(x: float | None) -> float:
+    return x if x is not None and math.isfinite(x) else 0.0
+
+
+def rounded(name: str, digits: int) -> Column:
+    """Rounded without a negative zero."""
+    return F.round(name, digits) + F.lit(0.0)
 
 
 def top_correlations(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
@@ -59,7 +96,7 @@ def top_correlations(df: DataFrame, columns: Sequence[str], top: int = 10) -> Da
     pairs = list(combinations(sorted(columns), 2))
     strong = _pair_correlations(df, pairs).where(F.abs("r") > 0.3)
     ranked = strong.orderBy(F.abs("r").desc(), "col_a", "col_b").limit(top)
-    return ranked.select("col_a", "col_b", F.round("r", 4).alias("r"))
+    return ranked.select("col_a", "col_b", rounded("r", 4).alias("r"))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], min_columns: int = 4) -> DataFrame:
@@ -80,7 +117,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], min_columns: int = 4) ->
     varying = upper.where("col_a = col_b and r is not null")
     flags = varying.agg(F.count(F.lit(1)).alias("_varying"))
     shown = beside(both, flags).where((F.col("r").isNotNull()) | (F.col("_varying") < min_columns))
-    return shown.select(F.col("col_a").alias("x"), F.col("col_b").alias("y"), F.round("r", 2).alias("value"))
+    return shown.select(F.col("col_a").alias("x"), F.col("col_b").alias("y"), rounded("r", 2).alias("value"))
 
 
 def heatmap_pivot(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -37,7 +37,7 @@ SPARSE_PRICES = f"""(SELECT charge, revenue, l_extendedprice, l_quantity, l_disc
 MATRIX = ["charge", "revenue", "l_extendedprice", "l_quantity", "l_discount"]
 MATRIX_SQL = union_sql(
     [
-        f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 2) AS value FROM {SPARSE_PRICES}"
+        f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 2) + 0.0::DOUBLE AS value FROM {SPARSE_PRICES}"
         for a in MATRIX
         for b in MATRIX
     ]

@@ -41,6 +41,12 @@ PROMOTE_SHARE = 0.8
 PARSE_SHARE = 0.5
 # End of fixed values.
 
+TOKEN_PATTERNS = {
+    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}",
+    "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}",
+    "SSSSSS": r"\d{6}", "SSS": r"\d{3}", "XXX": r"(Z|[+-]\d{2}:\d{2})", "'T'": "T", "[": "(", "]": ")?",
+}
+LAYOUT_TOKEN = re.compile(r"y+|M+|d+|H+|m+|s+|S+|X+|'T'|.")
 SHORT_YEAR = re.compile(r"(?<!y)yy(?!y)")
 
 
@@ -79,13 +85,19 @@ def parsed_date(c: Column) -> Column:
     horizon = F.year(F.current_date()) + 50
     found = []
     for layout in DATE_FORMATS:
-        t = F.try_to_timestamp(c, F.lit(layout))
+        # A parser that fails is slow; the pattern lets only likely texts reach it.
+        t = F.when(c.rlike(layout_pattern(layout)), F.try_to_timestamp(c, F.lit(layout)))
         if SHORT_YEAR.search(layout):
             t = F.when(F.year(t) >= horizon, t - F.expr("interval 100 years")).otherwise(t)
         found.append(t)
     return F.coalesce(*found)
 
 
+def layout_pattern(layout: str) -> str:
+    """Regular expression of the texts a date layout can describe."""
+    return "^" + LAYOUT_TOKEN.sub(lambda m: TOKEN_PATTERNS.get(m.group(), re.escape(m.group())), layout) + "$"
+
+
 def parse_dates(df: DataFrame) -> DataFrame:
     """Turn date-named string columns into timestamps if half of all rows parse."""
     named = [c for c in text_columns(df) if K.name_contains(c, K.DATE_PARSED)]
