@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 from sightline.operators.profile import NULL_WARNING_PCT, measures_of, melt, null_profile
-from sightline.plans.ordering import order_key, previous_row, tied_levels, with_blocks
-from sightline.plans.quantiles import column_summary, to_long
+from sightline.plans.ordering import last_before, order_key, tied_levels
+from sightline.plans.quantiles import column_summary
 from sightline.plans.shared import settle
 
 MIN_VALUES = 10
@@ -33,15 +32,29 @@ def _flags(rows: DataFrame, detector: int, **given: Column) -> DataFrame:
     return rows.select(*[named[f].alias(f) for f in FIELDS])
 
 
-def _cells(df: DataFrame, columns: Sequence[str] | None, order_by: str) -> tuple[dict[str, Column], DataFrame]:
-    """Non-null numeric cells as rows: column_name, value, row_key."""
-    cells = measures_of(df, columns)
-    long = to_long(df, cells, [order_key(df, order_by).alias("row_key")]).where("value is not null")
-    return cells, long
-
+def _flagged(df: DataFrame, order_by: str, cells: dict[str, Column], tests: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Cells for which a test holds: column_name, position, value, row_key, mark.
 
-def _positions(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame(pa.table({"column_name": list(names), "position": range(len(names))}))
+    A test is a condition and a number to keep. Only flagged cells become rows.
+    """
+    key = order_key(df, order_by)
+    found = [
+        F.when(
+            condition,
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(name).alias("column_name"),
+                cells[name].alias("value"),
+                mark.cast("double").alias("mark"),
+            ),
+        )
+        for i, name in enumerate(cells)
+        if name in tests
+        for condition, mark in [tests[name]]
+    ]
+    if not found:
+        found = [F.lit(None).cast("struct<position:int,column_name:string,value:double,mark:double>")]
+    return df.select(key.alias("row_key"), F.inline(F.array_compact(F.array(*found))))
 
 
 def _first_rows(rows: DataFrame, shown: int, *order: str) -> DataFrame:
@@ -50,21 +63,31 @@ def _first_rows(rows: DataFrame, shown: int, *order: str) -> DataFrame:
     return rows.withColumn("_nth", nth).where(F.col("_nth") <= shown).drop("_nth")
 
 
-def anom_zscore(df: DataFrame, columns: Sequence[str] | None, order_by: str) -> DataFrame:
-    """Values beyond three population deviations; the first three per column."""
-    cells, long = _cells(df, columns, order_by)
+def anom_zscore(
+    df: DataFrame, columns: Sequence[str] | None, order_by: str, summary: DataFrame | None = None
+) -> DataFrame:
+    """Values beyond three population deviations; the first three per column.
+
+    ``summary`` may hold a ``column_summary`` of the same columns.
+    """
+    cells = measures_of(df, columns)
     names = list(cells)
-    stats = df.agg(
-        *[
-            f(c).alias(f"{label}_{i}")
-            for i, c in enumerate(cells.values())
-            for label, f in (("_n", F.count), ("_mean", F.avg), ("_std", F.stddev_pop))
-        ]
-    )
-    # One row per column.
-    known, _ = settle(melt(stats, names, ["_n", "_mean", "_std"]).where(F.col("_n") >= MIN_VALUES), len(names))
-    z = F.try_divide(F.col("value") - F.col("_mean"), F.col("_std"))
-    far = long.join(F.broadcast(known), "column_name").withColumn("z_score", z).where(F.abs("z_score") > 3.0)
+    if summary is None:
+        stats = df.agg(
+            *[
+                f(c).alias(f"{label}_{i}")
+                for i, c in enumerate(cells.values())
+                for label, f in (("n", F.count), ("mean", F.avg), ("std_pop", F.stddev_pop))
+            ]
+        )
+        summary = melt(stats, names, ["n", "mean", "std_pop"])
+    tests = {}
+    # One driver row per column.
+    for r in summary.select("column_name", "n", "mean", "std_pop").collect():
+        if r["n"] >= MIN_VALUES and r["std_pop"]:
+            z = (cells[r["column_name"]] - F.lit(r["mean"])) / F.lit(r["std_pop"])
+            tests[r["column_name"]] = (F.abs(z) > 3.0, z)
+    far = _flagged(df, order_by, cells, tests).withColumnRenamed("mark", "z_score")
     high = F.col("z_score") > 3.0
     return _flags(
         _first_rows(far, SHOWN_ZSCORE, "row_key"),
@@ -78,17 +101,22 @@ def anom_zscore(df: DataFrame, columns: Sequence[str] | None, order_by: str) ->
 
 
 def anom_iqr(
-    df: DataFrame, columns: Sequence[str] | None, order_by: str, reported: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str] | None, order_by: str, reported: DataFrame | None = None,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Values outside the quartile fences; the first two per column not yet reported."""
-    cells, long = _cells(df, columns, order_by)
-    quartiles = column_summary(df, cells, {"q1": 0.25, "q3": 0.75}).where(F.col("n") >= MIN_VALUES)
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    fences = quartiles.where("q3 > q1").select(
-        "position", "column_name", (F.col("q1") - reach).alias("_low"), (F.col("q3") + reach).alias("_high")
-    )
-    fences, _ = settle(fences, len(cells))
-    out = long.join(F.broadcast(fences), "column_name").where("value < _low or value > _high")
+    cells = measures_of(df, columns)
+    if summary is None:
+        summary = column_summary(df, cells, {"q25": 0.25, "q75": 0.75})
+    tests = {}
+    # One driver row per column.
+    for r in summary.select("column_name", "n", "q25", "q75").collect():
+        if r["n"] >= MIN_VALUES and r["q75"] > r["q25"]:
+            reach = (r["q75"] - r["q25"]) * 1.5
+            v = cells[r["column_name"]]
+            above = v > r["q75"] + reach
+            tests[r["column_name"]] = (above | (v < r["q25"] - reach), above)
+    out = _flagged(df, order_by, cells, tests)
     if reported is None:
         reported = anom_zscore(df, columns, order_by)
     # At most three reported rows per column.
@@ -99,7 +127,7 @@ def anom_iqr(
         2,
         value=F.col("value"),
         row_key=F.col("row_key"),
-        anomaly_type=F.when(F.col("value") > F.col("_high"), "outlier_high").otherwise("outlier_low"),
+        anomaly_type=F.when(F.col("mark") == 1.0, "outlier_high").otherwise("outlier_low"),
         severity=F.lit("medium"),
     )
 
@@ -113,13 +141,23 @@ def anom_sudden_change(
     it is neither a change itself nor the base of one: null cells drop out first.
     """
     cells = measures_of(df, columns)
-    keys = [order_key(df, date_col).alias("_t"), order_key(df, order_by).alias("row_key")]
-    long = to_long(df, cells, keys).where("value is not null")
-    long = with_blocks(with_blocks(long, "_t"), "row_key")
-    levels = tied_levels("_t", "row_key", ("column_name",))
-    moved = previous_row(long, ["value"], levels, "_prev")
-    change = F.try_divide(F.col("value"), F.col("_prev.value")) - 1
-    jumps = moved.where(F.abs(change) > 0.5).join(F.broadcast(_positions(df, list(cells))), "column_name")
+    names = list(cells)
+    # One sorted row per table row carries all columns.
+    wide = df.select(
+        order_key(df, date_col).alias("_t"),
+        order_key(df, order_by).alias("row_key"),
+        *[c.alias(f"_v{i}") for i, c in enumerate(cells.values())],
+    )
+    fields = [f"_v{i}" for i in range(len(names))]
+    moved = last_before(wide, fields, tied_levels("_t", "row_key"))
+    jumped = [
+        F.when(
+            F.abs(F.try_divide(f, f"{f}_before") - 1) > 0.5,
+            F.struct(F.lit(i).alias("position"), F.lit(n).alias("column_name"), F.col(f).alias("value")),
+        )
+        for i, (n, f) in enumerate(zip(names, fields))
+    ]
+    jumps = moved.select("_t", "row_key", F.inline(F.array_compact(F.array(*jumped))))
     return _flags(
         _first_rows(jumps, SHOWN_CHANGE, "_t", "row_key"),
         3,
@@ -156,11 +194,18 @@ def anom_merge(flags: DataFrame, shown: int = SHOWN_ALL) -> DataFrame:
 
 
 def detect(
-    df: DataFrame, columns: Sequence[str] | None, order_by: str, date_col: str | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None,
+    order_by: str,
+    date_col: str | None = None,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
-    """All detectors merged."""
-    far, _ = settle(anom_zscore(df, columns, order_by))
-    flags = far.unionByName(anom_iqr(df, columns, order_by, far))
+    """All detectors merged; the column statistics are computed once for both outlier rules."""
+    if summary is None:
+        cells = measures_of(df, columns)
+        summary, _ = settle(column_summary(df, cells, {"q25": 0.25, "q75": 0.75}), len(cells))
+    far, _ = settle(anom_zscore(df, columns, order_by, summary))
+    flags = far.unionByName(anom_iqr(df, columns, order_by, far, summary))
     if date_col is not None:
         flags = flags.unionByName(anom_sudden_change(df, columns, date_col, order_by))
     return anom_merge(flags.unionByName(anom_missing(df)))

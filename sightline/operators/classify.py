@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import keywords as K
 from sightline.functions.types import measure, quoted
-from sightline.operators.profile import column_profile, distinct_key, melt, semantic_types
+from sightline.operators.profile import column_profile, distinct_counts, distinct_key, melt, semantic_types
 from sightline.plans.ordering import numbered
 from sightline.plans.shared import BROADCAST_ROWS
 
@@ -113,51 +113,53 @@ def primary_measure(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 
 def category_correlation(
-    df: DataFrame, dimension: str, measure_name: str, small_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    dimension: str,
+    measure_name: str,
+    n_distinct: int | None = None,
+    small_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Absolute correlation of a measure with the sorted category codes (null = -1).
 
-    The sums needed are taken per category first, so a hot category is one row
-    and no code has to be joined back to the table. Codes of a dimension with
-    many categories come from a distributed sort.
+    Count, mean and variance are taken per category first, so a hot category is
+    one row and no code is joined back to the table. A dimension with more than
+    ``small_rows`` categories, by its known or counted number, is coded by a
+    distributed sort.
     """
-    d = quoted(dimension)
-    y = measure(df, measure_name)
-    mean = df.agg(F.avg(y).alias("_mean"))
-    centred = df.select(d.alias("_d"), y.alias("_y")).crossJoin(F.broadcast(mean))
-    shifted = F.col("_y") - F.col("_mean")
-    groups = centred.groupBy("_d").agg(
-        F.count("_y").alias("_n"), F.sum(shifted).alias("_s"), F.sum(shifted * shifted).alias("_q")
+    groups = df.groupBy(quoted(dimension).alias("_d")).agg(
+        F.count(measure(df, measure_name)).cast("double").alias("n"),
+        F.avg(measure(df, measure_name)).alias("m"),
+        F.var_pop(measure(df, measure_name)).alias("v"),
     )
     known = groups.where(F.col("_d").isNotNull())
-    if known.select("_d").limit(small_rows + 1).count() <= small_rows:
-        coded = known.withColumn("_code", F.row_number().over(Window.orderBy("_d")) - 1)
+    if n_distinct is None:
+        n_distinct = known.select("_d").limit(small_rows + 1).count()
+    if n_distinct <= small_rows:
+        coded = known.withColumn("code", F.row_number().over(Window.orderBy("_d")) - 1)
     else:
-        coded = numbered(known, [F.col("_d")], "_code")
-    missing = groups.where(F.col("_d").isNull()).withColumn("_code", F.lit(-1))
-    rows = coded.select("_n", "_s", "_q", F.col("_code").cast("double").alias("_code")).unionByName(
-        missing.select("_n", "_s", "_q", F.col("_code").cast("double").alias("_code"))
+        coded = numbered(known, [F.col("_d")], "code")
+    missing = groups.where(F.col("_d").isNull()).withColumn("code", F.lit(-1))
+    rows = coded.selectExpr("n", "m", "v", "CAST(code AS DOUBLE) AS code").unionByName(
+        missing.selectExpr("n", "m", "v", "CAST(code AS DOUBLE) AS code")
+    ).where("n > 0")
+    centre = rows.selectExpr("sum(n * m) / sum(n) AS my", "sum(n * code) / sum(n) AS mx")
+    sums = rows.crossJoin(F.broadcast(centre)).selectExpr(
+        "sum(n * (code - mx) * (code - mx)) AS sxx",
+        "sum(n * (v + (m - my) * (m - my))) AS syy",
+        "sum(n * (code - mx) * (m - my)) AS sxy",
     )
-    code = F.col("_code")
-    sums = rows.agg(
-        F.sum("_n").cast("double").alias("n"),
-        F.sum(code * F.col("_n")).alias("x"),
-        F.sum(code * code * F.col("_n")).alias("xx"),
-        F.sum("_s").alias("y"),
-        F.sum("_q").alias("yy"),
-        F.sum(code * F.col("_s")).alias("xy"),
-    )
-    sxx = F.expr("xx - x * x / nullif(n, 0)")
-    syy = F.expr("yy - y * y / nullif(n, 0)")
-    sxy = F.expr("xy - x * y / nullif(n, 0)")
     return sums.select(
         F.lit(dimension).alias("column_name"),
-        F.abs(F.when((sxx > 0) & (syy > 0), F.try_divide(sxy, F.sqrt(sxx * syy)))).alias("correlation"),
+        F.expr("abs(CASE WHEN sxx > 0 AND syy > 0 THEN sxy / sqrt(sxx * syy) END)").alias("correlation"),
     )
 
 
 def primary_dimension(
-    df: DataFrame, dimensions: Sequence[str], measure_name: str | None, dataset_type: str = "general"
+    df: DataFrame,
+    dimensions: Sequence[str],
+    measure_name: str | None,
+    dataset_type: str = "general",
+    n_distinct: dict[str, int] | None = None,
 ) -> DataFrame:
     """The dimension that tells most about the measure, with its score."""
     spark = df.sparkSession
@@ -170,7 +172,7 @@ def primary_dimension(
     scores = None
     for i, name in enumerate(dimensions):
         if measure_name:
-            one = category_correlation(df, name, measure_name).withColumnRenamed("correlation", "score")
+            one = category_correlation(df, name, measure_name, (n_distinct or {}).get(name)).withColumnRenamed("correlation", "score")
         else:
             one = df.agg(F.count_distinct(distinct_key(df, name)).cast("double").alias("score")).select(
                 F.lit(name).alias("column_name"), "score"
@@ -184,15 +186,15 @@ def primary_dimension(
 
 def cardinalities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of each column, a null counting as one value."""
-    row = df.agg(
-        *[
-            (
-                F.count_distinct(distinct_key(df, c)) + F.coalesce(F.max(quoted(c).isNull().cast("long")), F.lit(0))
-            ).alias(f"n_values_{i}")
-            for i, c in enumerate(columns)
-        ]
+    nulls = df.agg(
+        *[F.coalesce(F.max(quoted(c).isNull().cast("long")), F.lit(0)).alias(f"null_{i}") for i, c in enumerate(columns)]
+    )
+    # One row per column on both sides.
+    return (
+        distinct_counts(df, columns)
+        .join(F.broadcast(melt(nulls, columns, ["null"]).select("column_name", "null")), "column_name")
+        .select("position", "column_name", (F.col("n_distinct") + F.col("null")).alias("n_values"))
     )
-    return melt(row, columns, ["n_values"])
 
 
 @dataclass
@@ -202,6 +204,7 @@ class Meta:
     dataset_type: str
     confidence: float
     semantic: dict[str, str]
+    profile: DataFrame
     identifiers: list[str] = field(default_factory=list)
     times: list[str] = field(default_factory=list)
     segments: list[str] = field(default_factory=list)
@@ -234,6 +237,7 @@ def resolve(df: DataFrame, roles: dict[str, str] | None = None, approx: bool = F
         dataset_type=decision["dataset_type"],
         confidence=decision["confidence"],
         semantic={r["column_name"]: r["semantic_type"] for r in rows},
+        profile=settled,
         identifiers=having("identifier"),
         times=having("time"),
         segments=having("segment"),
@@ -244,6 +248,7 @@ def resolve(df: DataFrame, roles: dict[str, str] | None = None, approx: bool = F
     if meta.measures:
         meta.primary_measure = primary_measure(df, meta.measures).first()["column_name"]
     if meta.dimensions:
-        chosen = primary_dimension(df, meta.dimensions, meta.primary_measure, meta.dataset_type)
+        counts = {r["column_name"]: r["n_distinct"] for r in rows} if not approx else None
+        chosen = primary_dimension(df, meta.dimensions, meta.primary_measure, meta.dataset_type, counts)
         meta.primary_dimension = chosen.first()["column_name"]
     return meta

@@ -8,20 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.types import change_pct, measure, quoted
-from sightline.operators.profile import melt
-from sightline.plans.ordering import key_levels, order_key, previous_row, sums_before, with_blocks
-from sightline.plans.quantiles import to_long
-from sightline.plans.shared import settle
+from sightline.plans.ordering import key_levels, last_before, order_key, sums_before
 
 MIN_ROWS = 4
 DAY_MICROS = 86_400_000_000
 
 
-def _dated(df: DataFrame, date_col: str, measures: Sequence[str]) -> DataFrame:
-    """Non-null cells with their date: column_name, value, ts."""
-    ts = quoted(date_col).cast("timestamp").alias("ts")
-    cells = {m: measure(df, m) for m in measures}
-    return to_long(df, cells, [ts]).where("ts is not null and value is not null")
+def _steps(df: DataFrame, date_col: str, measures: Sequence[str], order_by: str | None = None) -> DataFrame:
+    """Count and sums of each measure per distinct timestamp, one row per measure.
+
+    Rows are summed for all measures at once before they are spread by measure.
+    Sums are taken around the measure's mean, which keeps squares small. The
+    means, and with ``order_by`` the last values, are one driver row.
+    """
+    ts = quoted(date_col).cast("timestamp")
+    dated = df.where(quoted(date_col).isNotNull())
+    wanted = [F.avg(measure(df, m)).alias(f"m{i}") for i, m in enumerate(measures)]
+    if order_by is not None:
+        wanted += [
+            F.max_by(measure(df, m), F.when(measure(df, m).isNotNull(), F.struct(ts, order_key(df, order_by)))).alias(f"l{i}")
+            for i, m in enumerate(measures)
+        ]
+    base = dated.agg(*wanted).first().asDict()
+    sums, rows = [], []
+    for i, m in enumerate(measures):
+        mean = F.lit(base[f"m{i}"]).cast("double")
+        y = measure(df, m) - mean
+        sums += [F.count(y).alias(f"c{i}"), F.sum(y).alias(f"y{i}"), F.sum(y * y).alias(f"q{i}")]
+        rows.append(
+            F.struct(
+                F.lit(m).alias("column_name"),
+                mean.alias("_mean"),
+                F.lit(base.get(f"l{i}")).cast("double").alias("_last"),
+                F.col(f"c{i}").alias("c"),
+                F.col(f"y{i}").alias("_sy"),
+                F.col(f"q{i}").alias("_syy"),
+            )
+        )
+    wide = dated.groupBy(ts.alias("ts")).agg(*sums)
+    return wide.select("ts", F.inline(F.array(*rows))).where("c > 0")
 
 
 def granularity(df: DataFrame, date_col: str) -> DataFrame:
@@ -33,9 +58,9 @@ def granularity(df: DataFrame, date_col: str) -> DataFrame:
     """
     d = quoted(date_col)
     times = df.where(d.isNotNull()).groupBy(d.cast("timestamp").alias("ts")).agg(F.count(F.lit(1)).alias("c"))
-    times = with_blocks(times.withColumn("_t", order_key(times, "ts")), "_t")
-    gaps = previous_row(times, ["_t"], key_levels("_t"), "_prev").select(
-        (F.col("_t") - F.col("_prev._t")).alias("gap"), (F.col("c") - 1).alias("zeros")
+    times = times.select(order_key(times, "ts").alias("_t"), "c").withColumn("at", F.col("_t"))
+    gaps = last_before(times, ["at"], key_levels("_t")).select(
+        (F.col("at") - F.col("at_before")).alias("gap"), (F.col("c") - 1).alias("zeros")
     )
     cells = gaps.select(
         F.inline(
@@ -86,10 +111,10 @@ def _middle(found: Column, seen: Column, x: Column, rank: Column) -> Column:
     return F.coalesce(found, F.when(here, F.when(rank == seen + x["w"], x["high"]).otherwise(x["low"])))
 
 
-def _period_means(dated: DataFrame) -> DataFrame:
+def _period_means(steps: DataFrame) -> DataFrame:
     """Mean per measure, unit and period, all from one aggregate by day."""
-    daily = dated.groupBy("column_name", F.to_date("ts").alias("day")).agg(
-        F.sum("value").alias("s"), F.count("value").alias("c")
+    daily = steps.groupBy("column_name", F.to_date("ts").alias("day")).agg(
+        F.sum(F.col("_sy") + F.col("c") * F.col("_mean")).alias("s"), F.sum("c").alias("c")
     )
     units = F.array(
         *[
@@ -131,7 +156,7 @@ def _last_two(means: DataFrame) -> DataFrame:
 
 def period_change(df: DataFrame, date_col: str, measures: Sequence[str]) -> DataFrame:
     """Month, week (Monday to Sunday) and year changes of the mean, in percent."""
-    changes = _last_two(_period_means(_dated(df, date_col, measures)))
+    changes = _last_two(_period_means(_steps(df, date_col, measures)))
     return _pivot_changes(_enough(changes))
 
 
@@ -144,29 +169,18 @@ def _pivot_changes(changes: DataFrame) -> DataFrame:
     )
 
 
-def _trend(dated: DataFrame) -> DataFrame:
+def _trend(steps: DataFrame) -> DataFrame:
     """Least squares of the value on the row's rank by date, without numbering rows.
 
-    Rows are summed per distinct timestamp first; rows sharing one take their mean
-    rank. The starting rank of each timestamp is the number of earlier rows.
+    Rows sharing a timestamp take their mean rank. The starting rank of each
+    timestamp is the number of earlier rows.
     """
-    totals = dated.groupBy("column_name").agg(F.avg("value").alias("_mean"))
-    # One row per measure.
-    known, fits = settle(totals)
-    centred = dated.join(F.broadcast(known) if fits else known, "column_name").select(
-        "column_name", "ts", (F.col("value") - F.col("_mean")).alias("_y"), "_mean"
-    )
-    steps = centred.groupBy("column_name", "ts").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum("_y").alias("_sy"),
-        F.sum(F.col("_y") * F.col("_y")).alias("_syy"),
-        F.first("_mean").alias("_mean"),
-    )
-    steps = with_blocks(steps.withColumn("_t", order_key(steps, "ts")), "_t")
-    ranked = sums_before(steps, ["c"], key_levels("_t", ("column_name",)))
+    keyed = steps.withColumn("_t", order_key(steps, "ts")).drop("ts")
+    ranked = sums_before(keyed, ["c"], key_levels("_t", ("column_name",)))
     sums = ranked.groupBy("column_name").agg(
         F.sum("c").alias("n"),
         F.first("_mean").alias("mean"),
+        F.first("_last").alias("last_value"),
         F.sum(F.col("_sy") * (F.col("c_before") + (F.col("c") - 1) / 2.0)).alias("_xy"),
         F.sum("_sy").alias("_y"),
         F.sum("_syy").alias("_yy"),
@@ -179,6 +193,7 @@ def _trend(dated: DataFrame) -> DataFrame:
         "column_name",
         "n",
         "mean",
+        "last_value",
         F.try_divide(sxy, sxx).alias("slope"),
         F.when(syy > 0, F.try_divide(sxy * sxy, sxx * syy)).otherwise(F.lit(0.0)).alias("r2"),
     )
@@ -186,35 +201,16 @@ def _trend(dated: DataFrame) -> DataFrame:
 
 def row_trend(df: DataFrame, date_col: str, measures: Sequence[str]) -> DataFrame:
     """Slope (6 decimals) and r squared (4 decimals) of value on row rank by date."""
-    fit = _enough(_trend(_dated(df, date_col, measures)))
+    fit = _enough(_trend(_steps(df, date_col, measures)))
     return fit.select(
         "column_name", F.round("slope", 6).alias("trend_slope"), F.round("r2", 4).alias("trend_r2")
     )
 
 
-def _last_values(df: DataFrame, date_col: str, measures: Sequence[str], order_by: str) -> DataFrame:
-    """Value of the last dated row per measure; the order key decides among equal dates."""
-    d = quoted(date_col).cast("timestamp")
-    row = df.agg(
-        *[
-            F.max_by(
-                measure(df, m),
-                F.when(d.isNotNull() & measure(df, m).isNotNull(), F.struct(d, order_key(df, order_by))),
-            ).alias(f"last_value_{i}")
-            for i, m in enumerate(measures)
-        ]
-    )
-    return melt(row, measures, ["last_value"]).select("column_name", "last_value")
-
-
 def forecast_next(df: DataFrame, date_col: str, measures: Sequence[str], order_by: str) -> DataFrame:
-    """Last value plus one step of the trend, 4 decimals."""
-    fit = _enough(_trend(_dated(df, date_col, measures)))
-    last = _last_values(df, date_col, measures, order_by)
-    # One row per measure on both sides.
-    return fit.join(F.broadcast(last), "column_name").select(
-        "column_name", F.round(F.col("last_value") + F.col("slope"), 4).alias("forecast_next")
-    )
+    """Last value plus one step of the trend, 4 decimals; the key decides among equal dates."""
+    fit = _enough(_trend(_steps(df, date_col, measures, order_by)))
+    return fit.select("column_name", F.round(F.col("last_value") + F.col("slope"), 4).alias("forecast_next"))
 
 
 def _months(means: DataFrame) -> DataFrame:
@@ -234,7 +230,7 @@ def _months(means: DataFrame) -> DataFrame:
 
 
 def best_worst_month(df: DataFrame, date_col: str, measures: Sequence[str]) -> DataFrame:
-    return _months(_period_means(_dated(df, date_col, measures)))
+    return _months(_period_means(_steps(df, date_col, measures)))
 
 
 def direction(slope: Column, mean: Column) -> Column:
@@ -243,7 +239,7 @@ def direction(slope: Column, mean: Column) -> Column:
 
 def trend_direction(df: DataFrame, date_col: str, measures: Sequence[str]) -> DataFrame:
     """Slope (3 decimals) and up, down or flat against one percent of the mean."""
-    fit = _enough(_trend(_dated(df, date_col, measures)))
+    fit = _enough(_trend(_steps(df, date_col, measures)))
     return fit.select(
         "column_name",
         F.round("slope", 3).alias("trend_slope"),
@@ -259,15 +255,12 @@ METRICS = (
 
 def date_metrics(df: DataFrame, date_col: str, measures: Sequence[str], order_by: str) -> DataFrame:
     """All metrics, one row per measure with at least four dated values."""
-    dated = _dated(df, date_col, measures)
-    means = _period_means(dated)
-    fit = _enough(_trend(dated))
-    last = _last_values(df, date_col, measures, order_by)
+    steps = _steps(df, date_col, measures, order_by)
+    means = _period_means(steps)
+    fit = _enough(_trend(steps))
     # Every joined table has one row per measure.
-    joined = (
-        fit.join(F.broadcast(_pivot_changes(_last_two(means))), "column_name", "left")
-        .join(F.broadcast(_months(means)), "column_name", "left")
-        .join(F.broadcast(last), "column_name", "left")
+    joined = fit.join(F.broadcast(_pivot_changes(_last_two(means))), "column_name", "left").join(
+        F.broadcast(_months(means)), "column_name", "left"
     )
     return joined.select(
         "column_name",
@@ -289,9 +282,9 @@ def filtered_metrics(base: DataFrame, filtered: DataFrame, date_col: str, measur
     A metric the filtered rows cannot give keeps its baseline. Fit quality and
     forecast stay those of the whole table, the slope has three decimals.
     """
-    dated = _dated(filtered, date_col, measures)
-    means = _period_means(dated)
-    fit = _enough(_trend(dated)).select(
+    steps = _steps(filtered, date_col, measures)
+    means = _period_means(steps)
+    fit = _enough(_trend(steps)).select(
         "column_name",
         F.round("slope", 3).alias("trend_slope"),
         direction(F.col("slope"), F.col("mean")).alias("trend_direction"),

@@ -16,12 +16,11 @@ from sightline.functions.types import change_pct, measure, percent, quoted
 from sightline.operators.correlation import adjusted_skewness, skew_label
 from sightline.plans.ordering import (
     key_levels,
+    last_before,
     numbered,
     order_key,
     orderable,
-    previous_row,
     sums_before,
-    with_blocks,
 )
 from sightline.plans.quantiles import Rank, order_statistics, quantiles
 from sightline.plans.shared import beside, join_small, reliable, settle
@@ -242,9 +241,16 @@ def period_means(df: DataFrame, time: str, measure_name: str) -> DataFrame:
     return numbered(means, [F.col("period")], "_t")
 
 
-def ts_trend(df: DataFrame, measure_name: str, time: str) -> DataFrame:
+def given(means: DataFrame | None, df: DataFrame, time: str, measure_name: str) -> DataFrame:
+    """Period means computed before, for several questions, or computed now."""
+    return means if means is not None else period_means(df, time, measure_name)
+
+
+def ts_trend(
+    df: DataFrame, measure_name: str, time: str, means: DataFrame | None = None
+) -> DataFrame:
     """Least-squares line over the period index and total change (> 15 %: high)."""
-    means = with_blocks(period_means(df, time, measure_name), "_t").withColumn("_one", F.lit(1).cast("long"))
+    means = given(means, df, time, measure_name).withColumn("_one", F.lit(1).cast("long"))
     indexed = sums_before(means, ["_one"], key_levels("_t")).select(
         F.col("_one_before").cast("double").alias("_i"), "mean", "_t"
     )
@@ -272,9 +278,11 @@ def ts_trend(df: DataFrame, measure_name: str, time: str) -> DataFrame:
     )
 
 
-def ts_best_worst(df: DataFrame, measure_name: str, time: str) -> DataFrame:
+def ts_best_worst(
+    df: DataFrame, measure_name: str, time: str, means: DataFrame | None = None
+) -> DataFrame:
     """Best and worst period, the earlier one among equals."""
-    means = period_means(df, time, measure_name)
+    means = given(means, df, time, measure_name)
     return means.agg(
         F.min_by("period", F.struct(-F.col("mean"), F.col("_t"))).cast("string").alias("best_period"),
         F.max("mean").alias("best_val"),
@@ -291,11 +299,13 @@ def ts_best_worst(df: DataFrame, measure_name: str, time: str) -> DataFrame:
     )
 
 
-def ts_spikes(df: DataFrame, measure_name: str, time: str) -> DataFrame:
+def ts_spikes(
+    df: DataFrame, measure_name: str, time: str, means: DataFrame | None = None
+) -> DataFrame:
     """Changes above 25 % between neighbouring periods and the largest (> 50 %: high)."""
-    means = with_blocks(period_means(df, time, measure_name), "_t")
-    moved = previous_row(means, ["mean"], key_levels("_t"), "_prev").select(
-        "period", "_t", (F.try_divide(F.col("mean"), F.col("_prev.mean")) - 1).alias("_change")
+    means = given(means, df, time, measure_name)
+    moved = last_before(means, ["mean"], key_levels("_t")).select(
+        "period", "_t", (F.try_divide("mean", "mean_before") - 1).alias("_change")
     )
     size = F.abs("_change")
     found = moved.where(size > 0.25).agg(
@@ -306,9 +316,11 @@ def ts_spikes(df: DataFrame, measure_name: str, time: str) -> DataFrame:
     return found.where("n_notable > 0").withColumn("significance", level(F.abs("change_pct") > 50))
 
 
-def ts_latest_change(df: DataFrame, measure_name: str, time: str) -> DataFrame:
+def ts_latest_change(
+    df: DataFrame, measure_name: str, time: str, means: DataFrame | None = None
+) -> DataFrame:
     """Last period against the one before (> 10 %: high)."""
-    last_two = period_means(df, time, measure_name).orderBy(F.desc("_t")).limit(2)
+    last_two = given(means, df, time, measure_name).orderBy(F.desc("_t")).limit(2)
     pair = last_two.agg(
         F.max_by("period", "_t").cast("string").alias("last_period"),
         F.max_by("mean", "_t").alias("last_val"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +20,9 @@ from sightline.functions.types import (
     quoted,
 )
 from sightline.plans.quantiles import column_summary, to_long
+from sightline.plans.shared import settle
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
-DISTINCT_PER_SCAN = 8
 NULL_WARNING_PCT = 30.0
 LONG_TEXT = 64
 
@@ -155,26 +156,35 @@ def quality_warnings(df: DataFrame, load_warnings: Sequence[str] = ()) -> DataFr
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Non-null distinct values per column.
 
-    Exact counts expand each row once per column, so columns are counted in
-    small batches. ``approx=True`` uses a sketch with 2 % error and no shuffle
-    of values.
+    Columns of one type are stacked into (column, value) rows, which are made
+    distinct before and after one shuffle; there is one scan per type, of its own
+    columns. ``approx=True`` uses a sketch with 2 % error and no shuffle of values.
     """
     names = [c for c in (columns or df.columns) if kind(field_type(df, c)) != "complex"]
     if approx:
         row = df.agg(
             *[F.approx_count_distinct(value(df, c), 0.02).alias(f"n_distinct_{i}") for i, c in enumerate(names)]
         )
-    else:
-        row = None
-        for start in range(0, len(names), DISTINCT_PER_SCAN):
-            part = df.agg(
-                *[
-                    F.count_distinct(distinct_key(df, c)).alias(f"n_distinct_{start + j}")
-                    for j, c in enumerate(names[start : start + DISTINCT_PER_SCAN])
-                ]
-            )
-            row = part if row is None else row.crossJoin(F.broadcast(part))
-    return melt(row, names, ["n_distinct"])
+        return melt(row, names, ["n_distinct"])
+    by_type: dict[str, list[int]] = {}
+    for i, c in enumerate(names):
+        by_type.setdefault(field_type(df, c).simpleString(), []).append(i)
+    counts = None
+    for positions in by_type.values():
+        cells = df.select(*[distinct_key(df, names[i]).alias(f"_c{i}") for i in positions])
+        pairs = ", ".join(f"{i}, _c{i}" for i in positions)
+        values = cells.select(F.expr(f"stack({len(positions)}, {pairs}) AS (position, _value)"))
+        one = (
+            values.where("_value IS NOT NULL").distinct().groupBy("position").agg(F.count(F.lit(1)).alias("n_distinct"))
+        )
+        counts = one if counts is None else counts.unionByName(one)
+    listed = df.sparkSession.createDataFrame(
+        pa.table({"position": pa.array(range(len(names)), pa.int32()), "column_name": names})
+    )
+    # One row per column on both sides.
+    return listed.join(F.broadcast(counts), "position", "left").select(
+        "position", "column_name", F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct")
+    )
 
 
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -238,9 +248,17 @@ def measures_of(df: DataFrame, columns: Sequence[str] | None) -> dict[str, Colum
     return {c: measure(df, c) for c in names}
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
+def summary_of(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Unrounded statistics of numeric columns, one row each, for several readers."""
+    cells = measures_of(df, columns)
+    return settle(column_summary(df, cells, QUARTILES), len(cells))[0]
+
+
+def describe(
+    df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2, summary: DataFrame | None = None
+) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of numeric columns."""
-    stats = column_summary(df, measures_of(df, columns), QUARTILES)
+    stats = summary if summary is not None else column_summary(df, measures_of(df, columns), QUARTILES)
     return stats.select(
         "column_name",
         "n",
@@ -248,9 +266,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
     )
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def column_stats(
+    df: DataFrame, columns: Sequence[str] | None = None, summary: DataFrame | None = None
+) -> DataFrame:
     """Summary at six decimals for columns that hold at least one value."""
-    stats = describe(df, columns, digits=6).where("n > 0")
+    stats = describe(df, columns, 6, summary).where("n > 0")
     return stats.select("column_name", "min", "max", "mean", F.col("q50").alias("median"), "std", "q25", "q75")
 
 

@@ -201,48 +201,48 @@ def segment_impact(df: DataFrame, m: str, seg: str) -> DataFrame:
 # -- time series ----------------------------------------------------------------
 
 
-def trend(df: DataFrame, m: str, t: str) -> DataFrame:
+def trend(df: DataFrame, m: str, t: str, means: DataFrame | None = None) -> DataFrame:
     answer = sentence(
         m + " shows a {dir} trend over {n} periods (R²={r2}). Total change: {chg}%. Range: ${low}K–${high}K.",
         dir=F.col("direction"), n=F.col("n_periods").cast("string"), r2=F.col("r2").cast("string"),
         chg=F.coalesce(signed("total_change_pct"), F.lit("n/a")), low=num("min_val"), high=num("max_val"),
     )
     return finding(
-        N.ts_trend(df, m, t), "timeseries", f"What is the overall trend of {m}?", answer, "trend", "line",
+        N.ts_trend(df, m, t, means), "timeseries", f"What is the overall trend of {m}?", answer, "trend", "line",
         {"type": "line", "x": t, "y": m}, ["direction", "slope", "r2", "total_change_pct"],
     )
 
 
-def best_worst(df: DataFrame, m: str, t: str) -> DataFrame:
+def best_worst(df: DataFrame, m: str, t: str, means: DataFrame | None = None) -> DataFrame:
     answer = sentence(
         "Best: {bp} at ${bv}K. Worst: {wp} at ${wv}K. Gap: {gap}%.",
         bp=F.col("best_period"), bv=num("best_val"), wp=F.col("worst_period"), wv=num("worst_val"),
         gap=F.coalesce(F.col("gap_pct").cast("string"), F.lit("n/a")),
     )
     return finding(
-        N.ts_best_worst(df, m, t), "timeseries", f"What was the best and worst period for {m}?", answer, "gap", "bar",
+        N.ts_best_worst(df, m, t, means), "timeseries", f"What was the best and worst period for {m}?", answer, "gap", "bar",
         {"type": "bar", "x": t, "y": f"mean({m})"}, ["best_period", "best_val", "worst_period", "worst_val"],
     )
 
 
-def spikes(df: DataFrame, m: str, t: str) -> DataFrame:
+def spikes(df: DataFrame, m: str, t: str, means: DataFrame | None = None) -> DataFrame:
     answer = sentence(
         "Notable change at {p}: {chg}%. {n} period(s) show changes >25%.",
         p=F.col("notable_period"), chg=signed("change_pct"), n=F.col("n_notable").cast("string"),
     )
     return finding(
-        N.ts_spikes(df, m, t), "timeseries", f"Are there sudden spikes or drops in {m}?", answer, "outlier", "line",
+        N.ts_spikes(df, m, t, means), "timeseries", f"Are there sudden spikes or drops in {m}?", answer, "outlier", "line",
         {"type": "line", "x": t, "y": m, "annotate_spikes": True}, ["notable_period", "change_pct", "n_notable"],
     )
 
 
-def latest_change(df: DataFrame, m: str, t: str) -> DataFrame:
+def latest_change(df: DataFrame, m: str, t: str, means: DataFrame | None = None) -> DataFrame:
     answer = sentence(
         "Most recent period ({lp}): ${lv}K vs previous ({pp}): ${pv}K. Change: {chg}%.",
         lp=F.col("last_period"), lv=num("last_val"), pp=F.col("prev_period"), pv=num("prev_val"), chg=signed("change_pct"),
     )
     return finding(
-        N.ts_latest_change(df, m, t), "timeseries", f"What is the most recent change in {m}?", answer, "trend", "line",
+        N.ts_latest_change(df, m, t, means), "timeseries", f"What is the most recent change in {m}?", answer, "trend", "line",
         {"type": "line", "x": t, "y": m}, ["last_period", "last_val", "prev_val", "change_pct"],
     )
 

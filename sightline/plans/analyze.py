@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from sightline.functions.types import kind, numeric_columns
-from sightline.operators import anomalies, charts, classify, correlation, dates, profile, wording
+from sightline.operators import anomalies, charts, classify, correlation, dates, findings, profile, wording
 from sightline.operators.classify import Meta
 from sightline.operators.filters import Filter, apply_filter
+from sightline.plans.shared import reliable
 
 
 @dataclass
@@ -30,7 +31,6 @@ class Analysis:
 def ask(df: DataFrame, meta: Meta) -> DataFrame | None:
     """The findings that fit the kind of dataset."""
     m, d, t = meta.primary_measure, meta.primary_dimension, meta.primary_time
-    general = _general(df, meta)
     parts: list[DataFrame] = []
     if meta.dataset_type == "experiment" and m and d:
         parts = [wording.winner(df, m, d)]
@@ -41,12 +41,10 @@ def ask(df: DataFrame, meta: Meta) -> DataFrame | None:
         parts += [wording.unit_gap(df, m, u) for u in meta.identifiers[:1]]
         parts += [wording.segment_impact(df, m, s) for s in meta.segments[:2]]
     elif meta.dataset_type == "timeseries" and m and t:
-        parts = [
-            wording.trend(df, m, t),
-            wording.best_worst(df, m, t),
-            wording.spikes(df, m, t),
-            wording.latest_change(df, m, t),
-        ]
+        # One scan for all four questions; as many rows as there are periods.
+        means = reliable(findings.period_means(df, t, m))
+        asked = (wording.trend, wording.best_worst, wording.spikes, wording.latest_change)
+        parts = [question(df, m, t, means) for question in asked]
     elif meta.dataset_type == "transactional" and m:
         parts = [wording.pareto(df, m, d), wording.distribution(df, m, "transactional")]
         parts += [wording.impact(df, m, d, "transactional")] if d else []
@@ -55,7 +53,7 @@ def ask(df: DataFrame, meta: Meta) -> DataFrame | None:
     elif meta.dataset_type == "financial" and m:
         parts = [wording.total(df, m, t, d)]
         parts += [wording.contribution(df, m, d)] if d else []
-    parts = parts or general
+    parts = parts or _general(df, meta)
     return wording.collect(parts) if parts else None
 
 
@@ -122,16 +120,19 @@ def analyze(
     numeric = [c for c in numeric_columns(df) if meta.semantic[c] == "numeric"]
     result = Analysis(
         meta=meta,
-        profile=classify.column_roles(profile.semantic_types(profile.column_profile(df, approx))),
+        profile=meta.profile
+        if view is None
+        else classify.column_roles(profile.semantic_types(profile.column_profile(df, approx))),
         findings=ask(df, meta),
         charts=draw(df, meta, order_by),
     )
     if len(numeric) > 1:
         result.correlations = correlation.top_correlations(df, numeric)
+    summary = profile.summary_of(df, numeric) if numeric else None
     if numeric:
-        result.stats = profile.column_stats(df, numeric)
+        result.stats = profile.column_stats(df, numeric, summary)
     if order_by is not None and numeric:
-        result.anomalies = anomalies.detect(df, numeric, order_by, datetimes[0] if datetimes else None)
+        result.anomalies = anomalies.detect(df, numeric, order_by, datetimes[0] if datetimes else None, summary)
         result.health = profile.health_score(df, result.anomalies)
     if datetimes and meta.measures and order_by is not None:
         result.date_metrics = dates.date_metrics(df, datetimes[0], meta.measures, order_by)

@@ -23,10 +23,15 @@ LAST_KEY = 2**63 - 1
 
 @dataclass(frozen=True)
 class Level:
-    """Rows sharing ``groups`` are ordered by ``order``."""
+    """Rows sharing ``groups`` are ordered by ``order``.
+
+    ``block`` is the group column made from ``order`` by dropping its low digits,
+    if there is one at this level.
+    """
 
     groups: tuple[str, ...]
     order: str
+    block: str | None = None
 
 
 def order_key(df: DataFrame, name: str) -> Column:
@@ -50,22 +55,13 @@ def orderable(df: DataFrame, name: str) -> bool:
     return isinstance(field_type(df, name), DATETIMES + INTEGERS)
 
 
-def with_blocks(df: DataFrame, key: str) -> DataFrame:
-    """Add the two coarser digit blocks of an integer key."""
-    return df.withColumns(
-        {
-            f"{key}_b1": F.shiftright(F.col(key), BLOCK_BITS),
-            f"{key}_b2": F.shiftright(F.col(key), 2 * BLOCK_BITS),
-        }
-    )
-
-
 def key_levels(key: str, within: tuple[str, ...] = ()) -> list[Level]:
     """Levels, finest first, for rows that are unique by ``within + key``."""
+    one, two = f"{key}_b1", f"{key}_b2"
     return [
-        Level(within + (f"{key}_b1",), key),
-        Level(within + (f"{key}_b2",), f"{key}_b1"),
-        Level(within, f"{key}_b2"),
+        Level((*within, one), key, one),
+        Level((*within, two), one, two),
+        Level(within, two),
     ]
 
 
@@ -74,73 +70,60 @@ def tied_levels(key: str, tie: str, within: tuple[str, ...] = ()) -> list[Level]
 
     A key shared by a third of all rows is itself cut into blocks of ``tie``.
     """
-    return [
-        Level(within + (key, f"{tie}_b1"), tie),
-        Level(within + (key, f"{tie}_b2"), f"{tie}_b1"),
-        Level(within + (key,), f"{tie}_b2"),
-    ] + key_levels(key, within)
+    return key_levels(tie, (*within, key)) + key_levels(key, within)
 
 
-def _carried(levels: list[Level]) -> list[str]:
-    """Coarser level columns a finer level must keep when it is collapsed."""
-    names: list[str] = []
-    for level in levels:
-        for name in (*level.groups, level.order):
-            if name not in names:
-                names.append(name)
-    return names
+def _blocked(df: DataFrame, level: Level) -> DataFrame:
+    if level.block is None:
+        return df
+    return df.withColumn(level.block, F.shiftright(F.col(level.order), BLOCK_BITS))
 
 
-def _collapse(df: DataFrame, levels: list[Level], *aggregates: Column) -> DataFrame:
-    groups = list(levels[0].groups)
-    keep = [n for n in _carried(levels[1:]) if n not in groups]
-    return df.groupBy(*groups).agg(*[F.first(n).alias(n) for n in keep], *aggregates)
+def last_before(df: DataFrame, fields: list[str], levels: list[Level]) -> DataFrame:
+    """Add ``<field>_before``: the last non-null value of each field in the rows before.
 
-
-def previous_row(df: DataFrame, fields: list[str], levels: list[Level], into: str) -> DataFrame:
-    """Add struct ``into``: the ``fields`` of the row just before, null for the first.
-
-    The last row of each block is looked up one level higher, so only blocks,
-    not rows, travel between levels.
+    The last values of each block are carried one level up, so only blocks, not
+    rows, travel between levels.
     """
-    own = F.struct(*[F.col(f) for f in fields])
-    window = Window.partitionBy(*levels[0].groups).orderBy(levels[0].order)
-    out = df.withColumn(into, F.lag(own).over(window))
-    if len(levels) == 1:
-        return out
-    groups = list(levels[0].groups)
-    tails = _collapse(df, levels, F.max_by(own, F.col(levels[0].order)).alias("_tail"))
-    before = previous_row(tails, ["_tail"], levels[1:], "_before").select(
-        *groups, F.col("_before._tail").alias("_inherited")
-    )
-    return (
-        out.join(before, groups, "left")
-        .withColumn(into, F.coalesce(F.col(into), F.col("_inherited")))
-        .drop("_inherited")
+    level = levels[0]
+    rows = _blocked(df, level)
+    earlier = (
+        Window.partitionBy(*level.groups).orderBy(level.order).rowsBetween(Window.unboundedPreceding, -1)
     )
+    out = rows.withColumns({f"{f}_before": F.last(f, ignorenulls=True).over(earlier) for f in fields})
+    if len(levels) > 1:
+        groups = list(level.groups)
+        order = F.col(level.order)
+        tails = rows.groupBy(*groups).agg(
+            *[F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields]
+        )
+        inherited = last_before(tails, fields, levels[1:]).select(
+            *groups, *[F.col(f"{f}_before").alias(f"{f}_inherited") for f in fields]
+        )
+        out = out.join(inherited, groups, "left").withColumns(
+            {f"{f}_before": F.coalesce(f"{f}_before", f"{f}_inherited") for f in fields}
+        )
+    return out.drop(*[f"{f}_inherited" for f in fields], *([level.block] if level.block else []))
 
 
 def sums_before(df: DataFrame, sums: list[str], levels: list[Level]) -> DataFrame:
     """Add ``<name>_before``: the sum of each column over all earlier rows."""
-    window = (
-        Window.partitionBy(*levels[0].groups)
-        .orderBy(levels[0].order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = df.withColumns(
-        {f"{s}_before": F.coalesce(F.sum(s).over(window), F.lit(0)) for s in sums}
-    )
-    if len(levels) == 1:
-        return out
-    groups = list(levels[0].groups)
-    blocks = _collapse(df, levels, *[F.sum(s).alias(s) for s in sums])
-    offsets = sums_before(blocks, sums, levels[1:]).select(
-        *groups, *[F.col(f"{s}_before").alias(f"_{s}_offset") for s in sums]
+    level = levels[0]
+    rows = _blocked(df, level)
+    earlier = (
+        Window.partitionBy(*level.groups).orderBy(level.order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = out.join(offsets, groups, "left")
-    return out.withColumns(
-        {f"{s}_before": F.col(f"{s}_before") + F.col(f"_{s}_offset") for s in sums}
-    ).drop(*[f"_{s}_offset" for s in sums])
+    out = rows.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(earlier), F.lit(0)) for s in sums})
+    if len(levels) > 1:
+        groups = list(level.groups)
+        blocks = rows.groupBy(*groups).agg(*[F.sum(s).alias(s) for s in sums])
+        offsets = sums_before(blocks, sums, levels[1:]).select(
+            *groups, *[F.col(f"{s}_before").alias(f"{s}_offset") for s in sums]
+        )
+        out = out.join(offsets, groups, "left").withColumns(
+            {f"{s}_before": F.col(f"{s}_before") + F.col(f"{s}_offset") for s in sums}
+        )
+    return out.drop(*[f"{s}_offset" for s in sums], *([level.block] if level.block else []))
 
 
 def numbered(df: DataFrame, order: list[Column], into: str = "row_no") -> DataFrame:

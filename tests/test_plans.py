@@ -72,35 +72,37 @@ def keyed_rows():
     return keys, [random.randrange(100) for _ in keys]
 
 
-def test_previous_row_and_sums_before_cross_block_borders(spark):
+def test_last_before_and_sums_before_cross_block_borders(spark):
     keys, values = keyed_rows()
-    rows = ordering.with_blocks(table(spark, k=keys, v=values), "k")
+    rows = table(spark, k=keys, v=values, at=keys).withColumn("p", F.struct(F.col("at").alias("k"), "v"))
     levels = ordering.key_levels("k")
-    out = ordering.sums_before(ordering.previous_row(rows, ["k", "v"], levels, "p"), ["v"], levels)
+    out = ordering.sums_before(ordering.last_before(rows, ["p"], levels), ["v"], levels)
     got = {r["k"]: r for r in out.collect()}
     assert len(got) == len(keys)
     before, last = 0, None
     for k, v in sorted(zip(keys, values)):
         row = got[k]
         assert row["v_before"] == before
-        assert (None if row["p"] is None else (row["p"]["k"], row["p"]["v"])) == last
+        assert (None if row["p_before"] is None else tuple(row["p_before"])) == last
         before, last = before + v, (k, v)
 
 
-def test_previous_row_with_many_rows_on_one_key(spark):
+def test_last_before_with_many_rows_on_one_key(spark):
     n = 3_000
     key = [5 if i % 3 == 0 else i for i in range(n)]
     tie = [i * 700_001 for i in range(n)]
     rows = table(spark, g=["x" if i % 5 else "y" for i in range(n)], k=key, t=tie)
-    rows = ordering.with_blocks(ordering.with_blocks(rows, "k"), "t")
-    got = ordering.previous_row(rows, ["t"], ordering.tied_levels("k", "t", ("g",)), "p").collect()
-    expected = {}
-    last = {}
+    rows = rows.withColumns({"at": F.col("t"), "odd": F.when(F.col("t") % 2 == 1, F.col("t"))})
+    got = ordering.last_before(rows, ["at", "odd"], ordering.tied_levels("k", "t", ("g",))).collect()
+    expected, last, last_odd = {}, {}, {}
     for g, k, t in sorted((r["g"], r["k"], r["t"]) for r in got):
-        expected[(g, k, t)] = last.get(g)
+        expected[(g, k, t)] = (last.get(g), last_odd.get(g))
         last[g] = t
+        if t % 2 == 1:
+            last_odd[g] = t
+    assert len(got) == n
     for r in got:
-        assert (r["p"]["t"] if r["p"] else None) == expected[(r["g"], r["k"], r["t"])]
+        assert (r["at_before"], r["odd_before"]) == expected[(r["g"], r["k"], r["t"])]
 
 
 def test_numbered_is_a_dense_order(spark):
