@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from sightline.functions import keywords as K
 from sightline.functions.types import measure, quoted
 from sightline.operators.profile import column_profile, distinct_counts, distinct_key, melt, semantic_types
 from sightline.plans.ordering import numbered
-from sightline.plans.shared import BROADCAST_ROWS
+from sightline.plans.shared import BROADCAST_ROWS, reliable, settle
 
 DATASET_TYPES = ("experiment", "timeseries", "transactional", "customer", "financial")
 
@@ -116,25 +117,25 @@ def category_correlation(
     df: DataFrame,
     dimension: str,
     measure_name: str,
-    n_distinct: int | None = None,
     small_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Absolute correlation of a measure with the sorted category codes (null = -1).
 
     Count, mean and variance are taken per category first, so a hot category is
     one row and no code is joined back to the table. A dimension with more than
-    ``small_rows`` categories, by its known or counted number, is coded by a
-    distributed sort.
+    ``small_rows`` categories is coded by a distributed sort.
     """
     groups = df.groupBy(quoted(dimension).alias("_d")).agg(
         F.count(measure(df, measure_name)).cast("double").alias("n"),
         F.avg(measure(df, measure_name)).alias("m"),
         F.var_pop(measure(df, measure_name)).alias("v"),
     )
+    # One scan: few categories are kept as literal rows, many are written once.
+    groups, few = settle(groups, small_rows)
+    if not few:
+        groups = reliable(groups)
     known = groups.where(F.col("_d").isNotNull())
-    if n_distinct is None:
-        n_distinct = known.select("_d").limit(small_rows + 1).count()
-    if n_distinct <= small_rows:
+    if few:
         coded = known.withColumn("code", F.row_number().over(Window.orderBy("_d")) - 1)
     else:
         coded = numbered(known, [F.col("_d")], "code")
@@ -159,7 +160,6 @@ def primary_dimension(
     dimensions: Sequence[str],
     measure_name: str | None,
     dataset_type: str = "general",
-    n_distinct: dict[str, int] | None = None,
 ) -> DataFrame:
     """The dimension that tells most about the measure, with its score."""
     spark = df.sparkSession
@@ -172,7 +172,7 @@ def primary_dimension(
     scores = None
     for i, name in enumerate(dimensions):
         if measure_name:
-            one = category_correlation(df, name, measure_name, (n_distinct or {}).get(name)).withColumnRenamed("correlation", "score")
+            one = category_correlation(df, name, measure_name).withColumnRenamed("correlation", "score")
         else:
             one = df.agg(F.count_distinct(distinct_key(df, name)).cast("double").alias("score")).select(
                 F.lit(name).alias("column_name"), "score"
@@ -228,11 +228,14 @@ def resolve(df: DataFrame, roles: dict[str, str] | None = None, approx: bool = F
     table = ruled.toArrow()
     settled = df.sparkSession.createDataFrame(table)
     rows = sorted(table.to_pylist(), key=lambda r: r["position"])
-    decision = dataset_type_score(settled).first()
 
     def having(role: str) -> list[str]:
         return [r["column_name"] for r in rows if r["role"] == role]
 
+    measures = having("measure")
+    with ThreadPoolExecutor(2) as pool:
+        variance = pool.submit(lambda: primary_measure(df, measures).first()) if measures else None
+        decision = dataset_type_score(settled).first()
     meta = Meta(
         dataset_type=decision["dataset_type"],
         confidence=decision["confidence"],
@@ -242,13 +245,12 @@ def resolve(df: DataFrame, roles: dict[str, str] | None = None, approx: bool = F
         times=having("time"),
         segments=having("segment"),
         dimensions=having("dimension"),
-        measures=having("measure"),
+        measures=measures,
     )
     meta.primary_time = meta.times[0] if meta.times else None
-    if meta.measures:
-        meta.primary_measure = primary_measure(df, meta.measures).first()["column_name"]
+    if variance is not None:
+        meta.primary_measure = variance.result()["column_name"]
     if meta.dimensions:
-        counts = {r["column_name"]: r["n_distinct"] for r in rows} if not approx else None
-        chosen = primary_dimension(df, meta.dimensions, meta.primary_measure, meta.dataset_type, counts)
+        chosen = primary_dimension(df, meta.dimensions, meta.primary_measure, meta.dataset_type)
         meta.primary_dimension = chosen.first()["column_name"]
     return meta

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,9 @@ from sightline.functions.types import kind, numeric_columns
 from sightline.operators import anomalies, charts, classify, correlation, dates, findings, profile, wording
 from sightline.operators.classify import Meta
 from sightline.operators.filters import Filter, apply_filter
-from sightline.plans.shared import reliable
+from sightline.plans.shared import reliable, settle
+
+PARTS_AT_ONCE = 4
 
 
 @dataclass
@@ -27,6 +31,28 @@ class Analysis:
     stats: DataFrame | None = None
     health: DataFrame | None = None
 
+    def tables(self) -> dict[str, DataFrame]:
+        named = {
+            "profile": self.profile,
+            "findings": self.findings,
+            "correlations": self.correlations,
+            "stats": self.stats,
+            "anomalies": self.anomalies,
+            "date_metrics": self.date_metrics,
+            "health": self.health,
+            **{f"chart_{k}": v for k, v in self.charts.items()},
+        }
+        return {k: v for k, v in named.items() if v is not None}
+
+    def each(self, act: Callable[[str, DataFrame], None]) -> None:
+        """Act on every table, a few at a time."""
+        with ThreadPoolExecutor(PARTS_AT_ONCE) as pool:
+            list(pool.map(lambda item: act(*item), self.tables().items()))
+
+    def save(self, root: str, fmt: str = "parquet") -> None:
+        """Write every table below a folder."""
+        self.each(lambda name, df: df.write.format(fmt).save(f"{root.rstrip('/')}/{name}"))
+
 
 def ask(df: DataFrame, meta: Meta) -> DataFrame | None:
     """The findings that fit the kind of dataset."""
@@ -68,7 +94,7 @@ def _general(df: DataFrame, meta: Meta) -> list[DataFrame]:
     return [*parts, wording.outliers(df, m)]
 
 
-def draw(df: DataFrame, meta: Meta, order_by: str | None = None) -> dict[str, DataFrame]:
+def draw(df: DataFrame, meta: Meta) -> dict[str, DataFrame]:
     """Chart datasets that fit the kind of dataset; identifiers are never an axis."""
     m, d, t = meta.primary_measure, meta.primary_dimension, meta.primary_time
     if not m:
@@ -118,22 +144,40 @@ def analyze(
     if view is not None:
         df = apply_filter(df, view, datetimes[0] if datetimes else None)
     numeric = [c for c in numeric_columns(df) if meta.semantic[c] == "numeric"]
-    result = Analysis(
-        meta=meta,
-        profile=meta.profile
-        if view is None
-        else classify.column_roles(profile.semantic_types(profile.column_profile(df, approx))),
-        findings=ask(df, meta),
-        charts=draw(df, meta, order_by),
-    )
-    if len(numeric) > 1:
-        result.correlations = correlation.top_correlations(df, numeric)
-    summary = profile.summary_of(df, numeric) if numeric else None
-    if numeric:
-        result.stats = profile.column_stats(df, numeric, summary)
-    if order_by is not None and numeric:
-        result.anomalies = anomalies.detect(df, numeric, order_by, datetimes[0] if datetimes else None, summary)
+    date_col = datetimes[0] if datetimes else None
+
+    def statistics() -> tuple[DataFrame | None, DataFrame | None]:
+        if not numeric:
+            return None, None
+        summary = profile.summary_of(df, numeric)
+        flags = None
+        if order_by is not None:
+            # The ten shown flags, read by two result tables.
+            flags, _ = settle(anomalies.detect(df, numeric, order_by, date_col, summary), anomalies.SHOWN_ALL)
+        return profile.column_stats(df, numeric, summary), flags
+
+    def metrics() -> DataFrame | None:
+        if date_col is None or order_by is None or not meta.measures:
+            return None
+        return dates.date_metrics(df, date_col, meta.measures, order_by)
+
+    # The parts do not depend on each other; their lookup scans may overlap.
+    with ThreadPoolExecutor(PARTS_AT_ONCE) as pool:
+        stats = pool.submit(statistics)
+        dated = pool.submit(metrics)
+        asked = pool.submit(ask, df, meta)
+        related = pool.submit(correlation.top_correlations, df, numeric) if len(numeric) > 1 else None
+        result = Analysis(
+            meta=meta,
+            profile=meta.profile
+            if view is None
+            else classify.column_roles(profile.semantic_types(profile.column_profile(df, approx))),
+            findings=asked.result(),
+            charts=draw(df, meta),
+            date_metrics=dated.result(),
+            correlations=related.result() if related else None,
+        )
+        result.stats, result.anomalies = stats.result()
+    if result.anomalies is not None:
         result.health = profile.health_score(df, result.anomalies)
-    if datetimes and meta.measures and order_by is not None:
-        result.date_metrics = dates.date_metrics(df, datetimes[0], meta.measures, order_by)
     return result
