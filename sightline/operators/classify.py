@@ -205,6 +205,7 @@ class Meta:
     confidence: float
     semantic: dict[str, str]
     profile: DataFrame
+    distinct: dict[str, int]
     identifiers: list[str] = field(default_factory=list)
     times: list[str] = field(default_factory=list)
     segments: list[str] = field(default_factory=list)
@@ -241,6 +242,7 @@ def resolve(df: DataFrame, roles: dict[str, str] | None = None, approx: bool = F
         confidence=decision["confidence"],
         semantic={r["column_name"]: r["semantic_type"] for r in rows},
         profile=settled,
+        distinct={r["column_name"]: r["n_distinct"] for r in rows},
         identifiers=having("identifier"),
         times=having("time"),
         segments=having("segment"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from sightline.functions.types import kind, numeric_columns
 from sightline.operators import anomalies, charts, classify, correlation, dates, findings, profile, wording
 from sightline.operators.classify import Meta
-from sightline.operators.filters import Filter, apply_filter
+from sightline.operators.filters import Filter, apply_filter, dimension_values
 from sightline.plans.shared import reliable, settle
 
 PARTS_AT_ONCE = 4
@@ -55,10 +55,13 @@ class Analysis:
 
 
 def ask(df: DataFrame, meta: Meta) -> DataFrame | None:
-    """The findings that fit the kind of dataset."""
+    """The findings that fit the kind of dataset, or the general ones.
+
+    An experiment needs two variants and a time series two periods.
+    """
     m, d, t = meta.primary_measure, meta.primary_dimension, meta.primary_time
     parts: list[DataFrame] = []
-    if meta.dataset_type == "experiment" and m and d:
+    if meta.dataset_type == "experiment" and m and d and meta.distinct[d] > 1:
         parts = [wording.winner(df, m, d)]
         parts += [wording.segment_winners(df, m, d, o) for o in [x for x in meta.dimensions if x != d][:2]]
         if t:
@@ -66,7 +69,7 @@ def ask(df: DataFrame, meta: Meta) -> DataFrame | None:
         parts.append(wording.spread(df, m, d))
         parts += [wording.unit_gap(df, m, u) for u in meta.identifiers[:1]]
         parts += [wording.segment_impact(df, m, s) for s in meta.segments[:2]]
-    elif meta.dataset_type == "timeseries" and m and t:
+    elif meta.dataset_type == "timeseries" and m and t and meta.distinct[t] > 1:
         # One scan for all four questions; as many rows as there are periods.
         means = reliable(findings.period_means(df, t, m))
         asked = (wording.trend, wording.best_worst, wording.spikes, wording.latest_change)
@@ -103,6 +106,10 @@ def draw(df: DataFrame, meta: Meta) -> dict[str, DataFrame]:
     if meta.dataset_type == "experiment" and d:
         out["kpi_cards"] = charts.kpi_cards(df, meta.measures, 3)
         out["bar"] = charts.bar_pct_diff(df, m, d)
+        others = [c for c in meta.dimensions if c != d]
+        if others and meta.distinct[d] <= charts.PIVOT_VALUES:
+            variants = [r["value"] for r in dimension_values(df, d).collect()]
+            out["grouped_bar"] = charts.grouped_bar(df, m, others[0], d, variants)
         out["box_plot"] = correlation.group_distribution(df, d, m)
         if t:
             out["multi_line"] = charts.multi_line(df, m, t, d)
