@@ -194,21 +194,22 @@ def segment_buckets(df: DataFrame, segment: str, measure_name: str) -> DataFrame
     """
     rows = df.select(measure(df, segment).alias("_s"), measure(df, measure_name).alias("_m"))
     rows = rows.where("_s is not null")
-    cuts = quantiles(rows, "_s", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).select(
-        F.array_distinct(F.array("min", "_q1", "_q2", "_q3", "max")).alias("_edges")
-    )
-    edges = F.col("_edges")
-    # At most five edges per row.
-    above = F.size(F.filter(edges, lambda e: e < F.col("_s")))
-    placed = beside(rows, cuts).withColumn("bucket", F.greatest(above, F.lit(1)))
-    means = placed.groupBy("bucket").agg(
-        F.avg("_m").alias("mean"), F.count(F.lit(1)).alias("n_rows"), F.first("_edges").alias("_edges")
+    cuts = quantiles(rows, "_s", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).first()
+    # At most five driver scalars, so that placing a row is plain compiled comparison.
+    edges = sorted({cuts[c] for c in ("min", "_q1", "_q2", "_q3", "max") if cuts[c] is not None}) or [0.0]
+    above = F.lit(0)
+    for e in edges:
+        above = above + (F.col("_s") > F.lit(e)).cast("int")
+    means = (
+        rows.groupBy(F.greatest(above, F.lit(1)).alias("bucket"))
+        .agg(F.avg("_m").alias("mean"), F.count(F.lit(1)).alias("n_rows"))
+        .where("mean is not null")
     )
-    upper = F.least(F.col("bucket") + 1, F.size("_edges"))
-    return means.where("mean is not null").select(
+    listed = F.array(*[F.lit(e) for e in edges])
+    return means.select(
         F.col("bucket").cast("long").alias("bucket"),
-        F.element_at("_edges", F.col("bucket")).alias("low"),
-        F.element_at("_edges", upper).alias("high"),
+        F.element_at(listed, F.col("bucket")).alias("low"),
+        F.element_at(listed, F.least(F.col("bucket") + 1, F.lit(len(edges)))).alias("high"),
         "n_rows",
         "mean",
     )
