@@ -56,10 +56,6 @@ def measure(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-def key_text(name: str) -> Column:
-    return quoted(name).cast("string")
-
-
 def null_nan(df: DataFrame) -> DataFrame:
     """NaN to null in every floating column; other columns are untouched."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, FLOATS)}
