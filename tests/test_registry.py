@@ -15,8 +15,9 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 import __spark_entry__ as entry
 from check import TABLES, compare
+from sightline.registry import all_queries
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = all_queries()
 
 
 @pytest.fixture(scope="module")
