@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import line_rules, minhash_forest, phrase_index
+from sightline.llm import bpe_fold, line_rules, minhash_forest, phrase_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +41,13 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_rules.clean(table(spark, sf_dir, "documents", "doc_id", "text"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return cleaned.select("doc_id", *[f"quality.{c}" for c in columns])
+
+
+@query
+def op7_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe_fold.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe_fold.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_fold.ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(bpe_fold.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
