@@ -195,43 +195,34 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, large
 
 
+def full_sets(ids: DataFrame, sets: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(id, set) of the given distinct ids; ``rows`` has (id, text)."""
+    chosen = ids.join(sets.select(F.col("rep").alias("id"), F.col("text_key").alias("chosen")), "id")
+    texts = rows.join(chosen, "id").where(F.xxhash64("text") == F.col("chosen")).dropDuplicates(["id"])
+    return texts.select("id", shingle_set(F.col("text"), size).alias("set"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``rows`` has (id, text)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = ids.join(sets.select(F.col("rep").alias("id"), F.col("text_key").alias("chosen")), "id")
-    texts = rows.join(ids, "id").where(F.xxhash64("text") == F.col("chosen")).dropDuplicates(["id"])
-    sets = reliable(texts.select("id", shingle_set(F.col("text"), size).alias("set")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b"
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    full = reliable(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sets, rows, size))
+    both = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(
+        full.select(F.col("id").alias("b"), F.col("set").alias("right")), "b"
     )
     common = F.size(F.array_intersect("left", "right"))
     return both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def _remaining(large: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large regions that no link joins so far and whose signatures don't rule them out.
+def _counts(own: np.ndarray, values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """How many members of sorted ``own`` each chosen set has; set i is values[starts[i]:starts[i + 1]] and not empty."""
+    lengths = starts[chosen + 1] - starts[chosen]
+    begin = np.cumsum(lengths) - lengths
+    flat = values[np.repeat(starts[chosen] - begin, lengths) + np.arange(int(lengths.sum()))]
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.add.reduceat((own[at] == flat).astype(np.int64), begin)
 
-    In each region the rows of its largest component need no comparison with each
-    other: the other rows are compared with all, in blocks of BLOCK rows; a block
-    pair is one task's group, and only pairs that pass come out.
-    """
-    named = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    inside = named.groupBy("tree", "region", "component").agg(F.count("*").alias("m"))
-    regions = inside.groupBy("tree", "region").agg(
-        F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("rows")
-    )
-    open_ = regions.where("parts > 1").select(
-        "tree", "region", F.col("main.component").alias("main"), (F.col("rows") / BLOCK).cast("int").alias("blocks"),
-        ((F.col("rows") - F.col("main.m")) / BLOCK).cast("int").alias("stray_blocks"),
-    )
-    rows = named.join(open_, ["tree", "region"]).join(sets.select(F.col("rep").alias("id"), "signature"), "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks") + 1))
-    rows = rows.withColumn("stray", F.col("component") != F.col("main"))
-    asked = rows.where("stray").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("all_block"))
-    asked = asked.withColumn("stray_block", F.pmod(F.xxhash64("id"), F.col("stray_blocks") + 1))
-    against = rows.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("stray_blocks"))).alias("stray_block"), F.col("own").alias("all_block")
-    )
+
+def _compare(percent: int):
+    """Links between asking and other rows of a block; none that earlier links of the block imply."""
     floor = percent / 100 - SLACK
 
     def compare(block: pa.Table) -> pa.Table:
@@ -239,24 +230,63 @@ def _remaining(large: DataFrame, sets: DataFrame, labels: DataFrame, percent: in
         asks = block["asks"]
         left, right = block.filter(asks), block.filter(pa.compute.invert(asks))
         if left.num_rows and right.num_rows:
-            width = TREES * DEPTH
-            ours, theirs = (np.frombuffer(W.bytes_of(t["signature"])[0].tobytes(), "<u4").reshape(-1, width) for t in (left, right))
-            ids, other = left["id"].to_numpy(), right["id"].to_numpy()
-            part, other_part = left["component"].to_numpy(), right["component"].to_numpy()
-            n, other_n = left["n"].to_numpy(), right["n"].to_numpy()
+            ours, theirs = (np.frombuffer(W.bytes_of(t["signature"])[0].tobytes(), "<u4").reshape(-1, TREES * DEPTH) for t in (left, right))
+            sets = right["set"].combine_chunks()
+            values, starts = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(right["n"].to_numpy())])
+            own_sets, own_starts = left["set"].combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(left["n"].to_numpy())])
+            ids, other, n, other_n = left["id"].to_numpy(), right["id"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
+            part, other_part = left["component"].to_numpy().copy(), right["component"].to_numpy().copy()
             for i in range(len(ids)):
-                near = (other_part != part[i]) & (5 * np.minimum(n[i], other_n) >= 4 * np.maximum(n[i], other_n))
-                near = np.flatnonzero(near)
+                near = np.flatnonzero((other_part != part[i]) & (100 * np.minimum(n[i], other_n) >= percent * np.maximum(n[i], other_n)))
                 near = near[(theirs[near] == ours[i]).mean(axis=1) >= floor]
-                a.append(np.minimum(ids[i], other[near]))
-                b.append(np.maximum(ids[i], other[near]))
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": join(a), "b": join(b)})
-
-    keys = ["tree", "region", "stray_block", "all_block"]
-    columns = [*keys, "id", "component", "n", "signature"]
-    both = asked.select(*columns, F.lit(True).alias("asks")).unionByName(against.select(*columns, F.lit(False).alias("asks")))
-    return both.groupBy(*keys).applyInArrow(compare, "a long, b long").distinct()
+                if not len(near):
+                    continue
+                common = _counts(own_sets[own_starts[i] : own_starts[i + 1]], values, starts, near)
+                for j in near[100 * common >= percent * (n[i] + other_n[near] - common)]:
+                    if other_part[j] != part[i]:
+                        a.append(ids[i])
+                        b.append(other[j])
+                        old, new = other_part[j], part[i]
+                        part[part == old] = new
+                        other_part[other_part == old] = new
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def _remaining(large: DataFrame, sets: DataFrame, labels: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links in large regions that the links found so far don't imply; None if all those regions are joined.
+
+    Regions that share rows are taken together as a family, so that no two rows meet
+    twice. In a family the rows of the largest component need no comparison with
+    each other: the others are compared with all, in blocks of BLOCK rows, by
+    signature and then by full set. A pair of blocks is a group, and gives at most
+    as many links as it has rows.
+    """
+    named = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = named.groupBy("tree", "region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    node = F.xxhash64(F.lit("row"), "id")
+    edges = reliable(
+        named.join(open_, ["tree", "region"]).select("id", "component", "n", node.alias("a"), F.xxhash64(F.lit("region"), "tree", "region").alias("b"))
+    )
+    if edges.isEmpty():
+        return None
+    families = components(edges.select("a", "b")).withColumnRenamed("component", "family").withColumnRenamed("id", "a")
+    members = reliable(edges.select("id", "component", "n", "a").distinct().join(families, "a").drop("a"))
+    inside = members.groupBy("family", "component").agg(F.count("*").alias("m"))
+    totals = inside.groupBy("family").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("m")).select(
+        "family", F.col("main.component").alias("main"), (F.col("m") / BLOCK).cast("int").alias("blocks"),
+        ((F.col("m") - F.col("main.m")) / BLOCK).cast("int").alias("ask_blocks"),
+    )
+    full = full_sets(members.select("id"), sets, rows, size).join(sets.select(F.col("rep").alias("id"), "signature"), "id")
+    placed = reliable(members.join(totals, "family").join(full, "id"))
+    asking = placed.where("component <> main")
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks) + 1)
+    all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks)))
+    columns = ["family", "id", "component", "n", "signature", "set"]
+    left = asking.select(*columns, own("ask_blocks").cast("int").alias("ask_block"), all_of("blocks").alias("block"), F.lit(True).alias("asks"))
+    right = placed.select(*columns, all_of("ask_blocks").alias("ask_block"), own("blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
+    return left.unionByName(right).groupBy("family", "ask_block", "block").applyInArrow(_compare(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -287,10 +317,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs, large = candidates(sets)
     links = reliable(confirm(pairs, sets, rows, shingle, percent))
     labels = components(links)
-    more = reliable(_remaining(large, sets, labels, percent))
-    if not more.isEmpty():
-        links = reliable(links.unionByName(confirm(more, sets, rows, shingle, percent)))
-        labels = components(links)
+    more = _remaining(large, sets, labels, rows, shingle, percent)
+    if more is not None:
+        labels = components(links.unionByName(more))
     named = sets.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
