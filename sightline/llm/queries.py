@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe_fold, line_rules, minhash_forest, phrase_index
+from sightline.llm import bpe_fold, license_digests, line_rules, minhash_forest, phrase_index, secret_trigrams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +51,25 @@ def op7_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_fold.ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2(bpe_fold.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_digests.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "license.digest", "license.license_id", F.array_join("license.notices", ",").alias("notices"))
+
+
+ORACLE["op5_license_digests"] = license_digests.oracle_sql()
+
+
+@query
+def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secret_trigrams.BASE + secret_trigrams.MORE
+    found = secret_trigrams.scan(table(spark, sf_dir, "documents", "doc_id", "text"), rules=rules)
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_trigrams.BASE)]
+    base = secret_trigrams.listed(F.col("secrets"), rules, len(secret_trigrams.BASE))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_trigrams.listed(F.col("secrets"), rules).alias("spans"))
