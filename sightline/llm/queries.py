@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe_fold, license_digests, line_rules, minhash_forest, phrase_index, secret_trigrams
+from sightline.llm import (
+    bpe_fold, license_digests, line_rules, minhash_forest, phrase_index, secret_trigrams, token_lengths, url_ratio, warc_zstd,
+)
+from sightline.plans.shared import reliable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +76,25 @@ def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_trigrams.BASE)]
     base = secret_trigrams.listed(F.col("secrets"), rules, len(secret_trigrams.BASE))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_trigrams.listed(F.col("secrets"), rules).alias("spans"))
+
+
+@query
+def op3_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_ratio.judge(table(spark, sf_dir, "pages", "page_id", "url"))
+    return judged.select("page_id", *[f"filter.{c}" for c in ("host", "path", "rule", "verdict")])
+
+
+@query
+def op4_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe_fold.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counted = table(spark, sf_dir, "documents", "text").select(
+        token_lengths.encoded_length(spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("n_tokens")
+    )
+    return token_lengths.suffix_sums(reliable(token_lengths.histogram(counted, "n_tokens")))
+
+
+@query
+def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc_zstd.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    records = warc_zstd.read(folder, index.select("file").distinct(), payload=False)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
