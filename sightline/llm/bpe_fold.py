@@ -3,8 +3,8 @@
 Texts are cut into words by the usual pattern of byte-level tokenizers, in NumPy. The
 distinct words of all texts, counted, go through a fold of higher-order functions
 over their bytes with a literal rank map. The most frequent encoded words, at most
-``dictionary``, are broadcast as flat arrays; texts with other words get those by a
-join. Decoding concatenates the bytes of the tokens.
+``dictionary``, lie in a folder that each task reads; texts with other words get those
+by a join. Decoding concatenates the bytes of the tokens.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import words as W
-from sightline.plans.shared import reliable
+from sightline.plans.shared import reliable, scratch_path
 
 #: The only pattern that pieces() cuts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded words that are broadcast at most; 64-bit hash, offset and about four ids each, 120 MB.
+#: Encoded words that a task reads at most; 64-bit hash, offset and about four ids each, 120 MB.
 DICTIONARY = 4_000_000
 #: Buckets of the literal rank map; an entry is found by its checksum, not by a scan of all entries.
 BUCKETS = 1 << 16
@@ -173,37 +173,46 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
 
 @dataclass
 class Encoder:
-    """All words of a corpus encoded, and the arrays of the most frequent ones."""
+    """All words of a corpus encoded, and the folder with the most frequent ones in the order of their hashes."""
 
     words: DataFrame  # word, hash, n, ids
-    hashes: object  # broadcasts of sorted hashes, offsets and ids
+    folder: str
     complete: bool
     runs: tuple[np.ndarray, np.ndarray]
 
 
 def encoder(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", dictionary: int = DICTIONARY) -> Encoder:
-    """Encode the distinct words of ``docs`` and broadcast at most ``dictionary`` of them, the most frequent."""
+    """Encode the distinct words of ``docs``; at most ``dictionary`` of them, the most frequent, go to every task."""
     coded = reliable(distinct_words(docs, text).withColumn("ids", fold(F.col("word"), ranks)))
-    steps = coded.groupBy("n").count().orderBy(F.desc("n"))
-    total = coded.count()
-    floor = 0
+    total, floor = coded.count(), 0
     if total > dictionary:
-        floor, held = None, 0
-        for row in steps.toLocalIterator():
+        floor, held = NONE, 0
+        for row in coded.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
             held += row["count"]
             if held > dictionary:
                 break
             floor = row["n"]
-        floor = NONE if floor is None else floor
-    table = coded.where(F.col("n") >= floor).select("hash", F.transform("ids", lambda i: i.cast("int")).alias("ids")).toArrow()
-    hashes = table["hash"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    ids = table["ids"].combine_chunks()
-    if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    ids = ids.take(pa.array(order))
-    flat = (hashes[order], ids.offsets.to_numpy().astype(np.int64) - (ids.offsets[0].as_py() if len(ids) else 0), ids.flatten().to_numpy().astype(np.uint32))
-    return Encoder(coded, docs.sparkSession.sparkContext.broadcast(flat), total <= dictionary, _class_runs())
+    folder = scratch_path(docs.sparkSession, "words")
+    coded.where(F.col("n") >= floor).select("hash", "ids").orderBy("hash").write.parquet(folder)
+    return Encoder(coded, folder, total <= dictionary, _class_runs())
+
+
+def _dictionary(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, offsets and ids of the words in a folder; each task reads it from the shared storage."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    store, base = fs.FileSystem.from_uri(folder)
+    names = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("part-"))
+    hashes, counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for name in names:
+        with store.open_input_file(name) as f:
+            part = pq.read_table(f, use_threads=False)
+        hashes.append(part["hash"].to_numpy())
+        counts.append(pa.compute.list_value_length(part["ids"]).to_numpy())
+        ids.append(pa.compute.list_flatten(part["ids"]).to_numpy())
+    where = np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])
+    return np.concatenate(hashes), where, np.concatenate(ids)
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -221,7 +230,7 @@ def _encode(texts: pa.Array, extra: pa.Array | None, flat, kinds: np.ndarray) ->
     for a, b, data, offsets in W.slices(texts):
         starts, first = pieces(data, offsets, kinds)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        own = W.range_hash(W.prefix_hash(data), starts, ends)
+        own = W.range_hash(W.prefix_hash(data), starts, ends).view(np.int64)
         at = np.searchsorted(hashes, own)
         at[at == len(hashes)] = 0
         found = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
@@ -245,10 +254,10 @@ def _encode(texts: pa.Array, extra: pa.Array | None, flat, kinds: np.ndarray) ->
                 begin[i], lengths[i] = size, len(known[d][word])
                 added += known[d][word]
                 size += lengths[i]
-            pool = np.concatenate([ids, np.array(added, np.uint32)])
+            pool = np.concatenate([ids, np.array(added, np.int32)])
         tokens = pool[_gather(begin, lengths)]
         ends_of = np.concatenate([[0], np.cumsum(lengths)])[first]
-        out_ids.append(pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), pa.array(tokens.astype(np.int32))))
+        out_ids.append(pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), pa.array(tokens)))
         out_missing.append(pa.array([sorted(set(m)) for m in missing], pa.list_(pa.binary())))
     if not out_ids:
         return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("missing", pa.list_(pa.binary()))]))
@@ -266,15 +275,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     if any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("the ranks lack single bytes")
     e = encoder(docs, ranks, text, dictionary)
-    flat, (runs, lengths) = e.hashes, e.runs
+    folder, (runs, lengths) = e.folder, e.runs
 
     @F.arrow_udf(CODED)
-    def known(texts: pa.Array) -> pa.Array:
-        return _encode(texts, None, flat.value, np.repeat(runs, lengths))
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, kinds = _dictionary(folder), np.repeat(runs, lengths)
+        for texts in batches:
+            yield _encode(texts, None, words, kinds)
 
     @F.arrow_udf(CODED)
-    def completed(texts: pa.Array, extra: pa.Array) -> pa.Array:
-        return _encode(texts, extra, flat.value, np.repeat(runs, lengths))
+    def completed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        words, kinds = _dictionary(folder), np.repeat(runs, lengths)
+        for texts, extra in batches:
+            yield _encode(texts, extra, words, kinds)
 
     columns = [c for c in docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
@@ -298,13 +311,20 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def joined(lists: pa.Array) -> pa.Array:
-        tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = np.diff(np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]))
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        tokens = pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False)
         if len(tokens) and (tokens.min() < 0 or tokens.max() >= size):
             raise ValueError("an id has no token")
-        lengths = where[tokens + 1] - where[tokens]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        return W.binary_array(data[_gather(where[tokens], lengths)], ends)
+        parts, at = [], 0
+        while at < len(lists):  # some lists at a time
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + W.SLICE // 8, "right")) - 1)
+            own = tokens[ends[at] : ends[to]]
+            lengths = where[own + 1] - where[own]
+            cuts = np.concatenate([[0], np.cumsum(lengths)])[ends[at : to + 1] - ends[at]]
+            parts.append(W.binary_array(data[_gather(where[own], lengths)], cuts))
+            at = to
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return joined.asNondeterministic()(ids)
 
