@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import (
-    bpe_fold, license_digests, line_rules, minhash_forest, phrase_index, secret_trigrams, token_lengths, url_ratio, warc_zstd,
+    bpe_fold, license_digests, line_rules, minhash_forest, phrase_index, secret_trigrams, suffix_levels, token_lengths, url_ratio, warc_zstd,
 )
 from sightline.plans.shared import reliable
 
@@ -98,3 +98,9 @@ def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc_zstd.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     records = warc_zstd.read(folder, index.select("file").distinct(), payload=False)
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_levels.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", *[f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans")], F.sha2("repeats.kept", 256).alias("kept_sha256"))
