@@ -27,6 +27,8 @@ from sightline.plans.shared import reliable
 
 #: Two sets at the threshold of 0.8 share at least BASE levels of one of TREES trees but for a chance of (1 - 0.8^3)^24 = 3e-8.
 TREES, DEPTH, BASE = 24, 6, 3
+#: Bytes of a level: two equal ones stem from different shingles once in 65,536 cases.
+LEVEL = 2
 #: Sets of a region that are all compared; a larger region is split at its next level.
 REGION = 6
 #: Rows of a block when large regions are compared.
@@ -65,7 +67,7 @@ def shingle_set(text: Column, size: int) -> Column:
 
 
 def signature(text: Column, size: int) -> Column:
-    """Struct of the number of shingles, a digest of the set, and TREES * DEPTH minima as big-endian bytes."""
+    """Struct of the number of shingles, a digest of the set, and TREES * DEPTH minima as big-endian 16-bit numbers."""
     seeds = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def fn(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -74,15 +76,15 @@ def signature(text: Column, size: int) -> Column:
         ends = np.searchsorted(doc, np.arange(n + 1))
         sizes = np.diff(ends)
         some = np.flatnonzero(sizes)
-        minima = np.zeros((n, len(seeds)), dtype=">u4")
+        minima = np.zeros((n, len(seeds)), dtype=">u2")
         high = hashes ^ (hashes >> np.uint64(29))
         if len(some):
             for j, seed in enumerate(seeds):
                 least = np.minimum.reduceat(high * seed, ends[some])
-                minima[some, j] = (W.mix(least) >> np.uint64(32)).astype(np.uint32)
+                minima[some, j] = (W.mix(least) >> np.uint64(48)).astype(np.uint16)
         raw = hashes.tobytes()
         digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]
-        width = 4 * len(seeds)
+        width = LEVEL * len(seeds)
         packed = W.binary_array(np.frombuffer(minima.tobytes(), np.uint8), np.arange(n + 1) * width)
         return [pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), packed]
 
@@ -131,7 +133,7 @@ def _neighbours(paths: np.ndarray, trees: np.ndarray, cut: bool) -> tuple[np.nda
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
     data, _ = W.bytes_of(table["path"])
-    paths = np.frombuffer(data.tobytes(), ">u4").reshape(-1, DEPTH)
+    paths = np.frombuffer(data.tobytes(), ">u2").reshape(-1, DEPTH)
     return paths, table["tree"].to_numpy(), table["rep"].to_numpy(), table["n"].to_numpy()
 
 
@@ -182,7 +184,7 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``sets`` has (rep, n, signature), one row for each distinct set.
     """
     slices = [
-        F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH).alias("path")) for t in range(TREES)
+        F.struct(F.lit(t).alias("tree"), F.substring("signature", LEVEL * DEPTH * t + 1, LEVEL * DEPTH).alias("path")) for t in range(TREES)
     ]
     forest = sets.select("rep", "n", F.inline(F.array(*slices)))
     ordered = forest.repartitionByRange("tree", "path", "n", "rep").sortWithinPartitions("tree", "path", "n", "rep")
@@ -191,7 +193,7 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         found.where("kind = 2").select("tree", "path", F.col("a").alias("rep"), "n", "place").groupBy("tree").applyInArrow(_edges, "a long, b long")
     )
     pairs = found.where("kind = 0").select("a", "b").unionByName(borders).distinct()
-    large = found.where("kind = 1").select("tree", F.substring("path", 1, 4 * BASE).alias("region"), F.col("a").alias("id"), "n")
+    large = found.where("kind = 1").select("tree", F.substring("path", 1, LEVEL * BASE).alias("region"), F.col("a").alias("id"), "n")
     return pairs, large
 
 
@@ -230,7 +232,7 @@ def _compare(percent: int):
         asks = block["asks"]
         left, right = block.filter(asks), block.filter(pa.compute.invert(asks))
         if left.num_rows and right.num_rows:
-            ours, theirs = (np.frombuffer(W.bytes_of(t["signature"])[0].tobytes(), "<u4").reshape(-1, TREES * DEPTH) for t in (left, right))
+            ours, theirs = (np.frombuffer(W.bytes_of(t["signature"])[0].tobytes(), ">u2").reshape(-1, TREES * DEPTH) for t in (left, right))
             sets = right["set"].combine_chunks()
             values, starts = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(right["n"].to_numpy())])
             own_sets, own_starts = left["set"].combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(left["n"].to_numpy())])
@@ -289,30 +291,16 @@ def _remaining(large: DataFrame, sets: DataFrame, labels: DataFrame, rows: DataF
     return left.unionByName(right).groupBy("family", "ask_block", "block").applyInArrow(_compare(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    A text's words are runs without ASCII white space, A-Z in lower case; its set
-    holds the distinct shingles of ``shingle`` words, or its whole sequence if it is
-    shorter. Texts are linked if their sets have at least ``percent`` per cent of
-    their union in common. component_id is the smallest id reachable over links.
-
-    Null, empty and wordless texts have no shingles and are linked with nothing, so
-    they are kept. Every row gives one row. Of different texts under one id only one
-    takes part (the one with the smallest hash); the others count as copies of a
-    document with the same set, or else stand alone. A row without id is never kept if a
-    document with id has the same or a linked text; else its component_id is null
-    and it is kept. ``percent`` must be 80 or more: the trees are laid out for that.
-    """
+def _judge(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, text_key, n, component_id, kept) for every row of (id, text)."""
     if percent < 80:
         raise ValueError("the forest finds links from 80 per cent upwards")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = reliable(rows.select("id", F.xxhash64("text").alias("text_key"), signature(F.col("text"), shingle).alias("s")).select("id", "text_key", "s.*"))
     keys = signed.where("n > 0 and id is not null").select("id", "text_key", "digest", "n")
     chosen = keys.groupBy("id").agg(F.min("text_key").alias("text_key"))
     distinct = keys.join(chosen, ["id", "text_key"]).groupBy("digest").agg(F.min(F.struct("id", "text_key")).alias("r"), F.max("n").alias("n"))
     distinct = distinct.select("r.*", "digest", "n")
-    sets = signed.select("id", "text_key", "signature").join(distinct, ["id", "text_key"]).dropDuplicates(["id"])
+    sets = signed.select("id", "text_key", "signature").join(distinct, ["id", "text_key"]).dropDuplicates(["id", "text_key"])
     sets = reliable(sets.withColumnRenamed("id", "rep"))
     pairs, large = candidates(sets)
     links = reliable(confirm(pairs, sets, rows, shingle, percent))
@@ -325,6 +313,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     out = signed.join(named, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
+        "id", "text_key", "n", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    )
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    A text's words are runs without ASCII white space, A-Z in lower case; its set
+    holds the distinct shingles of ``shingle`` words, or its whole sequence if it is
+    shorter. Texts are linked if their sets have at least ``percent`` per cent of
+    their union in common. component_id is the smallest id reachable over links.
+
+    Null, empty and wordless texts have no shingles and are linked with nothing, so
+    they are kept. Every row gives one row. Of different texts under one id only one
+    takes part (the one with the smallest hash); the others count as copies of a
+    document with the same set, or else stand alone. A row without id is never kept if a
+    document with id has the same or a linked text; else its component_id is null
+    and it is kept. ``percent`` must be 80 or more: the trees are laid out for that.
+    """
+    judged = _judge(_rows(docs, doc_id, text), shingle, percent)
+    return judged.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps, all columns; of rows with the same id and text one."""
+    judged = _judge(_rows(docs, doc_id, text), shingle, percent).where("kept")
+    keys = {"_id": F.coalesce("id", F.lit(0)), "_none": F.col("id").isNull(), "_text": F.col("text_key")}
+    chosen = judged.select(*[c.alias(k) for k, c in keys.items()]).distinct()
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0)).alias("_id"),
+        F.col(f"`{doc_id}`").isNull().alias("_none"), F.xxhash64(F.col(f"`{text}`")).alias("_text"),
     )
+    return rows.join(chosen, list(keys), "left_semi").dropDuplicates(list(keys)).select("_row.*")
