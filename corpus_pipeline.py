@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import line_rules, minhash_forest, phrase_index
+from sightline.llm import bpe_fold, line_rules, minhash_forest, phrase_index, secret_trigrams
 from sightline.plans.shared import scratch_path
 
 #: Word shingles of the near-duplicate stage.
 SHINGLE = 5
+#: Rank file of the encoding stage.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def with_text(rows: DataFrame, text: Column, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with another text and its number of characters."""
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their failing lines."""
     judged = line_rules.clean(docs, out="line_quality").where("line_quality.kept")
-    text = F.col("line_quality.clean_text")
-    return judged.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)).withColumn("text", text).select(*docs.columns)
+    return with_text(judged, F.col("line_quality.clean_text"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    kept = minhash_forest.near_duplicates(docs, shingle=SHINGLE).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return minhash_forest.keep_one(docs, shingle=SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +40,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return phrase_index.phrase_hits(docs, benchmark, out="leak").where("leak.n_hit = 0").select(*docs.columns)
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate)]
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by the secrets' kinds."""
+    rules = secret_trigrams.BASE + secret_trigrams.MORE
+    found = secret_trigrams.scan(docs, out="found_secrets", rules=rules)
+    text = secret_trigrams.redacted(F.col("text"), F.col("found_secrets"), rules)
+    return with_text(found, text, docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their token ids, the number of these, and whether they decode to the text."""
+    ranks = bpe_fold.read_ranks(public_tokenizers.path(VOCABULARY))
+    coded = bpe_fold.encode(docs, ranks, out="token_ids")
+    same = bpe_fold.decode(F.col("token_ids"), ranks) == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("decodes", same)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]
 
+#: SQL has no byte-pair encoding; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
