@@ -56,7 +56,7 @@ def _shingles(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_set(text: Column, size: int) -> Column:
-    """Sorted array of the distinct shingle hashes of a text."""
+    """Array of the distinct shingle hashes of a text, sorted as unsigned numbers."""
 
     def fn(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         doc, hashes = _shingles(W.tokenize(data, offsets, W.LOWER), size)
@@ -234,8 +234,8 @@ def _compare(percent: int):
         if left.num_rows and right.num_rows:
             ours, theirs = (np.frombuffer(W.bytes_of(t["signature"])[0].tobytes(), ">u2").reshape(-1, TREES * DEPTH) for t in (left, right))
             sets = right["set"].combine_chunks()
-            values, starts = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(right["n"].to_numpy())])
-            own_sets, own_starts = left["set"].combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(left["n"].to_numpy())])
+            values, starts = sets.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(right["n"].to_numpy())])
+            own_sets, own_starts = left["set"].combine_chunks().flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(left["n"].to_numpy())])
             ids, other, n, other_n = left["id"].to_numpy(), right["id"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
             part, other_part = left["component"].to_numpy().copy(), right["component"].to_numpy().copy()
             for i in range(len(ids)):
@@ -311,7 +311,7 @@ def _judge(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     named = sets.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
-    out = signed.join(named, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
+    out = signed.join(named, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")))
     return out.select(
         "id", "text_key", "n", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
     )

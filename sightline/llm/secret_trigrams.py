@@ -54,7 +54,7 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
     def close(exact: set[str]) -> set[str]:
         if all(len(x) >= 3 for x in exact):
-            clauses.append(sorted({frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in exact}, key=sorted))
+            clauses.append(sorted({frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in exact}, key=lambda a: (len(a), sorted(a))))
         return {""}
 
     def walk(nodes, exact: set[str]) -> tuple[set[str], bool]:
