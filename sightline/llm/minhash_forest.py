@@ -306,7 +306,8 @@ def _judge(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     links = reliable(confirm(pairs, sets, rows, shingle, percent))
     labels = components(links)
     more = _remaining(large, sets, labels, rows, shingle, percent)
-    if more is not None:
+    more = None if more is None else reliable(more)
+    if more is not None and not more.isEmpty():
         labels = components(links.unionByName(more))
     named = sets.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
