@@ -120,8 +120,9 @@ def anom_iqr(
     if reported is None:
         reported = anom_zscore(df, columns, order_by)
     # At most three reported rows per column.
-    seen, _ = settle(reported.where("detector = 1").select("column_name", "row_key"), SHOWN_ZSCORE * len(cells))
-    out = out.join(F.broadcast(seen), ["column_name", "row_key"], "left_anti")
+    seen, _ = settle(reported.where("detector = 1").select("column_name", "row_key", "value"), SHOWN_ZSCORE * len(cells))
+    # The value counts too: where a key repeats, other rows of the key are not reported yet.
+    out = out.join(F.broadcast(seen), ["column_name", "row_key", "value"], "left_anti")
     return _flags(
         _first_rows(out, SHOWN_IQR, "row_key"),
         2,

@@ -14,9 +14,7 @@ from sightline.operators.findings import cell_means, exp_segment_winners, group_
 from sightline.operators.profile import distinct_counts, melt
 from sightline.plans.shared import beside
 
-PIVOT_VALUES = 100
 LONG_SPAN_DAYS = 90
-LINE_POINTS = 200
 
 
 def kpi_cards(df: DataFrame, measures: Sequence[str], limit: int = 3) -> DataFrame:
@@ -41,15 +39,24 @@ def bar_pct_diff(df: DataFrame, measure_name: str, dim: str) -> DataFrame:
     )
 
 
+def grouped_bar_long(df: DataFrame, measure_name: str, segment: str, variant: str) -> DataFrame:
+    """Mean per segment and variant as rows (category, variant, y), only when winners differ."""
+    cells = cell_means(df, segment, variant, measure_name)
+    long = cells.select(F.col("seg").cast("string").alias("category"), F.col("var").cast("string").alias("variant"), F.col("mean").alias("y"))
+    differ = exp_segment_winners(df, measure_name, variant, segment).agg(
+        F.coalesce(F.bool_or(~F.col("consistent")), F.lit(False)).alias("_differ")
+    )
+    return beside(long, differ).where("_differ").drop("_differ")
+
+
 def grouped_bar(
     df: DataFrame, measure_name: str, segment: str, variant: str, variants: Sequence[object], always: bool = False
 ) -> DataFrame:
     """Mean per segment (rows) and variant (columns), only when winners differ.
 
-    The variants are given, so no job is needed to find them, and bounded.
+    The caller names the variants, so the table is as wide as asked for; the long
+    form for any number of variants is ``grouped_bar_long``.
     """
-    if len(variants) > PIVOT_VALUES:
-        raise ValueError(f"{len(variants)} variants: keep the long form above {PIVOT_VALUES}")
     cells = cell_means(df, segment, variant, measure_name)
     wide = cells.groupBy(F.col("seg").cast("string").alias("category")).pivot("var", list(variants)).agg(F.first("mean"))
     if always:
@@ -110,8 +117,11 @@ def rec_kpi(df: DataFrame, kpis: Sequence[str], limit: int = 4) -> DataFrame:
     return melt(row, names, ["y"]).select("column_name", kind[F.col("column_name")].alias("aggregation"), "y")
 
 
-def rec_time_line(df: DataFrame, kpi: str, date_col: str) -> DataFrame:
-    """Sums over time: by month with empty months as zero beyond 90 days, else by date."""
+def rec_time_line(df: DataFrame, kpi: str, date_col: str, points: int | None = None) -> DataFrame:
+    """Sums over time: by month with empty months as zero beyond 90 days, else by date.
+
+    The whole series, or its first ``points``.
+    """
     d = quoted(date_col).cast("timestamp")
     present = df.select(d.alias("ts"), measure(df, kpi).alias("_m")).na.drop()
     span = present.agg(F.min("ts").alias("_from"), F.max("ts").alias("_to")).withColumn(
@@ -126,7 +136,7 @@ def rec_time_line(df: DataFrame, kpi: str, date_col: str) -> DataFrame:
     # Months between two dates: bounded by the calendar.
     empty = grid.select("x", F.lit(0.0).alias("y"))
     line = sums.unionByName(empty).groupBy("x").agg(F.sum("y").alias("y"))
-    first = line.orderBy("x").limit(LINE_POINTS)
+    first = line if points is None else line.orderBy("x").limit(points)
     return first.select(F.date_format("x", "yyyy-MM-dd HH:mm:ss").alias("x"), "y")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import keywords as K
 from sightline.functions.types import measure, quoted
-from sightline.operators.profile import column_profile, distinct_counts, distinct_key, melt, semantic_types
+from sightline.operators.profile import column_profile, distinct_counts, distinct_key, melt, semantic_types, value
 from sightline.plans.ordering import numbered
 from sightline.plans.shared import BROADCAST_ROWS, reliable, settle
 
@@ -187,7 +187,7 @@ def primary_dimension(
 def cardinalities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of each column, a null counting as one value."""
     nulls = df.agg(
-        *[F.coalesce(F.max(quoted(c).isNull().cast("long")), F.lit(0)).alias(f"null_{i}") for i, c in enumerate(columns)]
+        *[F.coalesce(F.max(value(df, c).isNull().cast("long")), F.lit(0)).alias(f"null_{i}") for i, c in enumerate(columns)]
     )
     # One row per column on both sides.
     return (

@@ -14,7 +14,6 @@ from sightline.plans.quantiles import quantiles
 from sightline.plans.shared import beside
 
 PAIRS_PER_SCAN = 60
-PIVOT_COLUMNS = 100
 BINS = 20
 
 
@@ -123,8 +122,6 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], min_columns: int = 4) ->
 def heatmap_pivot(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long matrix to one row per ``y`` and one column per name; gaps are zero."""
     names = list(columns)
-    if len(names) > PIVOT_COLUMNS:
-        raise ValueError(f"{len(names)} columns: keep the long form above {PIVOT_COLUMNS}")
     return matrix.groupBy("y").pivot("x", names).agg(F.first("value")).na.fill(0.0, subset=names)
 
 

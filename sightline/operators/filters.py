@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sightline.functions.types import field_type, quoted
+from sightline.functions.types import INTEGERS, field_type, quoted
 from sightline.operators.classify import cardinalities
 from sightline.plans.shared import beside
 
@@ -50,10 +52,39 @@ def filter_dimensions(df: DataFrame, dimensions: Mapping[str, object]) -> DataFr
         if wanted is None or wanted == "":
             continue
         text = str(wanted).lower() if isinstance(wanted, bool) else str(wanted)
-        out = out.where(quoted(name).cast("string") == F.lit(text))
+        out = out.where(equals_text(out, name, text))
     return out
 
 
+def equals_text(df: DataFrame, name: str, text: str) -> Column:
+    """Rows whose value reads as ``text``, as a comparison of the bare column where that is the same.
+
+    An integer, date or boolean has one text; a literal of the column's type with
+    just this text reaches the file scan, and without such a literal no row fits.
+    """
+    dtype = field_type(df, name)
+    if not isinstance(dtype, (*INTEGERS, T.DateType, T.BooleanType)):
+        return quoted(name).cast("string") == F.lit(text)
+    wanted = typed_literal(dtype, text)
+    return F.lit(False) if wanted is None else quoted(name) == F.lit(wanted).cast(dtype)
+
+
+def typed_literal(dtype: T.DataType, text: str) -> object | None:
+    """The value of an integer, date or boolean type that is written exactly so."""
+    if isinstance(dtype, T.BooleanType):
+        return {"true": True, "false": False}.get(text)
+    if isinstance(dtype, T.DateType):
+        try:
+            day = dt.date.fromisoformat(text)
+        except ValueError:
+            return None
+        return day if day.isoformat() == text else None
+    bits = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}[dtype.simpleString()]
+    if not re.fullmatch(r"-?(0|[1-9]\d*)", text) or text == "-0":
+        return None
+    return int(text) if -(2**bits) <= int(text) < 2**bits else None
+
+
 def filter_selection(df: DataFrame, column: str | None, wanted: object) -> DataFrame:
     """Rows of a clicked chart element; a column the table lacks does not filter."""
     if not column or wanted is None or column not in df.columns:

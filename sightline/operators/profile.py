@@ -99,20 +99,32 @@ def null_column_list(df: DataFrame) -> DataFrame:
     return null_profile(df).where("nulls > 0").select("column_name", "nulls", "null_pct")
 
 
+def _plain(c: Column, dtype: T.DataType) -> Column:
+    """A value whose JSON text tells all different values apart: moments as microseconds, -0.0 as 0.0, at any depth."""
+    if isinstance(dtype, FLOATS):
+        return c + F.lit(0.0).cast(dtype)
+    if isinstance(dtype, T.TimestampNTZType):
+        return c.cast("string")  # a wall-clock time need not exist in the session's zone
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.StructType):
+        fields = [_plain(c.getField(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(dtype.fields)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _plain(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        entry = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
+        return F.array_sort(F.transform(F.map_entries(c), lambda x: F.to_json(_plain(x, entry))))
+    return c
+
+
 def row_digest(df: DataFrame) -> Column:
     """Cryptographic digest of a whole row; equal rows and only those share it.
 
     Grouping by 32 bytes instead of all columns keeps the shuffle narrow for
     wide rows and long texts.
     """
-    cells = []
-    for f in df.schema.fields:
-        c = value(df, f.name)
-        if isinstance(f.dataType, FLOATS):
-            c = c + F.lit(0.0).cast(f.dataType)
-        elif isinstance(f.dataType, T.TimestampType):
-            c = F.unix_micros(c)
-        cells.append(c.alias(f"c{len(cells)}"))
+    cells = [_plain(value(df, f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
     return F.unhex(F.sha2(F.to_json(F.struct(*cells)), 256))
 
 

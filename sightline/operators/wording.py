@@ -15,8 +15,8 @@ from sightline.operators import findings as N
 from sightline.operators.text import significance_rank
 from sightline.plans.shared import beside
 
-# Longest list of groups that goes into one sentence. Longer ones are named by
-# their number; their values are complete in the tables of ``findings``.
+# Groups that a sentence lists, the first ones in its order; it also tells how many
+# more there are. All values are in the tables of ``findings``.
 LISTED = 1_000
 COLUMNS = (
     "analyzer", "question", "answer", "insight_type", "significance", "data_json",
@@ -49,17 +49,18 @@ def sentence(template: str, **parts: Column) -> Column:
 
 
 def listing(rows: DataFrame, line: Column, order: list[Column], separator: str) -> DataFrame:
-    """All lines in one text, in order, when there are at most LISTED of them.
+    """The first LISTED lines in order in one text, and the number of the others.
 
     The sorted head is bounded, so the text never gathers an unbounded group.
     """
-    head = rows.select(line.alias("_l"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    lines = rows.select(line.alias("_l"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
     keys = [f"_o{i}" for i in range(len(order))]
-    head = head.orderBy(*keys).limit(LISTED + 1)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, "_l"))), lambda s: s["_l"]), separator)
-    return head.agg(
-        F.when(F.count(F.lit(1)) <= LISTED, joined).otherwise(F.lit("see the table of groups")).alias("listed")
-    )
+    head = lines.orderBy(*keys).limit(LISTED).agg(joined.alias("_first"))
+    more = F.col("_total") - LISTED
+    both = beside(head, lines.agg(F.count(F.lit(1)).alias("_total")))
+    rest = F.when(more > 0, F.concat(F.lit(f"{separator}and "), more, F.lit(" more"))).otherwise("")
+    return both.select(F.concat("_first", rest).alias("listed"))
 
 
 def finding(

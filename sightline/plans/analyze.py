@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from sightline.functions.types import kind, numeric_columns
+from sightline.functions.types import kind, numeric_columns, quoted
 from sightline.operators import anomalies, charts, classify, correlation, dates, findings, profile, wording
 from sightline.operators.classify import Meta
-from sightline.operators.filters import Filter, apply_filter, dimension_values
+from sightline.operators.filters import Filter, apply_filter
+from sightline.plans.ordering import numbered
 from sightline.plans.shared import reliable, settle
 
 PARTS_AT_ONCE = 4
@@ -107,9 +108,8 @@ def draw(df: DataFrame, meta: Meta) -> dict[str, DataFrame]:
         out["kpi_cards"] = charts.kpi_cards(df, meta.measures, 3)
         out["bar"] = charts.bar_pct_diff(df, m, d)
         others = [c for c in meta.dimensions if c != d]
-        if others and meta.distinct[d] <= charts.PIVOT_VALUES:
-            variants = [r["value"] for r in dimension_values(df, d).collect()]
-            out["grouped_bar"] = charts.grouped_bar(df, m, others[0], d, variants)
+        if others:
+            out["grouped_bar"] = charts.grouped_bar_long(df, m, others[0], d)
         out["box_plot"] = correlation.group_distribution(df, d, m)
         if t:
             out["multi_line"] = charts.multi_line(df, m, t, d)
@@ -136,13 +136,17 @@ def draw(df: DataFrame, meta: Meta) -> dict[str, DataFrame]:
 
 def analyze(
     df: DataFrame,
-    order_by: str | None = None,
+    order_by: str | Sequence[str] | None = None,
     roles: dict[str, str] | None = None,
     view: Filter | None = None,
     approx: bool = False,
 ) -> Analysis:
     """Analyse a table. ``order_by`` is an integer or datetime key that orders rows.
 
+    Several columns may form the key; rows are then numbered in its order, and the
+    number stands for the row in anomalies and trends. Without a key there are no
+    outliers, sudden changes and date metrics, which report rows.
+
     Only the column roles are computed at once; all other tables are lazy except
     for their bounded lookup rows.
     """
@@ -150,6 +154,10 @@ def analyze(
     datetimes = [f.name for f in df.schema.fields if kind(f.dataType) == "datetime"]
     if view is not None:
         df = apply_filter(df, view, datetimes[0] if datetimes else None)
+    keyed, key = df, order_by
+    if order_by is not None and not isinstance(order_by, str):
+        key = "_row_no"
+        keyed = numbered(df, [quoted(c).asc_nulls_last() for c in order_by], key)
     numeric = [c for c in numeric_columns(df) if meta.semantic[c] == "numeric"]
     date_col = datetimes[0] if datetimes else None
 
@@ -157,16 +165,18 @@ def analyze(
         if not numeric:
             return None, None
         summary = profile.summary_of(df, numeric)
-        flags = None
-        if order_by is not None:
-            # The ten shown flags, read by two result tables.
-            flags, _ = settle(anomalies.detect(df, numeric, order_by, date_col, summary), anomalies.SHOWN_ALL)
+        # The ten shown flags, read by two result tables.
+        if key is not None:
+            found = anomalies.detect(keyed, numeric, key, date_col, summary)
+        else:
+            found = anomalies.anom_merge(anomalies.anom_missing(df))
+        flags, _ = settle(found, anomalies.SHOWN_ALL)
         return profile.column_stats(df, numeric, summary), flags
 
     def metrics() -> DataFrame | None:
-        if date_col is None or order_by is None or not meta.measures:
+        if date_col is None or key is None or not numeric:
             return None
-        return dates.date_metrics(df, date_col, meta.measures, order_by)
+        return dates.date_metrics(keyed, date_col, numeric, key)
 
     # The parts do not depend on each other; their lookup scans may overlap.
     with ThreadPoolExecutor(PARTS_AT_ONCE) as pool:

@@ -1,10 +1,11 @@
-"""Exact order statistics in two scans, without holding all values in one task.
+"""Exact order statistics in few scans, without holding all values in one task.
 
 The built-in exact percentile keeps one map entry per distinct value and group.
-Here a mergeable sketch first brackets each wanted rank from below and above.
-The second scan counts everything outside the brackets with map-side
-aggregation and keeps single values only inside them: a fraction of about
-8 / accuracy of the rows per rank.
+Here a mergeable sketch first brackets each wanted rank from below and above: a
+fraction of about 8 / accuracy of the rows per rank. Brackets that hold more than
+BRACKET_ROWS rows are cut again, as often as needed. The last scan counts everything
+outside the brackets with map-side aggregation and keeps single values only inside
+them, so that what one task ranks has a fixed bound at any size of the table.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.plans.shared import beside, join_small, settle
+from sightline.plans.shared import beside, join_small, reliable, settle
 
 ACCURACY = 20_000
 MARGIN = 4.0 / ACCURACY
 # Groups up to this size are bracketed by their own minimum and maximum, which
 # also keeps the margin of larger groups above ten ranks.
 WHOLE_GROUP_ROWS = 50_000
+# Rows that may lie within a bracket when its values are ranked in one task.
+BRACKET_ROWS = 1_000_000
+# Cells into which a larger bracket is cut; the wanted ranks' cells and one on either side stay.
+CELLS = 1_000
 SUMMARY = ("n", "mean", "std", "std_pop", "min", "max")
 
 
@@ -64,6 +69,54 @@ def segment(v: Column, lows: list[Column], highs: list[Column]) -> Column:
     return place
 
 
+def narrowed(
+    rows: DataFrame, value: str, by: list[str], edges: DataFrame, positions: list[float]
+) -> DataFrame:
+    """Edges ``_low<i>``, ``_high<i>`` beside ``_n`` whose brackets hold at most BRACKET_ROWS rows, or one value.
+
+    A pass counts the rows below and within each bracket exactly and cuts larger
+    brackets to about 4 / CELLS of their rows. The wanted rank is known to lie in a
+    bracket before it is cut; where a cut misses it, the side that missed stays.
+    """
+    spots = range(len(positions))
+    largest = edges.agg(F.max("_n")).first()[0] or 0
+    if largest <= WHOLE_GROUP_ROWS or 2 * MARGIN * largest <= BRACKET_ROWS:
+        return edges
+    v = F.col(value)
+    grid = [i / CELLS for i in range(CELLS + 1)]
+    while True:
+        present = rows.where(v.isNotNull())
+        joined = join_small(present, edges, by) if by else beside(present, settle(edges)[0])
+        inside = [v.between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in spots]
+        seen = joined.groupBy(*by).agg(
+            F.first("_n").alias("_n"),
+            *[F.first(f"_{side}{i}").alias(f"_{side}{i}") for i in spots for side in ("low", "high")],
+            *[F.count_if(v < F.col(f"_low{i}")).alias(f"_below{i}") for i in spots],
+            *[F.count_if(c).alias(f"_in{i}") for i, c in enumerate(inside)],
+            *[F.percentile_approx(F.when(c, v), grid, ACCURACY).alias(f"_grid{i}") for i, c in enumerate(inside)],
+        )
+        seen = reliable(seen)
+        wide = [(F.col(f"_in{i}") > BRACKET_ROWS) & (F.col(f"_low{i}") < F.col(f"_high{i}")) for i in spots]
+        cut = []
+        for i, p in enumerate(positions):
+            first = F.floor(F.lit(p) * (F.col("_n") - 1)) + 1 - F.col(f"_below{i}")
+            last = F.ceil(F.lit(p) * (F.col("_n") - 1)) + 1 - F.col(f"_below{i}")
+            low = F.get(F.col(f"_grid{i}"), F.greatest(F.floor(first / F.col(f"_in{i}") * CELLS) - 2, F.lit(0)).cast("int"))
+            high = F.get(F.col(f"_grid{i}"), F.least(F.ceil(last / F.col(f"_in{i}") * CELLS) + 2, F.lit(CELLS)).cast("int"))
+            cut += [
+                F.when(wide[i], low).otherwise(F.col(f"_low{i}")).alias(f"_low{i}"),
+                F.when(wide[i], high).otherwise(F.col(f"_high{i}")).alias(f"_high{i}"),
+                (wide[i] & ((low > F.col(f"_low{i}")) | (high < F.col(f"_high{i}")))).alias(f"_cut{i}"),
+            ]
+        moved = seen.select(*by, "_n", *cut)
+        again = F.lit(False)
+        for i in spots:
+            again = again | F.col(f"_cut{i}")
+        edges = reliable(moved.drop(*[f"_cut{i}" for i in spots]))
+        if moved.where(again).isEmpty():
+            return edges
+
+
 def pick_ranks(segmented: DataFrame, by: list[str], ranks: list[Rank]) -> DataFrame:
     """Exact value at each rank from rows of ``by``, ``_v`` and ``_segment``.
 
@@ -132,9 +185,11 @@ def order_statistics(
     highs = [F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]) for i in spots]
     edges = brackets.select(
         *by,
+        "_n",
         *[c.alias(f"_low{i}") for i, c in enumerate(lows)],
         *[c.alias(f"_high{i}") for i, c in enumerate(highs)],
     )
+    edges = narrowed(rows, value, by, edges, positions).drop("_n")
     present = rows.where(v.isNotNull())
     joined = join_small(present, edges, by) if by else beside(present, settle(edges)[0])
     place = segment(v, [F.col(f"_low{i}") for i in spots], [F.col(f"_high{i}") for i in spots])
@@ -171,6 +226,22 @@ def to_long(df: DataFrame, cells: dict[str, Column], keep: list[Column] | None =
     )
 
 
+def _narrowed_columns(df: DataFrame, cells: dict[str, Column], found: dict, brackets: list, positions: list[float]) -> list:
+    """The brackets of each column, cut until they are small enough; one row per column."""
+    sides = [f"_{side}{j}" for j in range(len(positions)) for side in ("low", "high")]
+    table = [
+        (i, found[f"_n{i}"], *[None if e is None else float(e) for e in (b or [None] * len(sides))]) for i, b in enumerate(brackets)
+    ]
+    schema = "position int, _n long, " + ", ".join(f"{s} double" for s in sides)
+    edges = df.sparkSession.createDataFrame(table, schema)
+    args = ", ".join(f"{i}, _v{i}" for i in range(len(cells)))
+    stacked = df.select(*[c.cast("double").alias(f"_v{i}") for i, c in enumerate(cells.values())]).select(
+        F.expr(f"stack({len(cells)}, {args}) as (position, _v)")
+    )
+    cut = {r["position"]: [r[s] for s in sides] for r in narrowed(stacked, "_v", ["position"], edges, positions).collect()}
+    return [cut.get(i, b) for i, b in enumerate(brackets)]
+
+
 def column_summary(df: DataFrame, cells: dict[str, Column], wanted: dict[str, float]) -> DataFrame:
     """Count, mean, deviations, extremes and exact quantiles of many columns.
 
@@ -193,11 +264,15 @@ def column_summary(df: DataFrame, cells: dict[str, Column], wanted: dict[str, fl
     columns = df.sparkSession.createDataFrame(
         pa.table({"position": range(len(names)), "column_name": names})
     )
+    brackets = [
+        [found[f"_min{i}"], found[f"_max{i}"]] * len(positions) if found[f"_n{i}"] <= WHOLE_GROUP_ROWS else found[f"_edges{i}"]
+        for i in range(len(names))
+    ]
+    if 2 * MARGIN * max((found[f"_n{i}"] for i in range(len(names))), default=0) > BRACKET_ROWS:
+        brackets = _narrowed_columns(df, cells, found, brackets, positions)
     args, segments = [], []
     for i, v in enumerate(cells.values()):
-        edges = found[f"_edges{i}"]
-        if found[f"_n{i}"] <= WHOLE_GROUP_ROWS:
-            edges = [found[f"_min{i}"], found[f"_max{i}"]] * len(positions)
+        edges = brackets[i]
         lows = [F.lit(e).cast("double") for e in edges[0::2]]
         highs = [F.lit(e).cast("double") for e in edges[1::2]]
         segments += [v.alias(f"_v{i}"), segment(v, lows, highs).alias(f"_s{i}")]

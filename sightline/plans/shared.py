@@ -17,12 +17,17 @@ BROADCAST_ROWS = 10_000
 def shared_root(spark: SparkSession) -> str:
     """Folder reachable by every executor: the one named in spark.checkpoint.dir.
 
-    Only a session that names none (tests, a single machine) gets a new folder.
+    Only a local session that names none (tests, a single machine) gets a new
+    folder; on a cluster the executors could not see it, so there it is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sightline-")
+        root = context.getCheckpointDir()
+    if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sightline-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

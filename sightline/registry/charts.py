@@ -112,8 +112,8 @@ def rec_time_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years of orders without any in May and June; a month of events by the hour."""
     holed = table(spark, sf_dir, "orders").where(~F.month("o_orderdate").between(5, 6))
     hours = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("hour", "ts"))
-    long = charts.rec_time_line(holed, "o_totalprice", "o_orderdate").withColumn("span", F.lit("long"))
-    short = charts.rec_time_line(hours, "value", "ts").withColumn("span", F.lit("short"))
+    long = charts.rec_time_line(holed, "o_totalprice", "o_orderdate", 200).withColumn("span", F.lit("long"))
+    short = charts.rec_time_line(hours, "value", "ts", 200).withColumn("span", F.lit("short"))
     return shown(long.unionByName(short), 2)
 
 

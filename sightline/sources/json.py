@@ -12,8 +12,6 @@ from sightline.functions.types import quoted
 from sightline.plans.shared import scratch_path
 from sightline.sources.cleaning import NUMBER
 
-FLATTEN_COLUMNS = 20
-MAX_SUB_FIELDS = 50
 
 
 def _reread(spark: SparkSession, lines: DataFrame) -> DataFrame:
@@ -68,16 +66,14 @@ def _struct_fields(dtype: T.StructType, prefix: str, name: str) -> list[tuple[st
     return found
 
 
-def _text_fields(df: DataFrame, column: str) -> list[tuple[str, str]]:
-    """Keys of a JSON text column over all rows, each with the narrowest type that fits."""
-    keys = (
-        df.select(F.explode(F.json_object_keys(quoted(column))).alias("k"))
-        .distinct()
-        .limit(MAX_SUB_FIELDS + 1)
-        .collect()
-    )
-    names = sorted(r["k"] for r in keys)
-    if not names or len(names) > MAX_SUB_FIELDS:
+def _text_fields(df: DataFrame, column: str, max_fields: int | None) -> list[tuple[str, str]]:
+    """Keys of a JSON text column over all rows, each with the narrowest type that fits.
+
+    The keys become columns, so there are as many as the result is wide.
+    """
+    keys = df.select(F.explode(F.json_object_keys(quoted(column))).alias("k")).distinct()
+    names = sorted(r["k"] for r in (keys if max_fields is None else keys.limit(max_fields + 1)).collect())
+    if not names or (max_fields is not None and len(names) > max_fields):
         return [(n, "string") for n in names]
     parsed = F.from_json(quoted(column), "map<string,string>")
     cells = df.select(parsed.alias("m"))
@@ -102,22 +98,27 @@ def _text_fields(df: DataFrame, column: str) -> list[tuple[str, str]]:
 
 
 def json_flatten(
-    df: DataFrame, json_columns: Sequence[str] = (), warnings: list[str] | None = None
+    df: DataFrame,
+    json_columns: Sequence[str] = (),
+    warnings: list[str] | None = None,
+    max_columns: int | None = None,
+    max_fields: int | None = None,
 ) -> DataFrame:
-    """Expand nested columns among the first 20 to ``<column>_<field>``.
+    """Expand nested columns to ``<column>_<field>``; lists and maps are dropped with a warning.
 
-    Columns with more than 50 fields, and lists and maps, are dropped with a
-    warning. ``json_columns`` names string columns that hold JSON objects.
+    ``json_columns`` names string columns that hold JSON objects. With limits, only
+    nested columns among the first ``max_columns`` are expanded, and those with more
+    than ``max_fields`` fields are dropped with a warning.
     """
     notes = warnings if warnings is not None else []
     kept, added = [], []
     for i, f in enumerate(df.schema.fields):
         nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) or f.name in json_columns
-        if i >= FLATTEN_COLUMNS or not nested:
+        if (max_columns is not None and i >= max_columns) or not nested:
             kept.append(quoted(f.name))
             continue
         if f.name in json_columns:
-            fields = _text_fields(df, f.name)
+            fields = _text_fields(df, f.name, max_fields)
             struct = "struct<" + ",".join(f"`{n}`:{t}" for n, t in fields) + ">"
             parsed = F.from_json(quoted(f.name), struct)
             columns = [parsed.getField(n).alias(f"{f.name}_{n}") for n, _ in fields]
@@ -127,7 +128,7 @@ def json_flatten(
         else:
             notes.append(f"Skipped un-flattenable column '{f.name}'")
             continue
-        if len(columns) > MAX_SUB_FIELDS:
+        if max_fields is not None and len(columns) > max_fields:
             notes.append(f"Dropped deeply nested column '{f.name}' (>{len(columns)} sub-fields)")
             continue
         added += columns

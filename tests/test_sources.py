@@ -57,7 +57,9 @@ def test_flatten_types_and_limits(spark):
     assert [r["j_a"] for r in out.orderBy("k").collect()] == [1, 3, None]
     wide = table(spark, j=["{" + ",".join(f'"f{i}": {i}' for i in range(60)) + "}"])
     notes = []
-    assert json_flatten(wide, ["j"], notes).columns == [] and "Dropped" in notes[0]
+    assert len(json_flatten(wide, ["j"]).columns) == 60
+    assert json_flatten(wide, ["j"], notes, max_fields=50).columns == [] and "Dropped" in notes[0]
+    assert json_flatten(wide, ["j"], max_columns=0).columns == ["j"]
 
 
 def test_guarded_statements(spark):
