@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.operators import profile
 from sightline.plans.shared import scratch_path
 from sightline.registry.base import query, shown, table
 from sightline.registry.profiles import union_sql
@@ -309,3 +310,96 @@ def sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     records.records_sink(events, path)
     return shown(spark.read.schema(records.to_records(events).schema).json(path))
+
+
+@query(
+    "csv_multiline",
+    "SELECT c_custkey, 'first' || chr(10) || 'second; \"' || c_mktsegment || '\"' AS note, round(c_acctbal, 4) AS c_acctbal FROM customer",
+)
+def read_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted line breaks, delimiters and quotes, with another delimiter."""
+    path = scratch_path(spark, "multiline")
+    note = F.concat(F.lit('first\nsecond; "'), "c_mktsegment", F.lit('"'))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), "c_acctbal")
+    rows.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return shown(csv_source(spark, path, sep=";"))
+
+
+@query(
+    "csv_bad_lines",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 1 THEN c_name END AS c_name, (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0) AS n_skipped
+      FROM customer WHERE c_custkey % 5 <> 0""",
+)
+def read_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth line has a cell too many, another fifth one too few."""
+    path, notes = scratch_path(spark, "ragged"), []
+    key = F.col("c_custkey")
+    line = F.when(key % 5 == 0, F.concat(key, F.lit(","), "c_name", F.lit(",surplus"))).when(key % 5 == 1, key.cast("string"))
+    lines = table(spark, sf_dir, "customer").select(line.otherwise(F.concat(key, F.lit(","), "c_name")).alias("value"))
+    lines.write.text(path)
+    read = csv_source(spark, path, warnings=notes, schema="c_custkey long, c_name string", header=False)
+    return read.withColumn("n_skipped", F.lit(int(notes[0].split()[1]) if notes else 0).cast("long"))
+
+
+@query(
+    "json_mixed_roots",
+    "SELECT c_custkey, CASE WHEN floor(c_custkey / 100) % 4 <> 3 THEN c_name END AS c_name FROM customer",
+)
+def read_mixed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all four shapes, and one that is no JSON, in one folder."""
+    customer = table(spark, sf_dir, "customer").withColumn("block", F.floor(F.col("c_custkey") / BLOCK))
+    blocks = customer.groupBy("block").agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("rows"))
+    shape = F.col("block") % 4
+    doc = (
+        F.when(shape == 0, F.to_json("rows"))
+        .when(shape == 1, F.to_json(F.struct("rows", F.col("block").alias("page"))))
+        .when(shape == 2, F.to_json(F.map_from_entries(F.transform("rows", lambda r: F.struct(r["c_name"], r)))))
+        .otherwise(F.to_json(F.transform("rows", lambda r: r["c_custkey"])))
+    )
+    path = scratch_path(spark, "mixed")
+    blocks.select(doc.alias("value")).unionByName(spark.range(1).select(F.lit("{no json").alias("value"))).write.text(path)
+    rows = json_source(spark, path, whole_file=False)
+    value = F.col("value").cast("long") if "value" in rows.columns else F.lit(None).cast("long")
+    return rows.select(F.coalesce("c_custkey", value).alias("c_custkey"), "c_name")
+
+
+@query(
+    "sql_dump_quoted",
+    """SELECT c_custkey, 'it''s (' || c_mktsegment || '); "x", ' || c_name AS note, CASE WHEN c_custkey % 3 = 0 THEN 'NULL' WHEN c_custkey % 3 = 1 THEN c_name END AS c_name
+      FROM customer""",
+)
+def load_quoted_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted semicolons, parentheses, quotes and the word NULL; column lists in different orders."""
+    key, name = F.col("c_custkey"), F.concat(F.lit("'"), "c_name", F.lit("'"))
+    note = F.concat(F.lit("'it''s ("), "c_mktsegment", F.lit('); "x", '), "c_name", F.lit("'"))
+    text = F.when(key % 3 == 0, F.lit("'NULL'")).when(key % 3 == 1, name).otherwise("NULL")
+    one = F.concat(F.lit("INSERT INTO customer (c_custkey, note, c_name) VALUES ("), key, F.lit(", "), note, F.lit(", "), text, F.lit(");"))
+    other = F.concat(F.lit("insert into customer (c_name, c_custkey, note)\nvalues ("), text, F.lit(", "), key, F.lit(", "), note, F.lit("); -- ';"))
+    path = scratch_path(spark, "quoted")
+    table(spark, sf_dir, "customer").select(F.when(key % 2 == 0, one).otherwise(other).alias("value")).write.text(path)
+    return sql.sql_dump_load(spark, path, schema="c_custkey long, note string, c_name string")
+
+
+@query("title_row_types", "SELECT s_suppkey, s_name, round(s_acctbal, 4) AS s_acctbal FROM supplier UNION ALL SELECT NULL, 'Supplier', NULL FROM supplier")
+def typed_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types are inferred below the title, and rows that read like the header are kept."""
+    path = scratch_path(spark, "titles")
+    names = ["a", "b", "c"]
+    supplier = table(spark, sf_dir, "supplier")
+    cells = (F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_acctbal").cast("string"))
+    rows = supplier.select(*[c.alias(n) for c, n in zip(cells, names)])
+    like = spark.range(1).select(F.lit(None).cast("string").alias("a"), F.lit("Supplier").alias("b"), F.lit(None).cast("string").alias("c"))
+    repeated = supplier.select(*[c.alias(n) for c, n in zip((F.lit(None).cast("string"), F.lit("Supplier"), F.lit(None).cast("string")), names)])
+    like.coalesce(1).unionByName(repeated).unionByName(rows).coalesce(1).write.option("header", True).csv(path)
+    read = title_row_skip(spark, path)
+    return shown(read.select(F.col("`Unnamed: 0`").alias("s_suppkey"), F.col("Supplier").alias("s_name"), F.col("`Unnamed: 2`").alias("s_acctbal")))
+
+
+@query(
+    "duplicate_rows_events",
+    "SELECT sum(n - 1)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) + to_microseconds(event_id % 7) AS moment FROM events) GROUP BY event_type, moment)",
+)
+def near_equal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments that differ by microseconds are different."""
+    moment = F.timestamp_add("MICROSECOND", F.col("event_id") % 7, F.date_trunc("day", "ts")).cast("timestamp_ntz")
+    return profile.duplicate_rows(table(spark, sf_dir, "events").select("event_type", moment.alias("moment")))

@@ -135,5 +135,13 @@ def promote_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """All steps in load order: empty rows and columns, blanks, dates, numbers."""
-    return promote_numeric(parse_dates(trim_strings(drop_empty(df))))
+    """All steps in load order: empty rows and columns, blanks, dates, numbers.
+
+    Only texts that mean a category or free text become numbers; identifiers and
+    codes named as dates stay as they are.
+    """
+    from sightline.operators.profile import column_profile, semantic_types
+
+    dated = parse_dates(trim_strings(drop_empty(df)))
+    meaning = {r["column_name"]: r["semantic_type"] for r in semantic_types(column_profile(dated)).collect()}
+    return promote_numeric(dated, [c for c in text_columns(dated) if meaning.get(c) in ("categorical", "text")])

@@ -2,46 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.types import quoted
 
 FALLBACK_WARNING = "Failed to read with detected encoding. Fell back to latin-1."
 TITLE_WARNING = "Skipped first row (detected as title)"
+BAD_LINES_WARNING = "Skipped {} bad lines with more cells than columns"
+CORRUPT = "_corrupt_record"
+NO_NULL = "\u0001\u0002"
 
 
-def _reader(spark: SparkSession, encoding: str, mode: str, **options):
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", True)
-        .option("encoding", encoding)
-        .option("mode", mode)
-        .option("quote", '"')
-        .option("escape", '"')
-        .options(**options)
-    )
+def _options(encoding: str, options: dict) -> dict:
+    return {"header": True, "encoding": encoding, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": True, **options}
 
 
 def csv_source(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", warnings: list[str] | None = None, schema=None
+    spark: SparkSession, path: str, encoding: str = "UTF-8", warnings: list[str] | None = None, schema=None, **options
 ) -> DataFrame:
-    """Read CSV with a header; undecodable text is re-read as latin-1, bad lines dropped.
+    """Read CSV with a header; undecodable text is re-read as latin-1, lines with surplus cells are skipped and counted.
 
-    Give ``schema`` for large inputs: inferring it scans the files once more.
+    Shorter lines are filled with nulls. ``options`` go to the reader (``sep`` and
+    so on). Quoted line breaks are read as they are meant, for which a file is one
+    task; give ``multiLine=False`` for large files without any. Give ``schema`` for
+    large inputs: inferring it scans the files once more.
     """
-    reader = _reader(spark, encoding, "PERMISSIVE")
-    df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    if not df.columns:
-        raise ValueError("File is empty")
+    df = _read(spark, path, _options(encoding, options), schema, warnings)
     if _undecodable(spark, path, encoding):
-        reader = _reader(spark, "ISO-8859-1", "DROPMALFORMED")
-        df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+        df = _read(spark, path, _options("ISO-8859-1", options), schema, warnings)
         if warnings is not None:
             warnings.append(FALLBACK_WARNING)
     return df
 
 
+def _read(spark: SparkSession, path: str, options: dict, schema, warnings: list[str] | None) -> DataFrame:
+    if schema is None:
+        schema = spark.read.options(**options).option("inferSchema", True).csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if not schema.fields:
+        raise ValueError("File is empty")
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = spark.read.options(**options).schema(wide).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    surplus = _surplus(F.col(CORRUPT), len(schema.fields), options)
+    # The extreme keeps a data column in the plan, which the reader asks for.
+    bad = rows.agg(F.count_if(surplus).alias("bad"), F.max(quoted(schema.fields[0].name).cast("string"))).first()["bad"]
+    if bad:
+        rows = rows.where(~surplus)
+        if warnings is not None:
+            warnings.append(BAD_LINES_WARNING.format(bad))
+        return rows.drop(CORRUPT)
+    return spark.read.options(**options).schema(schema).csv(path)
+
+
+def _surplus(line: Column, width: int, options: dict) -> Column:
+    """Whether a malformed line has more cells than columns, and not just fewer or unreadable ones."""
+    names = ", ".join(f"c{i} string" for i in range(width + 1))
+    parse = {k: str(v) for k, v in options.items() if k in ("sep", "delimiter", "quote", "escape")}
+    cells = F.from_csv(line, names, {**parse, "nullValue": NO_NULL, "emptyValue": "", "mode": "PERMISSIVE"})
+    return F.coalesce(line.isNotNull() & cells.getField(f"c{width}").isNotNull(), F.lit(False))
+
+
 def _undecodable(spark: SparkSession, path: str, encoding: str) -> bool:
     """Whether any line holds bytes that the encoding cannot express."""
     if encoding.upper() not in ("UTF-8", "UTF8"):
@@ -50,37 +73,48 @@ def _undecodable(spark: SparkSession, path: str, encoding: str) -> bool:
     return not lines.where(~F.is_valid_utf8("value")).isEmpty()
 
 
+def inferred(rows: DataFrame) -> DataFrame:
+    """Text columns with the narrowest of the types bigint, double, boolean and timestamp that all their values have."""
+    kinds = ("bigint", "double", "boolean", "timestamp")
+    texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return rows
+    seen = rows.agg(
+        *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(texts)],
+        *[F.count(quoted(c).try_cast(k)).alias(f"{k}{i}") for i, c in enumerate(texts) for k in kinds],
+    ).first()
+    types = {c: next((k for k in kinds if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), None) for i, c in enumerate(texts)}
+    return rows.select(*[(quoted(c).cast(types[c]) if types.get(c) else quoted(c)).alias(c) for c in rows.columns])
+
+
 def title_row_skip(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", warnings: list[str] | None = None
+    spark: SparkSession, path: str, encoding: str = "UTF-8", warnings: list[str] | None = None, **options
 ) -> DataFrame:
     """Read CSV whose header may sit one line below a title.
 
     A first data row with a single value in a table of several columns means that
-    the line taken for the header was not one: the row after it is the header.
+    the line taken for the header was not one: the row after it is the header. The
+    first line of each file goes by its position. Of the rows of a file that look
+    like the header one is it; should there be more, the others are data and stay.
     """
-    plain = (
-        spark.read.option("header", False)
-        .option("encoding", encoding)
-        .option("escape", '"')
-    )
-    df = csv_source(spark, path, encoding, warnings)
+    settings = _options(encoding, options)
+    df = csv_source(spark, path, encoding, warnings, **options)
     # Files are read in order of size; the first lines are those of the first name.
     first_file = min(df.inputFiles())
-    first_lines = plain.csv(first_file).limit(2).collect()
-    if len(df.columns) < 2 or len(first_lines) < 2:
-        return df
-    if sum(v is not None for v in first_lines[1]) != 1:
+    first_lines = spark.read.options(**{**settings, "header": False}).csv(first_file).limit(2).collect()
+    if len(df.columns) < 2 or len(first_lines) < 2 or sum(v is not None for v in first_lines[1]) != 1:
         return df
-    # Re-read with that row as header. Every file of a folder repeats the line above it.
-    names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(first_lines[1])]
-    raw = plain.csv(path)
-    is_title = F.lit(False)
-    for line in first_lines:
-        same = F.lit(True)
-        for i, v in enumerate(line):
-            same = same & raw[raw.columns[i]].eqNullSafe(F.lit(v))
-        is_title = is_title | same
-    body = raw.where(~is_title)
+    header = list(first_lines[1])
+    names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(header)]
+    columns = [f"c{i}" for i in range(len(names))]
+    raw = spark.read.options(**settings).schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    same = F.lit(True)
+    for c, v in zip(columns, header):
+        same = same & F.col(c).eqNullSafe(F.lit(v))
+    alike = raw.where(same).groupBy(F.input_file_name().alias("file"), *columns).agg(F.count(F.lit(1)).alias("n"))
+    # One row per file, repeated as often as it is data.
+    data = alike.where("n > 1").select(*columns, F.explode(F.sequence(F.lit(2), "n"))).drop("col")
     if warnings is not None:
         warnings.append(TITLE_WARNING)
-    return body.select(*[quoted(c).alias(n) for c, n in zip(body.columns, names)])
+    body = raw.where(~same).unionByName(data)
+    return inferred(body.select(*[F.col(c).alias(n) for c, n in zip(columns, names)]))

@@ -26,34 +26,45 @@ def json_source(
 ) -> DataFrame:
     """Read JSON documents: one per file, or one per line with ``whole_file=False``.
 
-    Shapes: a list of objects; an object with exactly one list, whose elements
-    are objects; another object, each key being a row; a list of plain values,
-    which become column ``value``.
+    Each document has one of four shapes: a list of objects; an object with exactly
+    one list, whose elements are objects; another object, each key being a row; a
+    list with plain values, which become column ``value``. Documents of different
+    shapes give the rows of all. What is no JSON is left out and counted in a warning.
     """
+    notes = warnings if warnings is not None else []
     docs = spark.read.text(path, wholetext=whole_file).where(F.trim("value") != "")
-    root = F.regexp_extract("value", r"^\s*(.)", 1)
-    first = docs.select(root.alias("root")).limit(1).collect()
-    if not first:
-        raise ValueError("File is empty")
-    if first[0]["root"] == "[":
-        items = docs.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
-        if items.where(~F.startswith(F.col("value"), F.lit("{"))).isEmpty():
-            return _reread(spark, items)
-        return items
-    cells = docs.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
-    lists = (
-        cells.where(F.startswith(F.col("value"), F.lit("["))).select("key").distinct().limit(2).collect()
+    is_list = F.regexp_extract("value", r"^\s*(.)", 1) == "["
+    read = docs.select(
+        "value",
+        F.when(is_list, F.from_json("value", "array<string>")).alias("items"),
+        F.when(~is_list, F.from_json("value", "map<string,string>")).alias("cells"),
     )
-    if len(lists) == 1:
-        key = lists[0]["key"]
-        items = cells.where(F.col("key") == key).select(
-            F.explode(F.from_json("value", "array<string>")).alias("value")
-        )
-        if items.where(~F.startswith(F.col("value"), F.lit("{"))).isEmpty():
-            if warnings is not None:
-                warnings.append(f"Used object key '{key}' as root array.")
-            return _reread(spark, items)
-    return _reread(spark, cells.select("value"))
+    listed = F.map_filter("cells", lambda _, v: F.startswith(v, F.lit("[")))
+    inner = F.from_json(F.get(F.map_values(listed), F.lit(0)), "array<string>")
+    objects = lambda a: F.forall(a, lambda x: F.startswith(x, F.lit("{")))
+    one_list = (F.size(listed) == 1) & objects(inner)
+    shaped = read.select(
+        F.when(F.col("cells").isNotNull() & one_list, F.get(F.map_keys(listed), F.lit(0))).alias("root"),
+        F.when(F.col("items").isNotNull(), F.col("items")).when(one_list, inner).otherwise(F.map_values("cells")).alias("rows"),
+        F.coalesce(~objects("items"), F.lit(False)).alias("plain"),
+    )
+    seen = shaped.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("rows").isNull()).alias("unread"),
+        F.coalesce(F.bool_or("plain"), F.lit(False)).alias("plain"),
+        F.coalesce(F.bool_or(~F.col("plain") & F.col("rows").isNotNull()), F.lit(False)).alias("objects"),
+    ).first()
+    if not seen["n"]:
+        raise ValueError("File is empty")
+    if seen["unread"]:
+        notes.append(f"Skipped {seen['unread']} documents that are no JSON.")
+    for r in shaped.where("root is not null").select("root").distinct().limit(10).collect():
+        notes.append(f"Used object key '{r['root']}' as root array.")
+    plain = shaped.where("plain").select(F.explode("rows").alias("value"))
+    if not seen["objects"]:
+        return plain
+    table = _reread(spark, shaped.where(~F.col("plain")).select(F.explode("rows").alias("value")))
+    return table.unionByName(plain, allowMissingColumns=True) if seen["plain"] else table
 
 
 def _struct_fields(dtype: T.StructType, prefix: str, name: str) -> list[tuple[str, str]]:

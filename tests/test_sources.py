@@ -72,9 +72,54 @@ def test_guarded_statements(spark):
 
 def test_dump_reports_what_it_cannot_read(spark, tmp_path):
     path = write(tmp_path / "d.sql", "CREATE TABLE t (a INT);\nINSERT INTO t (a, b) VALUES (1, 'x'), (2, 'y');\nINSERT INTO t VALUES (3, 'a;b');\n")
-    df = sql.sql_dump_load(spark, path)
+    notes = []
+    df = sql.sql_dump_load(spark, path, warnings=notes)
     assert df.columns == ["a", "b"] and df.count() == 2
-    assert sql.dump_leftovers(spark, path).first()["unsupported"] > 0
+    assert sql.dump_leftovers(spark, path).first()["unsupported"] == 1 and "1 statement" in notes[0]
+
+
+def test_dump_follows_each_column_list(spark, tmp_path):
+    dump = """CREATE TABLE t (b TEXT, a INT, PRIMARY KEY (a));
+/* ; */ INSERT INTO `t` (`a`, `b`) VALUES (1, 'p (q); -- '), (2, NULL);
+insert into t (b, a) values ('NULL', -3), ('it''s \\'x\\'', 4);
+INSERT INTO "t" VALUES ('d', 5);
+INSERT INTO u VALUES (1, lower('X'));
+UPDATE t SET a = 1;
+"""
+    notes = []
+    got = sql.sql_dump_load(spark, write(tmp_path / "d.sql", dump), table="t", warnings=notes).select("a", "b").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("1", "p (q); -- "), ("2", None), ("-3", "NULL"), ("4", "it's 'x'"), ("5", "d")], key=str)
+    assert len(notes) == 1
+    assert sql.sql_dump_load(spark, str(tmp_path / "d.sql"), table="u").first()["c0"] == "1"
+
+
+def test_csv_as_people_have_it(spark, tmp_path):
+    notes = []
+    df = csv_source(spark, write(tmp_path / "a.csv", 'a;b\n1;"x\ny"\n2;"p;q"\n3;r;s\n4\n5;t;\n'), warnings=notes, sep=";")
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, "x\ny"), (2, "p;q"), (4, None), (5, "t")]
+    assert notes == ["Skipped 1 bad lines with more cells than columns"]
+    with pytest.raises(ValueError):
+        csv_source(spark, write(tmp_path / "e.csv", ""))
+
+
+def test_title_lines_keep_rows_and_types(spark, tmp_path):
+    df = title_row_skip(spark, write(tmp_path / "t.csv", "x,y,z\nSales,,\n1,2,a\nSales,,\n4,5.5,b\n"))
+    assert df.count() == 3 and dict(df.dtypes)["Unnamed: 1"] == "double"
+
+
+def test_json_shapes_in_one_folder(spark, tmp_path):
+    notes = []
+    for i, doc in enumerate(['[{"a": 1}, {"a": 2}]', '{"r": {"a": 3}}', '{"items": [{"a": 4}], "n": 1}', "[5, 6]", "{broken"]):
+        write(tmp_path / f"{i}.json", doc)
+    df = json_source(spark, str(tmp_path), warnings=notes)
+    assert sorted(r["a"] for r in df.where("a is not null").collect()) == [1, 2, 3, 4]
+    assert sorted(r["value"] for r in df.where("value is not null").collect()) == ["5", "6"]
+    assert any("Skipped 1" in n for n in notes) and any("'items'" in n for n in notes)
+
+
+def test_cleaning_keeps_identifiers(spark):
+    df = table(spark, customer_id=[f"{i:03d}" for i in range(30)], price=["$1", "$2", "$1"] * 10)
+    assert dict(cleaning.clean(df).dtypes) == {"customer_id": "string", "price": "double"}
 
 
 def test_drop_empty_rejects_nothing(spark):
