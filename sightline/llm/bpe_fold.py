@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Encoded words that a task reads at most; 64-bit hash, offset and about four ids each, 120 MB.
 DICTIONARY = 4_000_000
 #: Buckets of the literal rank map; an entry is found by its checksum, not by a scan of all entries.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 NONE = 2**31 - 1
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -103,20 +103,13 @@ def distinct_words(docs: DataFrame, text: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = np.repeat(runs, lengths)
         for batch in batches:
-            hashes, texts, counts = [], [], []
             for _, _, data, offsets in W.slices(batch.column(0)):
                 starts, _ = pieces(data, offsets, kinds)
                 ends = np.append(starts[1:], len(data))[: len(starts)]
                 h, at, n = np.unique(W.range_hash(W.prefix_hash(data), starts, ends), return_index=True, return_counts=True)
-                raw = data.tobytes()
-                hashes.append(h)
-                counts.append(n)
-                texts += [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            if hashes:
-                h, at, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-                n = np.bincount(back, np.concatenate(counts), len(h)).astype(np.int64)
-                found = pa.array(texts, pa.binary()).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([found, pa.array(h.view(np.int64)), pa.array(n)], ["word", "hash", "n"])
+                sizes = ends[at] - starts[at]
+                found = W.binary_array(data[_gather(starts[at], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+                yield pa.RecordBatch.from_arrays([found, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "hash", "n"])
 
     parts = docs.select(F.col(f"`{text}`")).mapInArrow(split, "word binary, hash long, n long")
     return parts.groupBy("word", "hash").agg(F.sum("n").alias("n"))
@@ -204,14 +197,17 @@ def _dictionary(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     store, base = fs.FileSystem.from_uri(folder)
     names = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("part-"))
-    hashes, counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    hashes, counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
     for name in names:
         with store.open_input_file(name) as f:
             part = pq.read_table(f, use_threads=False)
         hashes.append(part["hash"].to_numpy())
         counts.append(pa.compute.list_value_length(part["ids"]).to_numpy())
-        ids.append(pa.compute.list_flatten(part["ids"]).to_numpy())
-    where = np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])
+        own = pa.compute.list_flatten(part["ids"]).to_numpy()
+        ids.append(own.astype(np.uint16) if not len(own) or own.max() < 1 << 16 else own)  # half the memory where ranks allow
+        del part, own
+    where = np.zeros(sum(map(len, counts)) + 1, np.int64)
+    np.cumsum(np.concatenate(counts), out=where[1:])
     return np.concatenate(hashes), where, np.concatenate(ids)
 
 
@@ -254,10 +250,10 @@ def _encode(texts: pa.Array, extra: pa.Array | None, flat, kinds: np.ndarray) ->
                 begin[i], lengths[i] = size, len(known[d][word])
                 added += known[d][word]
                 size += lengths[i]
-            pool = np.concatenate([ids, np.array(added, np.int32)])
+            pool = np.concatenate([ids.astype(np.int32), np.array(added, np.int32)])
         tokens = pool[_gather(begin, lengths)]
         ends_of = np.concatenate([[0], np.cumsum(lengths)])[first]
-        out_ids.append(pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), pa.array(tokens)))
+        out_ids.append(pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), pa.array(tokens.astype(np.int32))))
         out_missing.append(pa.array([sorted(set(m)) for m in missing], pa.list_(pa.binary())))
     if not out_ids:
         return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("missing", pa.list_(pa.binary()))]))
