@@ -138,6 +138,21 @@ def scatter_best_pair(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def scatter_points(df: DataFrame, columns: Sequence[str], points: int | None = None) -> DataFrame:
+    """Rows (x_col, y_col, x, y) of the strongest pair: all rows without nulls, or a random sample of ``points``.
+
+    Without a pair there are no rows.
+    """
+    names = list(columns)
+    best = scatter_best_pair(df, names).first()
+    complete = df.select(*[measure(df, c).alias(c) for c in names]).na.drop(subset=names)
+    x, y = (best["x_col"], best["y_col"]) if best else (names[0], names[0])
+    rows = complete.where(F.lit(best is not None)).select(
+        F.lit(x).alias("x_col"), F.lit(y).alias("y_col"), quoted(x).alias("x"), quoted(y).alias("y")
+    )
+    return rows if points is None else rows.orderBy(F.rand(42)).limit(points)
+
+
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed, empty ones kept."""
     v = df.select(measure(df, column).alias("_v")).where("_v is not null")

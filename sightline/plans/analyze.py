@@ -6,14 +6,16 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sightline.functions.types import kind, numeric_columns, quoted
 from sightline.operators import anomalies, charts, classify, correlation, dates, findings, profile, wording
 from sightline.operators.classify import Meta
-from sightline.operators.filters import Filter, apply_filter
+from sightline.operators.filters import Filter, apply_filter, filterable_dimensions
 from sightline.plans.ordering import numbered
 from sightline.plans.shared import reliable, settle
+from sightline.sources import cleaning
+from sightline.sources.csv import title_row_skip
 
 PARTS_AT_ONCE = 4
 
@@ -31,6 +33,11 @@ class Analysis:
     correlations: DataFrame | None = None
     stats: DataFrame | None = None
     health: DataFrame | None = None
+    warnings: DataFrame | None = None
+    date_range: DataFrame | None = None
+    granularity: DataFrame | None = None
+    kpi_columns: DataFrame | None = None
+    filterable: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         named = {
@@ -41,6 +48,11 @@ class Analysis:
             "anomalies": self.anomalies,
             "date_metrics": self.date_metrics,
             "health": self.health,
+            "warnings": self.warnings,
+            "date_range": self.date_range,
+            "granularity": self.granularity,
+            "kpi_columns": self.kpi_columns,
+            "filterable": self.filterable,
             **{f"chart_{k}": v for k, v in self.charts.items()},
         }
         return {k: v for k, v in named.items() if v is not None}
@@ -140,6 +152,7 @@ def analyze(
     roles: dict[str, str] | None = None,
     view: Filter | None = None,
     approx: bool = False,
+    load_warnings: Sequence[str] = (),
 ) -> Analysis:
     """Analyse a table. ``order_by`` is an integer or datetime key that orders rows.
 
@@ -197,4 +210,21 @@ def analyze(
         result.stats, result.anomalies = stats.result()
     if result.anomalies is not None:
         result.health = profile.health_score(df, result.anomalies)
+    result.warnings = profile.quality_warnings(df, load_warnings)
+    result.date_range = profile.date_range(df, date_col)
+    result.granularity = dates.granularity(df, date_col) if date_col else None
+    result.kpi_columns = profile.kpi_columns(result.profile)
+    categorical = [c for c, kind_ in meta.semantic.items() if kind_ == "categorical"]
+    result.filterable = filterable_dimensions(df, categorical) if categorical else None
     return result
+
+
+def analyze_csv(spark: SparkSession, path: str, order_by: str | Sequence[str] | None = None, **options) -> Analysis:
+    """From file to result: read CSV below a title if there is one, clean, analyse.
+
+    ``options`` go to the reader. The cleaned table is written once to shared storage,
+    as all parts of the analysis read it.
+    """
+    notes: list[str] = []
+    table = reliable(cleaning.clean(title_row_skip(spark, path, warnings=notes, **options)))
+    return analyze(table, order_by, load_warnings=notes)

@@ -80,6 +80,30 @@ def scatter_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(correlation.scatter_best_pair(_sparse_prices(spark, sf_dir), MATRIX), 6)
 
 
+@query(
+    "scatter_points",
+    "WITH best AS (SELECT x_col, y_col FROM ("
+    + union_sql(
+        [
+            f"SELECT '{a}' AS x_col, '{b}' AS y_col, corr({a}, {b}) AS r FROM {SPARSE_PRICES}"
+            for a, b in combinations(MATRIX, 2)
+        ]
+    )
+    + ") q WHERE abs(q.r) > 0.3 AND abs(q.r) < 1 ORDER BY abs(q.r) DESC, x_col, y_col LIMIT 1) "
+    + "SELECT x_col, y_col, round(x, 4) AS x, round(y, 4) AS y FROM ("
+    + union_sql(
+        [
+            f"SELECT '{a}' AS x_col, '{b}' AS y_col, {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM {SPARSE_PRICES} WHERE "
+            + " AND ".join(f"{c} IS NOT NULL" for c in MATRIX)
+            for a, b in combinations(MATRIX, 2)
+        ]
+    )
+    + ") JOIN best USING (x_col, y_col)",
+)
+def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(correlation.scatter_points(_sparse_prices(spark, sf_dir), MATRIX), 4)
+
+
 def histogram_sql(column: str, source: str) -> str:
     return f"""
     WITH v AS (SELECT CAST({column} AS DOUBLE) AS v FROM {source} WHERE {column} IS NOT NULL),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import anomalies, classify, correlation, filters, profile
 from sightline.plans import quantiles, shared
-from sightline.plans.analyze import analyze
+from sightline.plans.analyze import analyze, analyze_csv
 
 
 @pytest.fixture
@@ -108,6 +108,20 @@ def test_analysis_with_a_key_of_several_columns_or_none(spark, sf):
     assert without.date_metrics is None
 
 
+def test_from_file_to_analysis(spark, tmp_path):
+    lines = "".join(f"2024-01-{1 + i % 28:02d},${10 + i % 7},{'AB'[i % 2]},c{i:03d}\n" for i in range(80))
+    (tmp_path / "sales.csv").write_text("sale_date,revenue,region,customer_id\n" + lines + "2024-02-01,$1,A,c1,surplus\n")
+    result = analyze_csv(spark, str(tmp_path / "sales.csv"), order_by=["customer_id"])
+    named = result.tables()
+    assert {"profile", "warnings", "date_range", "granularity", "kpi_columns", "filterable", "health", "anomalies", "date_metrics"} <= set(named)
+    assert result.date_range.first()["start_date"] == "2024-01-01"
+    assert any("bad line" in str(r) for r in result.warnings.collect())
+    assert [r["column_name"] for r in result.kpi_columns.collect()] == ["revenue"]
+    assert [r["column_name"] for r in result.filterable.collect()] == ["region"]
+    for df in named.values():
+        df.collect()
+
+
 def test_wide_heatmap_is_as_wide_as_asked(spark):
     matrix = spark.createDataFrame([("a", "a", 1.0)], "x string, y string, value double")
     assert len(correlation.heatmap_pivot(matrix, [f"c{i}" for i in range(150)]).columns) == 151
