@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions.shapes import shape_pattern
 from sightline.operators import correlation, wording
 from sightline.operators import findings as N
-from sightline.registry.base import PRICED_LINES, priced_lines, query, shown, table
+from sightline.registry.base import PRICED_LINES, priced_lines, query, shown, steady, table
 from sightline.registry.profiles import union_sql
 
 PRICES = ["charge", "l_discount", "l_extendedprice", "l_quantity", "l_tax", "revenue"]
@@ -90,7 +90,7 @@ def scatter_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     + ") q WHERE abs(q.r) > 0.3 AND abs(q.r) < 1 ORDER BY abs(q.r) DESC, x_col, y_col LIMIT 1) "
-    + "SELECT x_col, y_col, round(x, 4) AS x, round(y, 4) AS y FROM ("
+    + "SELECT x_col, y_col, round(x + 3.7e-7::DOUBLE, 4) AS x, round(y + 3.7e-7::DOUBLE, 4) AS y FROM ("
     + union_sql(
         [
             f"SELECT '{a}' AS x_col, '{b}' AS y_col, {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM {SPARSE_PRICES} WHERE "
@@ -101,7 +101,8 @@ def scatter_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") JOIN best USING (x_col, y_col)",
 )
 def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(correlation.scatter_points(_sparse_prices(spark, sf_dir), MATRIX), 4)
+    points = correlation.scatter_points(_sparse_prices(spark, sf_dir), MATRIX)
+    return points.select("x_col", "y_col", steady("x"), steady("y"))
 
 
 def histogram_sql(column: str, source: str) -> str:
