@@ -204,9 +204,8 @@ def full_sets(ids: DataFrame, sets: DataFrame, rows: DataFrame, size: int) -> Da
     return texts.select("id", shingle_set(F.col("text"), size).alias("set"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    full = reliable(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sets, rows, size))
+def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough; ``full`` has (id, set)."""
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(
         full.select(F.col("id").alias("b"), F.col("set").alias("right")), "b"
     )
@@ -256,7 +255,7 @@ def _compare(percent: int):
     return compare
 
 
-def _remaining(large: DataFrame, sets: DataFrame, labels: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _remaining(large: DataFrame, sets: DataFrame, full: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
     """Links in large regions that the links found so far don't imply; None if all those regions are joined.
 
     Regions that share rows are taken together as a family, so that no two rows meet
@@ -280,8 +279,8 @@ def _remaining(large: DataFrame, sets: DataFrame, labels: DataFrame, rows: DataF
         "family", F.col("main.component").alias("main"), (F.col("m") / BLOCK).cast("int").alias("blocks"),
         ((F.col("m") - F.col("main.m")) / BLOCK).cast("int").alias("ask_blocks"),
     )
-    full = full_sets(members.select("id"), sets, rows, size).join(sets.select(F.col("rep").alias("id"), "signature"), "id")
-    placed = reliable(members.join(totals, "family").join(full, "id"))
+    placed = members.join(totals, "family").join(full, "id")
+    placed = reliable(placed.join(sets.select(F.col("rep").alias("id"), "signature"), "id"))
     asking = placed.where("component <> main")
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks) + 1)
     all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks)))
@@ -291,6 +290,18 @@ def _remaining(large: DataFrame, sets: DataFrame, labels: DataFrame, rows: DataF
     return left.unionByName(right).groupBy("family", "ask_block", "block").applyInArrow(_compare(percent), "a long, b long")
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links (a, b): only the components that these join are worked on."""
+    if more.isEmpty():
+        return labels
+    ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    every = reliable(labels.join(ends, "id", "full").select("id", F.coalesce("component", "id").alias("component")))
+    own = lambda end: every.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part"))
+    between = more.join(own("a"), "a").join(own("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    parts = components(between).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    return every.join(parts, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+
+
 def _judge(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(id, text_key, n, component_id, kept) for every row of (id, text)."""
     if percent < 80:
@@ -303,12 +314,13 @@ def _judge(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     sets = signed.select("id", "text_key", "signature").join(distinct, ["id", "text_key"]).dropDuplicates(["id", "text_key"])
     sets = reliable(sets.withColumnRenamed("id", "rep"))
     pairs, large = candidates(sets)
-    links = reliable(confirm(pairs, sets, rows, shingle, percent))
-    labels = components(links)
-    more = _remaining(large, sets, labels, rows, shingle, percent)
-    more = None if more is None else reliable(more)
-    if more is not None and not more.isEmpty():
-        labels = components(links.unionByName(more))
+    pairs = reliable(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    full = reliable(full_sets(wanted, sets, rows, shingle))
+    labels = components(confirm(pairs, full, percent))
+    more = _remaining(large, sets, full, labels, percent)
+    if more is not None:
+        labels = _joined(labels, reliable(more))
     named = sets.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
