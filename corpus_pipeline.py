@@ -51,9 +51,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, the number of these, and whether they decode to the text."""
     ranks = bpe_fold.read_ranks(public_tokenizers.path(VOCABULARY))
-    coded = bpe_fold.encode(docs, ranks, out="token_ids")
-    same = bpe_fold.decode(F.col("token_ids"), ranks) == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("decodes", same)
+    coded = bpe_fold.encode(docs, ranks, out="coded")
+    same = F.col("coded.decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    columns = [c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens", "decodes")]
+    return coded.select(*columns, F.col("coded.ids").alias("token_ids"), "coded.n_tokens", same.alias("decodes"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]

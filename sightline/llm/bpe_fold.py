@@ -206,7 +206,7 @@ def _dictionary(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = pa.compute.list_flatten(part["ids"]).to_numpy()
         ids.append(own.astype(np.uint16) if not len(own) or own.max() < 1 << 16 else own)  # half the memory where ranks allow
         del part, own
-    where = np.zeros(sum(map(len, counts)) + 1, np.int64)
+    where = np.zeros(sum(map(len, counts)) + 1, np.int32)  # fewer than 2^31 ids by the bound on words
     np.cumsum(np.concatenate(counts), out=where[1:])
     return np.concatenate(hashes), where, np.concatenate(ids)
 
@@ -217,12 +217,34 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-CODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("missing", T.ArrayType(T.BinaryType()))])
+CODED = T.StructType(
+    [
+        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("missing", T.ArrayType(T.BinaryType())),
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+    ]
+)
+CODED_ARROW = pa.struct(
+    [("ids", pa.list_(pa.int32())), ("missing", pa.list_(pa.binary())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+)
 
 
-def _encode(texts: pa.Array, extra: pa.Array | None, flat, kinds: np.ndarray) -> pa.Array:
+def _token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes in the order of ids, and where each begins."""
+    by_id = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = token
+    return np.frombuffer(b"".join(by_id), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in by_id])])
+
+
+def _digests(data: bytes, ends: np.ndarray) -> list[str]:
+    return [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _encode(texts: pa.Array, extra: pa.Array | None, flat, kinds: np.ndarray, tokens_of, keep: bool) -> pa.Array:
+    """Coded texts, some at a time; the ids themselves only if they are to be kept."""
     hashes, where, ids = flat
-    out_ids, out_missing = [], []
+    piece, piece_at = tokens_of
+    out = []
     for a, b, data, offsets in W.slices(texts):
         starts, first = pieces(data, offsets, kinds)
         ends = np.append(starts[1:], len(data))[: len(starts)]
@@ -253,15 +275,25 @@ def _encode(texts: pa.Array, extra: pa.Array | None, flat, kinds: np.ndarray) ->
             pool = np.concatenate([ids.astype(np.int32), np.array(added, np.int32)])
         tokens = pool[_gather(begin, lengths)]
         ends_of = np.concatenate([[0], np.cumsum(lengths)])[first]
-        out_ids.append(pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), pa.array(tokens.astype(np.int32))))
-        out_missing.append(pa.array([sorted(set(m)) for m in missing], pa.list_(pa.binary())))
-    if not out_ids:
-        return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("missing", pa.list_(pa.binary()))]))
-    return pa.StructArray.from_arrays([pa.concat_arrays(out_ids), pa.concat_arrays(out_missing)], ["ids", "missing"])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids", dictionary: int = DICTIONARY) -> DataFrame:
-    """Append the array ``out`` of token ids of every whole text.
+        sizes = piece_at[tokens + np.int64(1)] - piece_at[tokens]
+        decoded = piece[_gather(piece_at[tokens], sizes)].tobytes()
+        kept = pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), pa.array(tokens.astype(np.int32))) if keep else pa.nulls(b - a, pa.list_(pa.int32()))
+        columns = [
+            kept, pa.array([sorted(set(m)) for m in missing], pa.list_(pa.binary())), pa.array(np.diff(ends_of)),
+            pa.array(_digests(tokens.astype("<u4").tobytes(), 4 * ends_of)), pa.array(_digests(decoded, np.concatenate([[0], np.cumsum(sizes)])[ends_of])),
+        ]
+        out.append(pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, CODED_ARROW)], CODED_ARROW.names))
+    return pa.concat_arrays(out) if out else pa.array([], CODED_ARROW)
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids", dictionary: int = DICTIONARY, keep_ids: bool = True
+) -> DataFrame:
+    """Append struct ``out`` of every whole text: token ids, n_tokens, ids_sha256 and decoded_sha256.
+
+    ids_sha256 is of the ids as little-endian unsigned 32-bit integers; decoded_sha256
+    of the bytes that the ids decode to, piece by piece. Without ``keep_ids``, ids is
+    null, for those who need the digests only.
 
     Each match of PATTERN is encoded by itself and no special token exists, as with
     a rank-file tokenizer. Null and empty texts have no ids. Every row gives one
@@ -271,19 +303,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     if any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("the ranks lack single bytes")
     e = encoder(docs, ranks, text, dictionary)
-    folder, (runs, lengths) = e.folder, e.runs
+    folder, (runs, lengths), tokens_of = e.folder, e.runs, _token_bytes(ranks)
 
     @F.arrow_udf(CODED)
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, kinds = _dictionary(folder), np.repeat(runs, lengths)
         for texts in batches:
-            yield _encode(texts, None, words, kinds)
+            yield _encode(texts, None, words, kinds, tokens_of, keep_ids)
 
     @F.arrow_udf(CODED)
     def completed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         words, kinds = _dictionary(folder), np.repeat(runs, lengths)
         for texts, extra in batches:
-            yield _encode(texts, extra, words, kinds)
+            yield _encode(texts, extra, words, kinds, tokens_of, keep_ids)
 
     columns = [c for c in docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
@@ -293,17 +325,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
         asked = coded.where(F.size("coded.missing") > 0).select(key.alias("key"), F.explode("coded.missing").alias("word")).distinct()
         extra = asked.join(e.words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("extra"))
         coded = rows.withColumn("key", key).join(extra, "key", "left").withColumn("coded", completed.asNondeterministic()("text", "extra"))
-    return coded.select("row.*", F.col("coded.ids").alias(out))
+    fields = [f"coded.{f}" for f in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")]
+    return coded.select("row.*", F.struct(*fields).alias(out))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """Bytes of token ids, piece by piece; empty for null or no ids. An id without a token is an error."""
-    size = max(ranks.values()) + 1
-    by_id = [b""] * size
-    for token, rank in ranks.items():
-        by_id[rank] = token
-    data = np.frombuffer(b"".join(by_id), np.uint8)
-    where = np.concatenate([[0], np.cumsum([len(t) for t in by_id])])
+    data, where = _token_bytes(ranks)
+    size = len(where) - 1
 
     @F.arrow_udf(T.BinaryType())
     def joined(lists: pa.Array) -> pa.Array:
@@ -323,13 +352,3 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return joined.asNondeterministic()(ids)
-
-
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf(T.StringType())
-    def digest(lists: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(np.asarray(x.values, np.int64).astype("<u4").tobytes() if x.is_valid else b"").hexdigest() for x in lists], pa.string())
-
-    return digest.asNondeterministic()(ids)

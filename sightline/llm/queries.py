@@ -49,11 +49,8 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe_fold.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe_fold.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_fold.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(bpe_fold.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
-    )
+    coded = bpe_fold.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, keep_ids=False)
+    return coded.select("doc_id", *[f"ids.{c}" for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
 
 
 @query
