@@ -109,8 +109,9 @@ HOLED = "(SELECT o_orderdate, o_totalprice FROM orders WHERE NOT month(o_orderda
       (SELECT date_trunc('hour', ts) AS x, sum(value) AS y FROM events WHERE value IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 200)""",
 )
 def rec_time_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years of orders without any in May and June; a month of events by the hour."""
-    holed = table(spark, sf_dir, "orders").where(~F.month("o_orderdate").between(5, 6))
+    """Years of orders whose prices in May and June are missing; a month of events by the hour."""
+    price = F.when(~F.month("o_orderdate").between(5, 6), F.col("o_totalprice"))
+    holed = table(spark, sf_dir, "orders").withColumn("o_totalprice", price)
     hours = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("hour", "ts"))
     long = charts.rec_time_line(holed, "o_totalprice", "o_orderdate", 200).withColumn("span", F.lit("long"))
     short = charts.rec_time_line(hours, "value", "ts", 200).withColumn("span", F.lit("short"))
