@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
