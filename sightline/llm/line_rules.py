@@ -66,15 +66,17 @@ def clean(
     separator_share: float = 0.4,
     shout_share: float = 0.5,
     short_line: int = 2,
+    phrase_share: float = 0.4,
     phrases: tuple[str, ...] = BOILERPLATE,
 ) -> DataFrame:
     """Append struct ``out``: metrics of the whole text, the text without failing lines, and the verdict.
 
     A line with words fails if it has more symbols ``#*$%&|<>`` per word than
     ``symbols_per_word``; if at least ``separator_share`` of its words are menu
-    separators (navigation); if it holds a boilerplate phrase; if it shouts (``!!``
-    behind at least ``shout_share`` of its words); or if it has at most
-    ``short_line`` words and doesn't end as a sentence does. A document is kept
+    separators (navigation); if boilerplate phrases cover at least ``phrase_share``
+    of its words, counted as runs of letters and digits; if it shouts (``!!`` behind
+    at least ``shout_share`` of its words); or if it has at most ``short_line`` words
+    and doesn't end as a sentence does. A document is kept
     unless its base metrics fail or more than ``max_lost_percent`` of its word
     characters stood on failing lines.
 
@@ -142,6 +144,7 @@ def clean(
             ended = _END[data[last]] | np.isin(pair, _WIDE_END)
         bad |= (per_line <= short_line) & ~ended
         folded = W.tokenize(data, offsets, W.ALNUM)
+        inside = np.zeros(len(folded.hashes), dtype=bool)
         for phrase in furniture:
             m = len(folded.hashes) - len(phrase) + 1
             if m > 0:
@@ -150,7 +153,13 @@ def clean(
                     hit &= folded.hashes[j : j + m] == phrase[j]
                 hit = np.flatnonzero(hit)
                 here = np.searchsorted(line_start, folded.starts[hit], "right") - 1
-                bad[here[folded.ends[hit + len(phrase) - 1] <= line_end[here]]] = True
+                hit = hit[folded.ends[hit + len(phrase) - 1] <= line_end[here]]
+                for j in range(len(phrase)):
+                    inside[hit + j] = True
+        runs = np.concatenate([[0], np.cumsum(inside)])
+        at, stop = np.searchsorted(folded.starts, line_start), np.searchsorted(folded.starts, line_end)
+        phrased = runs[stop] - runs[at]
+        bad |= (phrased > 0) & (phrased >= phrase_share * (stop - at))
         bad &= worded & (length > 0)
 
         lost_words = np.repeat(bad, per_line)

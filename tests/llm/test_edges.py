@@ -319,3 +319,14 @@ def test_lines(docs, empty, frame):
     assert [got[i].kept for i in range(4)] == [True, True, False, False]
     assert got[0].clean_text == prose and got[1].clean_text == "\n" + prose and got[1].n_lines_removed == 5
     assert got[3].n_dup_lines == 12 and got[3].base_failed
+
+
+def test_boilerplate_goes_by_its_share_of_a_line(frame):
+    """One phrase in a long clean line is no reason to lose the line."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(n))
+    article = f"{prose(400)} children who read more books and log in less {prose(400)}."
+    texts = [article, f"{article}\nClick here to read more.\nPowered by us, all rights reserved.\n{prose(60)}."]
+    got = {r.doc_id: r.quality for r in line_rules.clean(frame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].kept and got[0].clean_text == article and got[0].n_lines_removed == 0
+    assert got[1].kept and got[1].n_lines_removed == 2 and got[1].clean_text.startswith(article + "\n")
