@@ -198,9 +198,10 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def full_sets(ids: DataFrame, sets: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(id, set) of the given distinct ids; ``rows`` has (id, text)."""
-    chosen = ids.join(sets.select(F.col("rep").alias("id"), F.col("text_key").alias("chosen")), "id")
-    texts = rows.join(chosen, "id").where(F.xxhash64("text") == F.col("chosen")).dropDuplicates(["id"])
+    """(id, set) of the given distinct sets; ``rows`` has (id, text)."""
+    chosen = ids.join(sets.select(F.col("rep").alias("id"), F.col("first.id").alias("of"), F.col("first.text_key").alias("key")), "id")
+    texts = rows.select(F.col("id").alias("row_id"), "text", F.xxhash64("text").alias("text_key"))
+    texts = texts.join(chosen, F.col("row_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("key"))).dropDuplicates(["id"])
     return texts.select("id", shingle_set(F.col("text"), size).alias("set"))
 
 
@@ -307,12 +308,12 @@ def _judge(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     if percent < 80:
         raise ValueError("the forest finds links from 80 per cent upwards")
     signed = reliable(rows.select("id", F.xxhash64("text").alias("text_key"), signature(F.col("text"), shingle).alias("s")).select("id", "text_key", "s.*"))
-    keys = signed.where("n > 0 and id is not null").select("id", "text_key", "digest", "n")
-    chosen = keys.groupBy("id").agg(F.min("text_key").alias("text_key"))
-    distinct = keys.join(chosen, ["id", "text_key"]).groupBy("digest").agg(F.min(F.struct("id", "text_key")).alias("r"), F.max("n").alias("n"))
-    distinct = distinct.select("r.*", "digest", "n")
-    sets = signed.select("id", "text_key", "signature").join(distinct, ["id", "text_key"]).dropDuplicates(["id", "text_key"])
-    sets = reliable(sets.withColumnRenamed("id", "rep"))
+    # The first row of a set has the smallest id, null behind all others, then the smallest text hash.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
+    distinct = signed.where("n > 0").groupBy("digest").agg(first, F.max("n").alias("n"))
+    of = signed.where("n > 0").select("id", "text_key", "signature")
+    of = of.join(distinct, F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).dropDuplicates(["digest"])
+    sets = reliable(of.select(F.monotonically_increasing_id().alias("rep"), "digest", "first", "n", "signature"))
     pairs, large = candidates(sets)
     pairs = reliable(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
@@ -321,13 +322,13 @@ def _judge(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     more = _remaining(large, sets, full, labels, percent)
     if more is not None:
         labels = _joined(labels, reliable(more))
-    named = sets.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    out = signed.join(named, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")))
-    return out.select(
-        "id", "text_key", "n", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
-    )
+    named = sets.select("digest", "rep", "first").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("digest", "first", F.coalesce("component", "rep").alias("component"))
+    best = named.groupBy("component").agg(F.min("first").alias("best"))
+    named = named.join(best, "component").select("digest", "best")
+    out = signed.join(named, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("best.id")).otherwise(F.col("id")))
+    chosen = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))
+    return out.select("id", "text_key", "n", "component_id", ((F.col("n") == 0) | F.coalesce(chosen, F.lit(False))).alias("kept"))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -343,11 +344,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their union in common. component_id is the smallest id reachable over links.
 
     Null, empty and wordless texts have no shingles and are linked with nothing, so
-    they are kept. Every row gives one row. Of different texts under one id only one
-    takes part (the one with the smallest hash); the others count as copies of a
-    document with the same set, or else stand alone. A row without id is never kept if a
-    document with id has the same or a linked text; else its component_id is null
-    and it is kept. ``percent`` must be 80 or more: the trees are laid out for that.
+    they are kept. Every row gives one row. All others take part, whatever their id:
+    of linked rows the one with the smallest id is kept, of several texts under that
+    id the one with the smallest hash. Rows without id come after all others; where
+    no linked row has an id, the smallest text hash is kept and component_id is null.
+    Rows with the same id and text are kept or not alike. ``percent`` must be 80 or more: the trees are laid out for that.
     """
     judged = _judge(_rows(docs, doc_id, text), shingle, percent)
     return judged.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "kept")

@@ -67,6 +67,23 @@ def test_near_duplicates_in_large_groups(spark, frame):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(texts, 4)
 
 
+def test_near_duplicates_without_or_under_one_id(frame):
+    """Rows without id and several texts under one id take part like all others."""
+    words = lambda k: [f"{k}{i}" for i in range(60)]
+    text = lambda k, *more: " ".join([*words(k), *more])
+    rows = [(None, text("a")), (None, text("a", "x")), (None, text("b").upper()), (None, text("b")), (4, text("c")), (None, text("c", "x")),
+            (5, text("d")), (5, text("d", "x")), (6, text("e")), (7, text("f")), (7, text("e", "x")), (None, text("g")), (None, None)]
+    docs = frame(rows, "doc_id long, text string")
+    got = minhash_forest.near_duplicates(docs, shingle=4).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got if r.n_shingles) == sorted(
+        [("None", "None")] * 5 + [("4", "4"), ("None", "4"), ("5", "5"), ("5", "5"), ("6", "6"), ("7", "7"), ("7", "6")]
+    )
+    kept = [r.text for r in minhash_forest.keep_one(docs, shingle=4).collect()]
+    groups = [(text("a"), text("a", "x")), (text("b").upper(), text("b")), (text("d"), text("d", "x"))]
+    assert [sum(t in g for t in kept) for g in groups] == [1, 1, 1]
+    assert {text("c"), text("e"), text("f"), text("g"), None} < set(kept) and len(kept) == 8
+
+
 def test_block_comparison_finds_links():
     """What large regions leave open is found on signatures and full sets, without links that others imply."""
     import pyarrow as pa
