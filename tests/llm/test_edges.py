@@ -178,6 +178,25 @@ def test_url_model_held_out_accuracy(spark):
     assert held.agg(F.avg((F.col("accepted") == F.col("said")).cast("double"))).first()[0] > 0.9
 
 
+def test_url_model_tells_all_characters_apart(frame):
+    """Digits, letters outside ASCII and evidence of more than four characters count; both ways of scoring agree."""
+    good = [f"http://a.net/é{i}/x-track{i % 7}" for i in range(60)]
+    bad = [f"http://a.net/ü{i}/q-track{i % 7}" for i in range(60)]
+    labelled = frame([(u, True) for u in good] + [(u, False) for u in bad] * 2 + [(None, True), ("http://a.net/", None)], "url string, accepted boolean")
+    model = url_ratio.train(labelled)
+    assert model.counted.agg(F.sum("yes"), F.sum("no")).first() == (sum(map(len, good)), 2 * sum(map(len, bad)))
+    asked = ["http://a.net/é5/", "http://a.net/ü5/", "HTTP://A.net/é5/", "http://a.net/É5/", "http://a.net/77", "http://a.net/78", "😀", "z", None, ""]
+    rows = frame([(u,) for u in asked], "url string")
+    got = {r.url: r.score for r in model.scores(rows).collect()}
+    assert set(got) == set(asked) - {None, ""}
+    assert got[asked[0]] > 0 > got[asked[1]] and got[asked[2]] == got[asked[0]] != got[asked[3]] and got["😀"] == got["z"]
+    alone = {r.url: r.s for r in rows.select("url", model.score(F.col("url")).alias("s")).collect()}
+    assert alone.pop(None) == alone.pop("") == 0 and alone == pytest.approx(got, abs=1e-7)
+    tail = url_ratio.train(frame([(f"{k}bcdef{v}", (k == "a") == (v == "1")) for k in "ax" for v in "12" for _ in range(9)], "url string, accepted boolean"))
+    seen = {r.url: r.score for r in tail.scores(frame([(f"{k}bcdef{v}",) for k in "ax" for v in "12"], "url string")).collect()}
+    assert min(seen["abcdef1"], seen["xbcdef2"]) > 0 > max(seen["abcdef2"], seen["xbcdef1"])
+
+
 def test_smoothed_model_sums_to_one():
     counts = np.zeros(url_ratio.SIZE**4)
     counts[np.random.default_rng(1).integers(0, len(counts), 500)] += 1
