@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.known_licenses import DIGESTS
+
 #: Spellings that licence comparison treats as equal, each with its canonical form.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "authorise": "authorize", "authorised": "authorized",
@@ -17,7 +19,7 @@ SPELLINGS = {
     "utilisation": "utilization", "whilst": "while", "wilful": "willful", "http": "https",
 }
 
-#: Texts of short licences and the usual notices of longer ones.
+#: Texts of short licences and the usual notices of longer ones; DIGESTS has more whole texts.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -70,17 +72,19 @@ def longest(known: list[str]) -> int:
     return max((2 * len(k) + 2 * len(k.split()) + 2 for k in known), default=0)
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "license", known: dict[str, str] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", out: str = "license", known: dict[str, str] = KNOWN, digests=DIGESTS) -> DataFrame:
     """Append struct ``out``: digest of the whole text, id of the licence it is, and ids of notices that are whole lines.
 
-    A text longer than any known one can be has no digest. The known texts are an
-    argument and few literal rows, so their side of the join is broadcast. Every
+    The known texts and the digests of further ones are arguments and few literal
+    rows, so their side of the join is broadcast. Every
     input row gives one row; null and empty texts match no licence and have no
     notices; a column already named ``out`` is replaced. Notices are sorted by id
     and listed once; of known texts with equal digests the smaller id counts.
     """
     table = docs.sparkSession.createDataFrame(sorted(known.items()), "license_id string, body string")
     digested = table.select("license_id", F.sha2(spelled(plain(F.col("body"))), 256).alias("known_digest"))
+    stored = [(k, d) for k, listed in sorted(digests.items()) for d in listed]
+    digested = digested.unionByName(docs.sparkSession.createDataFrame(stored, "license_id string, known_digest string"))
     table = digested.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
     notices = {k: v for k, v in sorted(known.items()) if "\n" not in v}
     column = F.col(f"`{text}`")
@@ -91,8 +95,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "license", known: dict[
     hits = F.array_sort(F.transform(F.array_intersect(lines, wanted), lambda x: F.get(ids, (F.array_position(wanted, x) - 1).cast("int"))))
     columns = [c for c in docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), plain(column).alias("plain"), hits.alias("notices"))
-    limit = longest(list(known.values()))
-    rows = rows.select("row", "notices", F.when(F.length("plain") <= limit, F.sha2(spelled(F.col("plain")), 256)).alias("known_digest"))
+    rows = rows.select("row", "notices", F.sha2(spelled(F.col("plain")), 256).alias("known_digest"))
     found = rows.join(F.broadcast(table), "known_digest", "left")
     return found.select("row.*", F.struct(F.col("known_digest").alias("digest"), "license_id", "notices").alias(out))
 

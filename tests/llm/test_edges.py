@@ -223,6 +223,29 @@ def test_licences(docs, empty, frame):
     assert got == {0: ("MIT", []), 1: ("MIT", []), 2: ("MIT", []), 3: (None, []), 4: (None, []), 5: (None, ["MIT-notice"])}
 
 
+def test_whole_licences_and_long_texts_have_digests(frame):
+    zero = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+    boost = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies
+or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING
+THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    texts = [zero, "Zero-Clause BSD\n\nCopyright (C) Some One\n\n" + zero, boost, "MIT License\n\nCopyright (c) 2020 X\n\n" + license_digests.KNOWN["MIT"], "word " * 50_000]
+    got = {r.doc_id: r for r in license_digests.scan(frame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "license.*").collect()}
+    assert [got[i].license_id for i in range(5)] == ["0BSD", "0BSD", "BSL-1.0", "MIT", None]
+    assert got[4].digest == brute.sha(" " + "  ".join(["word"] * 50_000) + " ")
+
+
 def test_phrases(docs, empty, frame, spark):
     items = frame([(1, "a B, c!"), (2, None), (3, "..."), (None, "alpha beta gamma"), (1, "a b c")], "item_id long, text string")
     got = phrase_index.phrase_hits(docs, items, out="n").select("doc_id", "n.*").collect()
