@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import (
-    bpe_fold, license_digests, line_rules, minhash_forest, phrase_index, secret_trigrams, suffix_levels, token_lengths, url_ratio, warc_zstd,
+    bpe_fold, license_digests, line_rules, minhash_forest, phrase_index, ranked_search, scaled_sketch, secret_trigrams, suffix_levels,
+    token_lengths, turn_repair, url_ratio, warc_zstd,
 )
 from sightline.plans.shared import reliable
 
@@ -103,3 +104,23 @@ def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_levels.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", *[f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans")], F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return ranked_search.top_documents(documents, table(spark, sf_dir, "benchmark", "item_id", "text"), k=50)
+
+
+ORACLE["op12_ranked_search"] = ranked_search.oracle_sql(50)
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return turn_repair.report(turn_repair.damaged(said), said)

@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import heapq
+import math
 import re
+import zlib
 from collections import Counter
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,3 +117,74 @@ def line_metrics(text) -> tuple:
 def payload(html) -> tuple[int, str]:
     b = (html or "").encode()
     return len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+
+def ranking(docs: list, items: list, k: int = 50) -> dict:
+    """(item, text) -> [(rank, doc_id, score)] of (id, text) pairs."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    said = [(i, Counter(term.findall((t or "").translate(FOLD)))) for i, t in docs]
+    total = sum(sum(c.values()) for _, c in said)
+    n_docs = sum(bool(c) for _, c in said)
+    df = Counter(w for _, c in said for w in c)
+    out = {}
+    for item in set(items):
+        asked, found = set(term.findall((item[1] or "").translate(FOLD))), []
+        for i, c in said:
+            score = 0
+            for w in asked & set(c):
+                weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1)))
+                m = 50 + 50 * sum(c.values()) * n_docs // total
+                score += weight * (1_000_000_000 * c[w] // (1000 * c[w] + 20 * m))
+            if score > 0:
+                found.append((-score, (i is not None, i or 0), i))
+        out[item] = [(r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(found)[:k])]
+    return out
+
+
+def damage(rows: list) -> list:
+    """(conv, turn, role, text) after the planted faults."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fault == 0:
+            continue
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        out += [(conv, turn, "user" if fault == 4 else role, text)] * (2 if fault == 3 else 1)
+    return out
+
+
+def repair(rows: list) -> tuple:
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired turns) of one conversation's (turn, role, text).
+
+    All edits are tried in order of cost and then of their letters.
+    """
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest()))
+    known = {t for t, _, _ in rows if t is not None}
+    gaps = max(known) - min(known) + 1 - len(known) if known else 0
+    faults, seen = [], set()
+    for _, role, text in rows:
+        body = text.strip("\x20\x09\x0a\x0b\x0c\x0d")
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    onward = {"": "u", "s": "u", "u": "a", "a": "u"}
+    heap, done = [(0, "", 0, "", ())], set()
+    while True:
+        cost, audit, i, state, said = heapq.heappop(heap)
+        if i == len(rows) and state in ("", "a"):
+            break
+        if (i, state) in done:
+            continue
+        done.add((i, state))
+        name = {"u": "user", "a": "assistant"}[onward[state]]
+        heapq.heappush(heap, (cost + 3, audit + "I", i, onward[state], (*said, (name, ""))))
+        if i < len(rows):
+            _, role, text = rows[i]
+            heapq.heappush(heap, (cost + 4, audit + "D", i + 1, state, said))
+            if faults[i] not in ("blank", "duplicate"):
+                more = 3 if faults[i] == "truncated" else 0
+                heapq.heappush(heap, (cost + 3 + more, audit + "R", i + 1, onward[state], (*said, (name, text))))
+                if role[:1] == onward[state] or (state, role[:1]) == ("", "s"):
+                    heapq.heappush(heap, (cost + more, audit + "K", i + 1, role[:1], (*said, (role, text))))
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, list(said))

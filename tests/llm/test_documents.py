@@ -41,7 +41,7 @@ def rows(spark, name):
 
 def test_entry_has_every_query():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k in corpus.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k in corpus.QUERIES}
     assert "pipeline" in names and set(corpus.ORACLE) <= set(entry.oracle_sql())
 
 
