@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sightline.llm.words import SLICE, bytes_of, mix, per_text, prefix_hash, range_hash
+from sightline.llm.words import SLICE, bytes_of, mix, per_text, powers, prefix_hash, range_hash
 
 #: Bytes of a shingle, and how many hashes there are to one that is kept.
 SHINGLE = 20
@@ -38,6 +38,7 @@ BUCKET = 16 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 # ---- sketches -----------------------------------------------------------------------
@@ -49,37 +50,40 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return data, offsets
     data = _FOLD[data]
     space = data == 32
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    drop = space.copy()  # a space goes where a text begins or a space stands before it ...
-    drop[1:] &= space[:-1] | edge[1:-1]
-    kept_space = space & ~drop
-    after = np.append(np.flatnonzero(~space), len(data))  # ... or where nothing but spaces follows in the text
-    places = np.flatnonzero(kept_space)
-    ends = offsets[np.searchsorted(offsets, places, "right")]
-    drop[places[after[np.searchsorted(after, places)] >= ends]] = True
-    keep = ~drop
-    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # a space stays behind anything but a space ...
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    keep[begins] = ~space[begins]  # ... and not where a text begins
+    offsets = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[offsets]
+    data = data[keep]
+    ends = offsets[1:][np.diff(offsets) > 0] - 1
+    ends = ends[data[ends] == 32]  # nor where it ends
+    return np.delete(data, ends), offsets - np.searchsorted(ends, offsets)
 
 
 def sketches(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sorted 32-bit sketch of each text."""
     data, offsets = folded(data, offsets)
-    n = len(offsets) - 1
-    prefix, lengths = prefix_hash(data), np.diff(offsets)
-    counts = np.where(lengths == 0, 0, np.maximum(lengths - SHINGLE + 1, 1))
-    text = np.repeat(np.arange(n), counts)
-    starts = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[text]
-    hashes = mix(range_hash(prefix, starts, np.minimum(starts + SHINGLE, offsets[text + 1])))
-    kept = hashes < np.uint64(2**64 // SCALE)
-    some = np.zeros(n, dtype=bool)
-    some[text[kept]] = True
-    for i in np.flatnonzero(~some & (counts > 0)):  # short texts: the smallest hash
-        first = int(counts[:i].sum())
-        kept[first + int(np.argmin(hashes[first : first + counts[i]]))] = True
-    # the kept hashes of a text by their order; the top bits tell little once they are below the threshold
-    pairs = np.unique(np.stack([text[kept].astype(np.uint64), hashes[kept] >> np.uint64(28) & np.uint64(0xFFFFFFFF)], axis=1), axis=0)
-    return np.split(pairs[:, 1].astype(np.uint32), np.searchsorted(pairs[:, 0], np.arange(1, n)))
+    n, lengths, prefix = len(offsets) - 1, np.diff(offsets), prefix_hash(data)
+    # the hashes of all strings of 20 bytes; those over a text's end are left out below
+    hashes = prefix[SHINGLE:] - prefix[:-SHINGLE] if len(data) >= SHINGLE else prefix[:0].copy()
+    hashes *= powers(len(prefix))[1][: len(hashes)]
+    hashes *= _ODD
+    kept = np.flatnonzero(hashes < np.uint64(2**64 // SCALE))
+    text = np.searchsorted(offsets, kept, "right") - 1
+    whole = kept + SHINGLE <= offsets[text + 1]
+    kept, text = kept[whole], text[whole]
+    values = mix(hashes[kept])
+    none = lengths > 0
+    none[text] = False
+    short = np.flatnonzero(none & (lengths < SHINGLE))
+    more = [range_hash(prefix, offsets[short], offsets[short + 1])]
+    other = np.flatnonzero(none & (lengths >= SHINGLE))  # nothing below the threshold: the smallest hash
+    more.append(mix(np.array([hashes[offsets[i] : offsets[i + 1] - SHINGLE + 1].min() for i in other], np.uint64)))
+    text, values = np.concatenate([text, short, other]), np.concatenate([values, *more]) >> np.uint64(32)
+    pairs = np.unique(text.astype(np.uint64) << np.uint64(32) | values)
+    parts = np.searchsorted(pairs >> np.uint64(32), np.arange(1, n, dtype=np.uint64))
+    return np.split(pairs.astype(np.uint32), parts)
 
 
 def written(sketch: np.ndarray) -> str:
@@ -177,7 +181,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         rows, n, low = [], len(texts), 0
         sizes = np.diff(bytes_of(texts)[1]) + np.diff(bytes_of(following)[1])
         while low < n:
-            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), SLICE, "right")))
+            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), SLICE // 2, "right")))
             own = [t or "" for t in texts.slice(low, high - low).to_pylist()]
             after = [t or "" for t in following.slice(low, high - low).to_pylist()]
             edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(own, after)]
