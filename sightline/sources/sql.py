@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.plans.shared import reliable
+from sightline.sources.dump import dump_rows
 
 # A statement holding one of these is never run.
 FORBIDDEN = (
@@ -84,111 +84,22 @@ def pick_largest(candidates: Mapping[str, DataFrame]) -> tuple[str, DataFrame]:
     return best["candidate"], candidates[best["candidate"]]
 
 
-def dump_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One row per value tuple of INSERT statements: table_name, names, cells; per other statement, ``rest``.
-
-    Quoted values may hold anything, doubled and escaped quotes included. cells are
-    the values' texts; an unquoted NULL is null. names is null where a statement has
-    no column list, unless the file creates the table before. ``rest`` holds the
-    beginning of what is neither INSERT, CREATE, comment nor transaction keyword. A
-    file is read by one task, as only its beginning tells what is quoted.
-    """
-    token = re.compile(
-        r"""'(?:[^'\\]|\\.|'')*' | "(?:[^"]|"")*" | `[^`]*` | --[^\n]* | /\*.*?\*/ | [(),;] | [^\s'"`(),;/-]+ | [^\s]""", re.S | re.X
-    )
-    kinds = pa.schema([("table_name", pa.string()), ("names", pa.list_(pa.string())), ("cells", pa.list_(pa.string())), ("rest", pa.string())])
-
-    def name(t: str) -> str:
-        return t.strip('`"').split(".")[-1]
-
-    def value(parts: list[str]) -> str | None:
-        if len(parts) == 1 and parts[0][:1] == "'":
-            return re.sub(r"\\(.)|''", lambda m: m[1] or "'", parts[0][1:-1], flags=re.S)
-        text = " ".join(parts) if len(parts) > 1 and parts[0] not in "+-" else "".join(parts)
-        return None if text.upper() == "NULL" or not parts else text
-
-    def groups(tokens: list[str]) -> list[list[list[str]]] | None:
-        """Parenthesised tuples, each a list of values, each a list of tokens; None if anything else is there."""
-        out, depth = [], 0
-        for t in tokens:
-            if t == "(":
-                depth += 1
-                if depth == 1:
-                    out.append([[]])
-                    continue
-            elif t == ")":
-                depth -= 1
-                if depth == 0:
-                    continue
-            elif depth == 0:
-                if t != ",":
-                    return None
-                continue
-            if depth == 1 and t == ",":
-                out[-1].append([])
-            else:
-                out[-1][-1].append(t)
-        return out if depth == 0 else None
-
-    def statement(tokens: list[str], created: dict) -> list[tuple]:
-        upper = [t.upper() for t in tokens[:8]]
-        rest = [(None, None, None, " ".join(tokens)[:200])]
-        if upper[0] == "CREATE":
-            if "TABLE" in upper and "(" in tokens:
-                at = tokens.index("(")
-                columns = groups(tokens[at : len(tokens) - tokens[::-1].index(")")] if ")" in tokens else [])
-                words = ("PRIMARY", "FOREIGN", "UNIQUE", "CONSTRAINT", "CHECK", "KEY", "INDEX")
-                created[name(tokens[at - 1]).lower()] = [name(c[0]) for c in (columns or [[]])[0] if c and c[0].upper() not in words]
-            return []
-        if upper[:2] != ["INSERT", "INTO"]:
-            return [] if upper[0] in ("BEGIN", "COMMIT", "SET", "USE", "LOCK", "UNLOCK", "PRAGMA", "START") else rest
-        at = next((i for i, t in enumerate(tokens) if t.upper() == "VALUES"), None)
-        listed = groups(tokens[3:at]) if at else None
-        rows = groups(tokens[at + 1 :]) if at else None
-        if listed is None or not rows or len(listed) > 1:
-            return rest
-        names = [name(c[0]) for c in listed[0] if c] if listed else created.get(name(tokens[2]).lower())
-        if any(names is not None and len(r) != len(names) for r in rows):
-            return rest
-        return [(name(tokens[2]), names, [value(c) for c in r], None) for r in rows]
-
-    def parse(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens, created, out = [], {}, []
-                for m in token.finditer(text):
-                    t = m[0]
-                    if t[:2] in ("--", "/*"):
-                        continue
-                    if t != ";":
-                        tokens.append(t)
-                        continue
-                    out += statement(tokens, created) if tokens else []
-                    tokens = []
-                    if len(out) > 10_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in out], kinds)
-                        out = []
-                out += statement(tokens, created) if tokens else []
-                yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in out], kinds)
-
-    files = spark.read.text(path, wholetext=True)
-    return files.mapInArrow(parse, "table_name string, names array<string>, cells array<string>, rest string")
-
-
-def dump_leftovers(spark: SparkSession, path: str) -> DataFrame:
+def dump_leftovers(spark: SparkSession, path: str, dialect: str = "standard") -> DataFrame:
     """Number of statements that are neither complete INSERTs nor known others."""
-    return dump_rows(spark, path).agg(F.count("rest").alias("unsupported"))
+    return dump_rows(spark, path, dialect).agg(F.count("rest").alias("unsupported"))
 
 
 def sql_dump_load(
-    spark: SparkSession, path: str, table: str | None = None, schema: str | None = None, warnings: list[str] | None = None
+    spark: SparkSession, path: str, table: str | None = None, schema: str | None = None, warnings: list[str] | None = None, dialect: str = "standard"
 ) -> DataFrame:
     """Rows of one table of a dump; without a name, of the table with most rows.
 
+    By default a backslash in a quoted value is plain text; ``dialect="mysql"`` takes it as an escape.
+
     Each statement's values go by its own column list; columns it doesn't list are
     null. Statements that cannot be read are counted in a warning.
     """
-    rows = reliable(dump_rows(spark, path))
+    rows = dump_rows(spark, path, dialect)
     left = rows.where("rest is not null").count()
     if left and warnings is not None:
         warnings.append(f"Skipped {left} statements that could not be read")

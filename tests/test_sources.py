@@ -87,10 +87,10 @@ INSERT INTO u VALUES (1, lower('X'));
 UPDATE t SET a = 1;
 """
     notes = []
-    got = sql.sql_dump_load(spark, write(tmp_path / "d.sql", dump), table="t", warnings=notes).select("a", "b").collect()
+    got = sql.sql_dump_load(spark, write(tmp_path / "d.sql", dump), table="t", warnings=notes, dialect="mysql").select("a", "b").collect()
     assert sorted(map(tuple, got), key=str) == sorted([("1", "p (q); -- "), ("2", None), ("-3", "NULL"), ("4", "it's 'x'"), ("5", "d")], key=str)
     assert len(notes) == 1
-    assert sql.sql_dump_load(spark, str(tmp_path / "d.sql"), table="u").first()["c0"] == "1"
+    assert sql.sql_dump_load(spark, str(tmp_path / "d.sql"), table="u", dialect="mysql").first()["c0"] == "1"
 
 
 def test_csv_as_people_have_it(spark, tmp_path):
