@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from sightline.llm.words import SLICE, bytes_of, mix, per_text, powers, prefix_hash, range_hash
+from sightline.llm.words import SLICE, bytes_of, mix, per_text, powers, prefix_hash, range_hash, slices
 
 #: Bytes of a shingle, and how many hashes there are to one that is kept.
 SHINGLE = 20
@@ -128,13 +130,12 @@ def containment(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> D
 # ---- each document beside the next one ----------------------------------------------
 
 
-def with_next(docs: DataFrame, doc_id: str, text: str, out: str, bucket_bytes: int = BUCKET) -> DataFrame:
-    """Each row with the text of the row next in order of id, the first one's for the last, as column ``out``.
+def in_buckets(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = BUCKET) -> DataFrame:
+    """Rows with ``__bucket`` and ``__borrowed``; buckets follow each other in the order of id (null first) and text hash.
 
-    Rows are dealt to buckets that follow each other in that order; the head of each bucket
-    also goes to the bucket before it, so texts move once and no bucket needs another.
+    The head of each bucket also goes to the bucket before it, as a borrowed row, and the first
+    one of all to the last bucket. So texts move once and no bucket needs another.
     """
-    key = [F.col(doc_id), F.xxhash64(text)]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, int(total // bucket_bytes))
     keys = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
@@ -143,10 +144,12 @@ def with_next(docs: DataFrame, doc_id: str, text: str, out: str, bucket_bytes: i
         low = laid.groupBy("at").agg(F.min_by(F.struct("id", "h"), F.struct(F.col("id").isNotNull(), "id", "h")).alias("low"))
         heads = [(r.low.id, r.low.h) for r in low.collect()]  # one a bucket
     else:
-        first = keys.orderBy("id", "h").limit(1).collect()
-        heads = [(r.id, r.h) for r in first]
-    ordered = sorted({(i is not None, i, h) for i, h in heads}, key=lambda k: (k[0], k[1] if k[0] else 0, k[2]))
-    ranks = [(k[0], k[1] if k[0] else 0, k[2]) for k in ordered]
+        heads = [(r.id, r.h) for r in keys.orderBy("id", "h").limit(1).collect()]
+
+    def key(i, h) -> tuple:
+        return i is not None, i if i is not None else 0, h
+
+    ranks = sorted({key(*x) for x in heads})
     last = len(ranks) - 1
 
     @F.arrow_udf("array<int>")
@@ -154,48 +157,56 @@ def with_next(docs: DataFrame, doc_id: str, text: str, out: str, bucket_bytes: i
         """The bucket of a row; for a head also the bucket before, as -1 - bucket."""
         places = []
         for i, h in zip(ids.to_pylist(), hashes.to_pylist()):
-            k = (i is not None, i if i is not None else 0, h)
+            k = key(i, h)
             b = max(bisect.bisect_right(ranks, k) - 1, 0)
             places.append([b, -1 - (b - 1 if b else last)] if ranks and ranks[b] == k else [b])
         return pa.array(places, pa.list_(pa.int32()))
 
-    dealt = docs.withColumn("__places", buckets(*key)).withColumn("__place", F.explode("__places")).drop("__places")
-    borrowed = F.col("__place") < 0
-    dealt = dealt.withColumn("__bucket", F.when(borrowed, -1 - F.col("__place")).otherwise(F.col("__place")))
-    order = Window.partitionBy("__bucket").orderBy(borrowed, F.asc_nulls_first(doc_id), F.xxhash64(text))
-    following = dealt.withColumn(out, F.lead(F.col(text)).over(order))
-    return following.where(~borrowed).drop("__place", "__bucket")
+    place = F.col("__place")
+    dealt = docs.withColumn("__places", buckets(F.col(doc_id), F.xxhash64(text))).withColumn("__place", F.explode("__places"))
+    dealt = dealt.withColumn("__borrowed", place < 0).withColumn("__bucket", F.when(place < 0, -1 - place).otherwise(place))
+    return dealt.drop("__places", "__place")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str, text: str, out: str, bucket_bytes: int = BUCKET) -> DataFrame:
+    """Each row with the text of the row next in order of id, the first one's for the last, as column ``out``."""
+    order = Window.partitionBy("__bucket").orderBy("__borrowed", F.asc_nulls_first(doc_id), F.xxhash64(text))
+    following = in_buckets(docs, doc_id, text, bucket_bytes).withColumn(out, F.lead(F.col(text)).over(order))
+    return following.where(~F.col("__borrowed")).drop("__borrowed", "__bucket")
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they and the next document's are.
 
     The edited text has the document's last half (rounded down, in code points)
     replaced by as much of the next document's beginning. Columns: ``doc_id``,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Documents stream through the buckets in order, each beside the next one.
     """
     fields = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-    @F.arrow_udf(f"struct<{fields.replace(' ', ': ').replace(',:', ',')}>")
-    def made(texts: pa.Array, following: pa.Array) -> pa.Array:
-        rows, n, low = [], len(texts), 0
-        sizes = np.diff(bytes_of(texts)[1]) + np.diff(bytes_of(following)[1])
-        while low < n:
-            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), SLICE // 2, "right")))
-            own = [t or "" for t in texts.slice(low, high - low).to_pylist()]
-            after = [t or "" for t in following.slice(low, high - low).to_pylist()]
-            edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(own, after)]
-            places = {t: i for i, t in enumerate(dict.fromkeys([*own, *after, *edited]))}  # equal texts once
-            found = sketches(*bytes_of(pa.array(list(places), pa.large_string())))
-            for t, u, e in zip(own, after, edited):
-                a, b, c = (found[places[x]] for x in (t, u, e))
-                rows.append((len(t), hashlib.sha256(e.encode()).hexdigest(), written(a), written(c), likeness(a, c), likeness(a, b)))
-            low = high
-        columns = list(zip(*rows)) if rows else [()] * 6
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        names = [f.split()[0] for f in fields.split(", ")]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    kind = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), *T.StructType.fromDDL(fields).fields])
+    schema = to_arrow_schema(kind)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # the last row so far: bucket, borrowed, id, text, sketch
+        for batch in batches:
+            marks = [batch.column(i).to_pylist() for i in range(3)]
+            for low, high, *_ in slices(batch.column(3), SLICE // 2):
+                texts = [t or "" for t in batch.column(3).slice(low, high - low).to_pylist()]
+                own = sketches(*bytes_of(pa.array(texts, pa.large_string())))
+                rows = held + list(zip(*[m[low:high] for m in marks], texts, own))
+                held = rows[-1:]
+                pairs = [(a, b) for a, b in zip(rows, rows[1:]) if not a[1]]  # what follows a borrowed row is of another bucket
+                edited = [a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2] for a, b in pairs]
+                found = sketches(*bytes_of(pa.array(edited, pa.large_string())))
+                out = [
+                    (a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), written(a[4]), written(f), likeness(a[4], f), likeness(a[4], b[4]))
+                    for (a, b), e, f in zip(pairs, edited, found)
+                ]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     known = docs.select(F.col(doc_id), F.col(text).alias("__text"))
-    paired = with_next(known, doc_id, "__text", "__next")
-    return paired.select(F.col(doc_id), made.asNondeterministic()("__text", "__next").alias("print")).select(doc_id, "print.*")
+    dealt = in_buckets(known, doc_id, "__text", bucket_bytes)
+    laid = dealt.repartition("__bucket").sortWithinPartitions("__bucket", "__borrowed", F.asc_nulls_first(doc_id), F.xxhash64("__text"))
+    return laid.select("__bucket", "__borrowed", doc_id, "__text").mapInArrow(compare, kind)
