@@ -1,181 +1,75 @@
-"""Digests of the canonical forms of whole licence texts, with and without their usual titles (see license_digests.plain)."""
+"""Digests of whole licence texts in canonical form, made by ``license_digests.build`` from the files of Debian's /usr/share/common-licenses.
 
+Each text as it is and, where it says so, up to the end of its terms. SOURCES names the file of each.
+"""
+
+SOURCES = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic-1.0-Perl": "Artistic",
+    "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2",
+    "GFDL-1.3": "GFDL-1.3",
+    "GPL-1.0": "GPL-1",
+    "GPL-2.0": "GPL-2",
+    "GPL-3.0": "GPL-3",
+    "LGPL-2.0": "LGPL-2",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3.0": "LGPL-3",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+
+#: SHA-256 by licence.
 DIGESTS = {
-    "0BSD": (
-        "25f92f5a913eeb606680152504b836bd46d73abf01f126f57f5d16f5406c97f8",
-        "b04690e6f5d5ab5082992540e970d65d6cb81e6202cb7ce9210659d0cb7cfb82",
-        "bf1eab3e85ba587c95d3f5ac05da5e99c1783b8c13041d20729636c3346f58af",
-        "c453657c51b525fb912539d62981f4b300a8d0c556ab6e453a0d847b2382aaf3",
-    ),
     "Apache-2.0": (
-        "0f48656ae2cf0795f4e51d23548e7a779fdf5c9917490c86dd22c569f946717c",
-        "48817b84b9c501d27e08fe3ca3568aa4943698a36bb934079bfdbe982dd9ca31",
+        "2c6795903d07f17a9f31d7fa5893fd2b9869a7f88ca3c0e35f1dc2816119bc7a",
+        "aa0a88694b449fe5b369aa038a940acea4c4ad864b21c87517686cf259e444bf",
+        "dadd1ce898a91ab136da8b4ccb706b024f552b17d898e88eca4bf995f33188b3",
     ),
-    "BSD-2-Clause": (
-        "0f589bc84ce5bd16f19c2a199b75eb541343dc5b7220558d1e7d1b9dc3996b8f",
-        "14ddf8a49b248aa3262cbf69abae85823dae3f32805b3a6e47a6d3643dfa087b",
-        "368967ac123ded4abe4f5f7b2f57a963f006de569983ac7a83c2d08baf7cf827",
-        "388e14e5102d8041d0e5e8805f561e0b5db96a3e242095d93c0f9998294d3c67",
-        "3ba5d1a907b7b2f9e844bd736c4e0331a1c2b5bd85c42eb1aa5f5be34c1f5cfb",
-        "3f22396ce6b62db280d31e2d1b4938f0bee0cdfdc79b4f6f7241b86220ee9944",
-        "45239f03c2d5cd39e64dfd2d4481b801d9f6ec78b6bacdae6e38e08c279c1a1c",
-        "68913a2457de78ae2008c48383bab9f05b5747be482bd3772bc2a5f03feec42d",
-        "6b1ae5a5dd6e8f0e4e4fa17041067ad0dfb2f91bd83b1eafa4e46c47ba702cc4",
-        "6ebf3cbec9681802009b3c0fba0a89e65340a798ee12748fa6821199a80fe71b",
-        "78772eb824da0ba1ed1a2ff315e50ea0b36c189a97dbcd8c4b7d09a13c0241a2",
-        "7b63dac4d317caa7c0dda544ed14f01635c2dc423c4e0d1babdd9d7e8e6d4fa2",
-        "7c76963267fc95074bae2573db872038ce88275a172c24e3eb00e5da2ae2051e",
-        "82f5ae41128cb99fcbff090360fe6e9f3ee1697da566d1618c0a9c51bbe8d7a9",
-        "8e34e421ea1a15fc37234d2c275bbb9a9e985f3a274a81577dff2f2d0d827305",
-        "8e6b86dc86ba453b90dbe6d8b8c95a138ae9ca8b89c130c74e626eaf08fc5ee0",
-        "9717cc62853e39cfa52588179c9e977e814bb7d2113bf47736f88a4642ef253d",
-        "977bfc5863929df166b911fc610c65d4644bb4f992361b0ed4a628d129afbb03",
-        "9856824a716d37340e89e00ffbb7f34a2b2a52525184272245f69b7f3f38d36f",
-        "9affdd31ba98c40c02e77713b03d47f61d0a3cf7e28718a411898525d58d9294",
-        "9b68759b41a3d9ebd4cf3c9d579613f3af0838b9813f4b340a7e2a82ff5ecfaf",
-        "a46425c40e945d111de4d0078c06c6f9164febfb98d7fea496738e219a63a367",
-        "c193593459b45a44ce0fc6fc01e569779b8f5a2aa2ae70967a604c014fea3dfd",
-        "c24108349174cb3c86296b5626656a1e2602f56acf89bbf31a050078524c17ec",
-        "d4faeb2afd439e7ba384cc6f75f8b3bb53f1cc7f5a5f0c9f5d5c68e834c387b6",
-        "da04084516774a1eab9b6fd09bc061eb2198e83291e3189945814996da42b161",
-        "e0d0258275508974ceb25621c8b1612c266d0f59ea5537fb54f390429086a283",
-        "f0c34aa121bf4c7d25d60a1d0ecc1f2b26b9441b5a7c3aa775f21bd11113758e",
-        "f4d0b702be68cebfb9e036f015010c0c4c27dd6a6436fa2206d7c27d2393884a",
-        "f993e64037ece01dfa4f5226f3323089600a29ce382d581a4b10146727179a11",
+    "Artistic-1.0-Perl": (
+        "aaeb9e3c0971c6a124d527a024ea2026a1690909a015bfc0fb21761e1cfaf766",
     ),
-    "BSD-3-Clause": (
-        "028aa42c4df6dffe85ea3eaefe7f98645d3a3ddcb356c49005c8b6475caad023",
-        "02c0a0331b822f44d0985e60cea58f4cfd48f655151df80b865ffb38fd87d1ac",
-        "0c9dde65212aed49de4fda439e9cc66a68cc1bd380d144203efb3e834ff7dfc6",
-        "0f9f14bd0632216ad0b2cc0f4b27710fa8800a660c5851af0d36d1af2e3ec914",
-        "112bb50652c50db42a892a977d425ca7d410b143ef72943c368ccbd8a40ea155",
-        "169205dfb3711920863e5fa9c0cc757b557399410d9bf2b1207fef929e1aa7e3",
-        "170441239e72c9fc83742c4fb58e9f381449ee5f5785c1b9dc25679d86c1d693",
-        "1a9d38e480bc2d827e0f06a7c425a0d968a0397fd84e4ad08dc080701287e988",
-        "2302e55ae9c2ad62ab6770b1b7cd96e09eb17c12e10b9169be935ef6b7076e92",
-        "25206115cd1493fe804a84655f203b177deadb477e187d8dd2ad82ad2736210e",
-        "255de7acd19eff583442aba8463a9a19bce3956ea44ad09bcbab9cca7868f8e6",
-        "2849d9ac6ce4427909128b049b8edd32b54b7639f1e3fe72af797d8da9e65613",
-        "2aeea95f85a041587bfd4a800f3b46b361061fcae2253a319df0c7079c174830",
-        "2fbdf082e2014075ba77fab4eb13f4a3119ef4673fe4a766e445948764133baa",
-        "30d9ee28ae304ab92cb582dc3570680cda8a96eadbfa0586ee769f12e46f7261",
-        "3102aaef231b1f6d2ee337dafdc3db646e8e4b9c23c1efcc2ce6c95d105e0929",
-        "327691a24d648c6e86f3ec917c354e968fcec67e35898bd6c3ef808fbc0aea17",
-        "39843a3bf9492c52cbfbfe5569c034ee69f1eca8e793c32a8d114272d528391a",
-        "3ce559595ce5d1136d4fc9a757b8afbe1a810c65ac19cae82960393e31b681a2",
-        "426da4e4320f0695d02e8e6ee7a7e6e2f61f2456b5fd3b47b0936f2f82a9d3b4",
-        "44514e56efe8e89787fb90f2758fde6d6b6546b2087dfeaa9b9bb5ec9a15fdd0",
-        "44b1dcb62b909112c9527d8a7b4b459d485f187c96ef12420befa51fca5a0ce8",
-        "467fe0e1b24d892376059379bca34913b057bbb49168ada568598e722bc84c24",
-        "4ce27ee79c32e7bfe9b01d7dc502c328ccfed878120694e33e51687e8d3ba243",
-        "4e01da969b7f94ffa5b670ee5753ad3473649a33c01a58fcec824d7a38b7f89f",
-        "4e2a08b6e0ac4d9b75c7e95c5b426092de80adb619f5d628fc94046d6f92e1f1",
-        "5aafc6d3dbe0f89f95656f0316eede389ebcc85ee391bd0634d6749f2c0f0e43",
-        "5d27b0ca818b982f18928d27b89303888a52417095d1e78deb4c3e3991c5064f",
-        "5dc1131263cb96e2d2a53262a966f492b4358500babd277fd6a0715942fe17cd",
-        "60eb8fe537edc62719592ad67dbd2cee9d2f5308cb77dd9e9637d61fd116cdf4",
-        "63433cb4311b3c43124261e5cde62d87c67858cfc97d8b1e0918061fbaf4decc",
-        "647a445b30b431c32da3d50e36274c6a957f986270f1d89acf7297d00e382ffd",
-        "6730f7a8267245a01530e794ac1e4fb5f5cd9abb2a51c406463eee0c8954d419",
-        "6b22c241fa2bc7a69e827f0b55f476b09c6c47cb8e89b278ea4b5c122464d987",
-        "6f71a1ee02bb4f497dec48a922c4ecd4f081422e6c1a9185170692bf7f3c8594",
-        "6fcee446126e16ca212ea0d7cfa51763141f2622769a7de564103ed49d284c94",
-        "701d677d9e66b22cafd069044ce8bd1abd1125b9533b66a675b68270d2a7af55",
-        "71a19b97b73803a9f3a314fbb72c8bf58beb06b187d48c81cb7e3ae3e51779e7",
-        "71c9b879dfb86d3c37fa39646ccb34e908fa89a1c4b8afac1d71e988ebf9de09",
-        "74261f7bd6da3beaeaa42803766c5693bc02a20f6d593f458ecc23d94f5896bc",
-        "76b0906e37048982be9fa9aa809f2f408115856f36c2c3337f87395860b06c5f",
-        "782cc72fb9cd403caaeb9b48ed6f264fc86672d02ae5991d598fb085e3a9391c",
-        "78f8267c9d4dae1438d6ab953b63dfea44551f5b59b6f37baf4d683e4d67159b",
-        "790164ebd55c03aff690605fd9012f12c5b70a3e9efb57058f22429719b5f9b7",
-        "79b0d2a8284c7f72b58e65259aad2c0788aed6dcffd8ea9b016ff4457786951e",
-        "7b3643e8fa571261f8442534c5beea569fc8e00098dc99f909ce5ba6dea0a46b",
-        "7ee492dfd355b5a18e8fb8d89452cc3f1202be2621f99ea257bbecdfb1bb8066",
-        "7f4319f29f8743ab1089ab80c2cff142bfadf31d1ade5fe59991641b0cc38fea",
-        "7f9a12e0ae83076de1a1871264ef8e3fcdcd0a4d89ec0e2a272bf6ffbc7ebcf8",
-        "82cffc03087309d504f964959603c6b063e351a35bb657ba06ddbca93c532184",
-        "82d7ca6eb83f4885008de2dada7a8c6df782f707b5c39f6361341932038a4134",
-        "8a4c046ff7fe1a9a9f352922779186866a7d448413327b855546a64c7213e2a3",
-        "8af3ad5f3a468b8d79bc513e5e3b10d03f13dcddebbbd6d9246b683ad86b3aec",
-        "91bb2cb8b082bc4c1c2f60ea03be289e92dc187b2775480e4d68a87e5c7e3224",
-        "92295a6c48050d2f18c545a90c840fde6ea55c41ab4cdf90a74dab2614d51e49",
-        "94ffc164b3ece0fb588f97e2a435b8e09cbb5c337eded93027a771c0b549a41a",
-        "957dff7ea021720f56eb30fd140c134564dc02c76596d16dec694f126b1ca9f8",
-        "97a258c25a3b9b02c995bdd1d122f4634bdb43afe2ced8fe7e06531c828bcee3",
-        "98725ae95f57f0108f55af4056fedd2a21448fa33659b6ab60c53ea9b716cf6b",
-        "9ae0674f4c7a578f7bbf8daa5de619eada66cdcaf086ee1fa0d7d806848dc01c",
-        "9bc5ee22d5c3f7d15b295d45e4a4d4d4fbceac3375c3211ebcee9f5b3b9ef36f",
-        "9c7f9fee6899918f23eac687b1a83194ffd71feb908a067419e97750987cb59d",
-        "a264d6e5a85c0dff0be87a821ee16095d517fab35a2251bef80ba62f78d51a28",
-        "a72d7cd19c3324cd0f5181903957dc035d66148a2f29c325489c6236b2dda4c4",
-        "a7969cc0dfa8f9163de88bbb3e210fc71a1f0f33fed1da2dcae40631edb04fdc",
-        "a8428b56aa06386b5b9f57cf23ef3112a28f1661be00b4ab858e4c691909ac7a",
-        "aa071f7e4b7247197d18c150f49751fe0b3ac441d54669c0b360e5f23ed3955e",
-        "afbf4c2be5534c6c4b8781e763ab3b2c2ac761ee347d1263bb673847e7f7ec05",
-        "b66996bacfcbe7aa8c04e9cfa2422300f0c147dbe572319e1e67b2c0ccdb04de",
-        "b7e97af53bab227568233c9087e5098260ef6bbe6b8f5926ff145fce8efda7f1",
-        "b9185214230cfa5ae09e2a42aba876c599837d5efbffade30c2fa9066c971388",
-        "ba8677961fb69300d44b9d8f26447d6260ce914ebee45b1b0997fd5e520984f4",
-        "c04010f280032b52e522293da33538ba68af04ec354737707edbca1e5b4f4e93",
-        "c1a84e5e864421ec7d976ef94c24a8ceb95f808c558afb04b9915ab8ffb23630",
-        "c910ab8f394aaf20114d50c87fab6b66cbeb2ab9eae7837e3a7d60473a18e545",
-        "cc9de2fa7595f154973ef0e0de4d6e768e16294ec726fce2a71d3c5ab211a51c",
-        "cce21d322567b4b35c9499f7394d2dbc3a2dd594d2de2c42ebd4784d046d3428",
-        "cd724a8718cff958ecca20a90d39b47186b12fb6115ca40ffea9b35317cb17ee",
-        "d3065b25c79ea359cc54e7e436a18b007a521618469faa0304a507ff659395b4",
-        "d37a694e4d06ee0d409066521a02c9f12bc18e98f6c668a03c8dcaef9d41e6f0",
-        "dad438ca5c453af5c9b3aeabd03812c7f72db81e314cd51b0268a11f521c616a",
-        "dd17e174d6d79ac839ef29adfe0e54f1307a6dcf4bafde3ee3479587abfa4a62",
-        "e0044b307aa7157073c40dd4ddc2ea18f50aa62a951292f593b6ba706725da8f",
-        "ea2aa65171ff8a3da89974fb3a9a1898d9fb4f7401621c43acf9a44702f90edb",
-        "ea300795676948c282eb11505dd3a22a97fc925af97c23e137eaee2ffb7ada49",
-        "efcc46aadf2b4dc52357e76caa187f77af21eb4ecf6173782a58e840ff27b78e",
-        "f2efe8dd75448b58a515593e11fbd41c725a493407e4e519860d84aaf9a1f49d",
-        "f3ef49292a23f52e05e62bab6ad08ef3a02091eb15d186032de73bcd6f4595c1",
-        "f63c18d1f48b05b25df3ce9df1a38592eb0ec1fceb2a9c9f217784ba87c82f3a",
-        "fb433c2e84bb67f8cc29a970fb6545fc6c7079302231bec58405dbaaf3b7f043",
+    "CC0-1.0": (
+        "4d364ff0dab9e885ab3e1f042d84cf93e3ee03308ea07c332f1ec94f3491cf2f",
     ),
-    "BSL-1.0": (
-        "a5bb86fa0d4fdbc62f247da5246d20b4dd676b746506e781c90a4d67cb385baa",
-        "c27b1cdb5c4a8e624e3f46f76b64a93c43aa12c04bd385b85e168971b7fe8b17",
+    "GFDL-1.2": (
+        "3e3076bdd45cbc3700b57359b8556a8a86bc4822a9e08f20aab670d4a716d40f",
     ),
-    "CC0-1.0": (
-        "1b1e1b0668e591dc12cc2c1f858df46627fa560d83b45f65c1b3df60188b525e",
+    "GFDL-1.3": (
+        "90f4f2e7a53aa20e622ba7821c11064dec9017b053ce0b7ca86be893535b9245",
+    ),
+    "GPL-1.0": (
+        "112cb0e9e3ebfa0bd97532a8edc8d0d85d6a5738fd4f597a58fe108139edb431",
+        "55285436e9ae2c0893f8a4f5857e06688e84425826361f87f275d6a02e627ebf",
+        "79471c0969fb8776590594ab68d8eecf64bbf043461ebe1b2c016bb77b545305",
     ),
     "GPL-2.0": (
-        "460cc89be57e813577281832b25777cd12f24f2cdd7b5964719e2ff67f197100",
+        "095e328163f99cef213c16812f33504ad2ef020dc55f4f35a35935d99b28be5c",
+        "2ad52ac848664db7937e4ad76a8fd53923077d623d438add86f2fe33b44e058d",
+        "40942dd72eed70c7102e5575fcbb2e6d2dfd374eb9a6a9a7953ed3f2e73e7a2d",
     ),
     "GPL-3.0": (
-        "c00371fc83ad631eed7d768275473ae6d758e165d397d3f4ae0496e04a767d8a",
+        "52f656af64e7e54a758b40cc2cad5596ad92abbe15c7f11b387779c4a07fdae0",
+        "7e4e9e3f9b0e135fa8d2ca62df8945328a073204093730a9586f991ae7d68e07",
+        "eb132db27a8e5a309335ce5ed9805ec38c540dd60497f3f3e13412d82d5155a3",
     ),
-    "ISC": (
-        "4f2b3cfab7d5179652ee5c0543ff77588605cbf25d5c4dae65d7d386f0ceb939",
-        "98ca418ebc3268d1816a9e13ed3b7972081f130650b005e98c420c7b452d4f8f",
-        "a3014c01f52f8da9e462588ef82ed8648ac908bc29f1ab21f7b1d8ad06b8eea3",
-        "d3f7407af8ed986a91cbf693ce492a72ab4d36a99112da7d587be9550f7ea8d0",
+    "LGPL-2.0": (
+        "1e3e3dd4ce163370479bbc9b94dc1de2ab2d1ca9041f0d5747527a0f69cf86e7",
+        "409f87802d10f252d44255872e64b88d8b29a1aa95500f6b30d882ba293c3c50",
+        "6c1db4e4828cce87ca139d112ab547fc8fb5d949020e6a44bf87cd2b7959f5e7",
     ),
     "LGPL-2.1": (
-        "ab0ce6438ac756d393c6e787cbd696dbe440fc01faf7302b06b136bbc1a08479",
+        "4cdeb721f97da1e05ca600ba74a77254180373a3c52e7c5a9a80c1169243a54c",
+        "c5e813830bda5a726d93d1706b43d5fc05622f0d43d40a9d8c4de3e50d99619a",
+        "eccc01f482a6a6cbac73d19d6d3c4349e4275197e0f73f44d2603191f030cadf",
     ),
     "LGPL-3.0": (
-        "8854f67344795b2c32a6117438109542910956a2779aec3dd280b9f7748b0c9b",
+        "3d6e6acd42330c52e014052109e327033ab60b7769d0950a59d9dd685aa1b43b",
     ),
-    "MIT": (
-        "5c925f709fa789a8ecfcd6baeb38c40b6cbff0a41df21b42643f38a2663a39dd",
-        "a7f72458e72f82e6f67c467f394c616c22a9f49a5c5b85b09ff9be2ea1c01e43",
-        "c4ebaacd8e7175d8794f5fd3e9779187178967bc5ca391048c9be54f38acae3b",
+    "MPL-1.1": (
+        "ec234fe536f7828f67d115bea89d26e9af83e3f04e8735f7b451704d90eb4069",
     ),
     "MPL-2.0": (
-        "736c984a88bd2d9db2c864ccfa36b5d033d0a436d634a0f55a8105a9e67462b3",
-    ),
-    "Unlicense": (
-        "240389b35532e9bd1533c204d38fe8b7a717b4d41d990db1be15d735f3ab7218",
-        "3f2370e9b0dbce0f4070228fe913870543c3cd99caeb8dc11dbc2b408949725f",
-    ),
-    "Zlib": (
-        "1047f2149716e584efadeda3d6d6bb4de466f8dc057fc3fd47403c05fdcab45d",
-        "3a3731c81eaf087c1e32564ff974ab8c25b62d4497638831ab6ade8ad81d6837",
-        "ae6427635924326bf9aff0f70440c042c3be46f53c7648fb9b6a5676880eb8f9",
-        "eef11b61969cce98f167e1ae05c95d72cd1216a7f3b61f962876ba8d3ce524c0",
+        "15dc8e8673fb83f54651ca7a236121b37fc1e8dd224162ee304b6781156be49f",
     ),
 }

@@ -389,3 +389,48 @@ def test_boilerplate_goes_by_its_share_of_a_line(frame):
     got = {r.doc_id: r.quality for r in line_rules.clean(frame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0].kept and got[0].clean_text == article and got[0].n_lines_removed == 0
     assert got[1].kept and got[1].n_lines_removed == 2 and got[1].clean_text.startswith(article + "\n")
+
+
+def dressed(text, title="", notice="Copyright (c) 2003-2021, Some One <some@one.org> and others. All rights reserved.", marks="# "):
+    """A licence as people have it: at several widths, in a comment, on one line, with a title and notices."""
+    import textwrap
+
+    paragraphs = [" ".join(p.split()) for p in text.strip().split("\n\n")]
+    forms = ["\n\n".join(textwrap.fill(p, width) for p in paragraphs) for width in (60, 72, 100, 120)]
+    forms += ["\n".join(paragraphs), " ".join(paragraphs), "\r\n".join(textwrap.fill(" ".join(paragraphs), 79).split("\n"))]
+    headed = [f"{title}\n\n{notice}\n\n{f}" for f in forms] + [f"{title} {notice} {forms[-2]}", f"{notice}\n{notice}\n{forms[0]}"]
+    return [*forms, *headed, "\n".join(marks + line for line in headed[1].split("\n")), "/*\n * " + headed[0].replace("\n", "\n * ") + "\n */"]
+
+
+@pytest.mark.parametrize("name, title", [("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+                                         ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"), ("Zlib", "zlib License"), ("Unlicense", "")])
+def test_short_licences_however_wrapped(frame, name, title):
+    texts = dressed(license_digests.KNOWN[name], title) if name != "Unlicense" else dressed(license_digests.KNOWN[name])[:7]
+    texts += [texts[0] + " And more.", "Before. " + texts[0], texts[0][:-40]]
+    got = license_digests.scan(frame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "license.*").collect()
+    assert {r.doc_id: r.license_id for r in got} == {i: name if i < len(texts) - 3 else None for i in range(len(texts))}
+
+
+def test_wordings_of_holders(frame):
+    three = license_digests.KNOWN["BSD-3-Clause"]
+    other = three.replace("the copyright holder nor", "the University of Somewhere, Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS")
+    other = other.replace("COPYRIGHT HOLDER OR", "REGENTS OR").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "(c) ")
+    four = three.replace("3. Neither", "3. All advertising materials must display an acknowledgement. 4. Neither")
+    got = license_digests.scan(frame([(1, other), (2, four)], "doc_id long, text string")).select("doc_id", "license.*").collect()
+    assert {r.doc_id: r.license_id for r in got} == {1: "BSD-3-Clause", 2: None}
+
+
+def test_long_licences_however_wrapped(spark, frame):
+    """The stored digests come from the published texts, where this machine has them."""
+    from pathlib import Path
+
+    from sightline.llm.known_licenses import DIGESTS, SOURCES
+
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts here")
+    texts = {k: (folder / v).read_text(errors="replace") for k, v in SOURCES.items()}
+    assert license_digests.build(spark, texts) == DIGESTS
+    rows = [(k, t) for k, text in texts.items() for t in (text, *dressed(text)[:6], dressed(text)[-1])]
+    got = license_digests.scan(frame(rows, "doc_id string, text string")).select("doc_id", "license.license_id").collect()
+    assert len(got) == 8 * len(texts) and all(r.doc_id == r.license_id for r in got)
