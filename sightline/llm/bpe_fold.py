@@ -115,53 +115,58 @@ def distinct_words(docs: DataFrame, text: str) -> DataFrame:
     return parts.groupBy("word", "hash").agg(F.sum("n").alias("n"))
 
 
-def rank_lookup(ranks: dict[bytes, int]):
-    """Function from a column of byte strings (a character a byte) to their rank or NONE, over one literal."""
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: an array of maps, a token's map found by its checksum."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = token.decode("latin-1")
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-    return lambda part: F.coalesce(F.element_at(F.get(literal, F.crc32(part) % BUCKETS), part), F.lit(NONE))
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def fold(word: Column, ranks: dict[bytes, int]) -> Column:
     """Token ids of a word (binary): merges the pair of lowest rank, leftmost first, until no pair has a rank."""
-    rank = rank_lookup(ranks)
     chars = F.decode(word, "ISO-8859-1")
 
     def let(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    def merge(state: Column) -> Column:
-        parts, pairs = state["parts"], state["pairs"]
-        best = F.array_min(pairs)
-
-        def at(p: Column) -> Column:
-            joined = F.concat(F.get(parts, p - 1), F.get(parts, p))
-
-            def apply(new: Column) -> Column:
-                kept = F.concat(F.slice(parts, F.lit(1), p - 1), F.array(new), F.slice(parts, p + 2, F.size(parts)))
-                left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p < F.size(pairs), F.array(rank(F.concat(new, F.get(parts, p + 1))))).otherwise(F.array().cast("array<int>"))
-                ranked = F.concat(
-                    F.slice(pairs, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(pairs, p + 2, F.size(pairs))
-                )
-                return F.struct(kept.alias("parts"), ranked.alias("pairs"))
-
-            return let(joined, apply)
-
-        merged = let(F.array_position(pairs, best).cast("int"), at)
-        return F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(merged)
-
-    single = F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: F.substring(chars, i, F.lit(1)))
-    pairs = F.transform(
-        F.when(F.length(chars) > 1, F.sequence(F.lit(1), F.length(chars) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: rank(F.substring(chars, i, F.lit(2))),
-    )
-    start = F.struct(single.alias("parts"), pairs.alias("pairs"))
-    end = F.aggregate(F.sequence(F.lit(1), F.length(chars)), start, lambda state, _: merge(state), lambda s: F.transform(s["parts"], rank))
-    return F.when(rank(chars) != NONE, F.array(rank(chars))).otherwise(end)
+    def folded(table: Column) -> Column:
+        def rank(part: Column) -> Column:
+            return F.coalesce(F.element_at(F.get(table, F.crc32(part) % BUCKETS), part), F.lit(NONE))
+
+        def merge(state: Column) -> Column:
+            parts, pairs = state["parts"], state["pairs"]
+            best = F.array_min(pairs)
+
+            def at(p: Column) -> Column:
+                joined = F.concat(F.get(parts, p - 1), F.get(parts, p))
+
+                def apply(new: Column) -> Column:
+                    kept = F.concat(F.slice(parts, F.lit(1), p - 1), F.array(new), F.slice(parts, p + 2, F.size(parts)))
+                    left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), new)))).otherwise(F.array().cast("array<int>"))
+                    right = F.when(p < F.size(pairs), F.array(rank(F.concat(new, F.get(parts, p + 1))))).otherwise(F.array().cast("array<int>"))
+                    ranked = F.concat(
+                        F.slice(pairs, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(pairs, p + 2, F.size(pairs))
+                    )
+                    return F.struct(kept.alias("parts"), ranked.alias("pairs"))
+
+                return let(joined, apply)
+
+            merged = let(F.array_position(pairs, best).cast("int"), at)
+            return F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(merged)
+
+        single = F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: F.substring(chars, i, F.lit(1)))
+        pairs = F.transform(
+            F.when(F.length(chars) > 1, F.sequence(F.lit(1), F.length(chars) - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: rank(F.substring(chars, i, F.lit(2))),
+        )
+        start = F.struct(single.alias("parts"), pairs.alias("pairs"))
+        end = F.aggregate(F.sequence(F.lit(1), F.length(chars)), start, lambda state, _: merge(state), lambda s: F.transform(s["parts"], rank))
+        return F.when(rank(chars) != NONE, F.array(rank(chars))).otherwise(end)
+
+    # the literal stands in the plan once, as a lambda's variable; written out at each use, its text fills the driver
+    return let(rank_table(ranks), folded)
 
 
 @dataclass

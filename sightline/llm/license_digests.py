@@ -8,6 +8,8 @@ in the GNU ones are made equal; equivalent spellings too.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +160,12 @@ WORDINGS = (
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x{A8}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{2000}-\x{206F}]+"
 
 
+#: Any variant, by its first letter.
+_VARIANTS = " (?:%s) " % "|".join(
+    f"{first}(?:{'|'.join(v[1:] for v in SPELLINGS if v[0] == first)})" for first in sorted({v[0] for v in SPELLINGS})
+)
+
+
 def _spread(words: str) -> str:
     return words.replace(" ", "  ")
 
@@ -180,29 +188,35 @@ def plain(text: Column) -> Column:
 
 
 def spelled(text: Column) -> Column:
-    """Equivalent spellings made equal."""
-    for variant, usual in SPELLINGS.items():
-        text = F.replace(text, F.lit(f" {variant} "), F.lit(f" {usual} "))
-    return text
+    """Equivalent spellings made equal, one after the other; texts without any variant are seen by one search.
 
+    A fold, as that many nested calls grow beyond what Spark compiles.
+    """
+    pairs = F.array(*[F.struct(F.lit(f" {v} ").alias("variant"), F.lit(f" {u} ").alias("usual")) for v, u in SPELLINGS.items()])
 
-def with_words(rows: DataFrame, text: Column, out: str) -> DataFrame:
-    """Append the canonical words of ``text``: spelled, without title and notices, and with the wordings that differ between copies made equal.
+    def folded(t: Column) -> Column:
+        return F.when(t.rlike(_VARIANTS), F.aggregate(pairs, t, lambda x, p: F.replace(x, p["variant"], p["usual"]))).otherwise(t)
 
-    A projection a step, as each looks at the step before more than once.
-    """
-    words = F.col(out)
-    rows = rows.withColumn(out, spelled(plain(text))).withColumn(out, F.regexp_replace(words, _HEADED, " $1"))
-    for marker, pattern, usual in WORDINGS:
-        made = F.regexp_replace(words, pattern, usual.replace("\\1", "$1"))
-        rows = rows.withColumn(out, F.when(F.contains(words, F.lit(f" {_spread(marker)} ")), made).otherwise(words))
-    return rows
+    return F.get(F.transform(F.array(text), folded), F.lit(0))
+
+
+def own_words(text: Column) -> Column:
+    """The words of ``text``, spelled, without title and notices, and with the wordings that differ between copies made equal."""
+
+    def with_usual(marker: str, pattern: str, usual: str):
+        usual = usual.replace("\\1", "$1")
+        return lambda w: F.when(F.contains(w, F.lit(f" {_spread(marker)} ")), F.regexp_replace(w, pattern, usual)).otherwise(w)
+
+    words = F.regexp_replace(spelled(plain(text)), _HEADED, " $1")
+    for wording in WORDINGS:  # each step's text is a lambda's variable: a plain expression would be written out three times a step
+        words = F.get(F.transform(F.array(words), with_usual(*wording)), F.lit(0))
+    return words
 
 
 def build(spark: SparkSession, texts: dict[str, str]) -> dict[str, tuple[str, ...]]:
     """Digests of whole texts by id, as DIGESTS lists them: each as it is, and up to the end of its terms with and without the line that says so, as many copies leave out what follows."""
     rows = spark.createDataFrame(sorted(texts.items()), "license_id string, body string")
-    words = with_words(rows, F.col("body"), "words")
+    words = rows.select("license_id", own_words(F.col("body")).alias("words"))
     end = f" {_spread('end of terms and conditions')} "
     body = F.substring_index("words", end, 1)
     ended = F.contains("words", F.lit(end))
@@ -218,6 +232,12 @@ def longest(known: list[str]) -> int:
     return max((2 * len(k) + 2 * len(k.split()) + 2 for k in known), default=0)
 
 
+def _telling(notice: str) -> str:
+    """The longest word of a notice that has one spelling only; a line without it cannot be that notice."""
+    spellings = {w for pair in SPELLINGS.items() for x in pair for w in x.split()}
+    return max((w for w in re.findall("[a-z0-9]+", notice.lower()) if w not in spellings), key=len, default="")
+
+
 def scan(docs: DataFrame, text: str = "text", out: str = "license", known: dict[str, str] = KNOWN, digests=DIGESTS) -> DataFrame:
     """Append struct ``out``: digest of the whole text, id of the licence it is, and ids of notices that are whole lines.
 
@@ -228,20 +248,20 @@ def scan(docs: DataFrame, text: str = "text", out: str = "license", known: dict[
     and listed once; of known texts with equal digests the smaller id counts.
     """
     table = docs.sparkSession.createDataFrame(sorted(known.items()), "license_id string, body string")
-    digested = with_words(table, F.col("body"), "words").select("license_id", F.sha2("words", 256).alias("known_digest"))
+    digested = table.select("license_id", F.sha2(own_words(F.col("body")), 256).alias("known_digest"))
     stored = [(k, d) for k, listed in sorted(digests.items()) for d in listed]
     digested = digested.unionByName(docs.sparkSession.createDataFrame(stored, "license_id string, known_digest string"))
     table = digested.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
     notices = {k: v for k, v in sorted(known.items()) if "\n" not in v}
     column = F.col(f"`{text}`")
-    lines = F.transform(F.split(F.coalesce(column, F.lit("")), "\n"), plain)
+    lines = F.filter(F.split(F.coalesce(column, F.lit("")), "\n"), lambda x: x.rlike(f"(?i){'|'.join(_telling(n) for n in notices.values())}"))
+    lines = F.transform(lines, plain)
     lines = F.transform(F.filter(lines, lambda x: F.length(x) <= longest(list(notices.values()))), spelled)
     wanted = F.array(*[spelled(plain(F.lit(v))) for v in notices.values()]).cast("array<string>")
     ids = F.array(*[F.lit(k) for k in notices]).cast("array<string>")
     hits = F.array_sort(F.transform(F.array_intersect(lines, wanted), lambda x: F.get(ids, (F.array_position(wanted, x) - 1).cast("int"))))
     columns = [c for c in docs.columns if c.lower() != out.lower()]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), column.alias("text"), hits.alias("notices"))
-    rows = with_words(rows, F.col("text"), "words").select("row", "notices", F.sha2("words", 256).alias("known_digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.sha2(own_words(column), 256).alias("known_digest"), hits.alias("notices"))
     found = rows.join(F.broadcast(table), "known_digest", "left")
     return found.select("row.*", F.struct(F.col("known_digest").alias("digest"), "license_id", "notices").alias(out))
 
