@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 from sightline.operators.profile import NULL_WARNING_PCT, measures_of, melt, null_profile
-from sightline.plans.ordering import last_before, order_key, tied_levels
+from sightline.plans.ordering import order_key
 from sightline.plans.quantiles import column_summary
 from sightline.plans.shared import settle
+from sightline.plans.sweep import first_jumps
 
 MIN_VALUES = 10
 SHOWN_ZSCORE, SHOWN_IQR, SHOWN_CHANGE, SHOWN_ALL = 3, 2, 2, 10
@@ -144,21 +145,13 @@ def anom_sudden_change(
     cells = measures_of(df, columns)
     names = list(cells)
     # One sorted row per table row carries all columns.
+    fields = [f"_v{i}" for i in range(len(names))]
     wide = df.select(
-        order_key(df, date_col).alias("_t"),
-        order_key(df, order_by).alias("row_key"),
-        *[c.alias(f"_v{i}") for i, c in enumerate(cells.values())],
+        order_key(df, date_col).alias("_t"), order_key(df, order_by).alias("row_key"), *[c.alias(f) for c, f in zip(cells.values(), fields)]
     )
-    fields = [f"_v{i}" for i in range(len(names))]
-    moved = last_before(wide, fields, tied_levels("_t", "row_key"))
-    jumped = [
-        F.when(
-            F.abs(F.try_divide(f, f"{f}_before") - 1) > 0.5,
-            F.struct(F.lit(i).alias("position"), F.lit(n).alias("column_name"), F.col(f).alias("value")),
-        )
-        for i, (n, f) in enumerate(zip(names, fields))
-    ]
-    jumps = moved.select("_t", "row_key", F.inline(F.array_compact(F.array(*jumped))))
+    jumps = first_jumps(wide, ["_t", "row_key"], fields, 0.5, SHOWN_CHANGE)
+    named = F.array(*[F.lit(n) for n in names])
+    jumps = jumps.withColumn("column_name", F.get(named, F.col("position")))
     return _flags(
         _first_rows(jumps, SHOWN_CHANGE, "_t", "row_key"),
         3,

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.types import change_pct, measure, quoted
-from sightline.plans.ordering import key_levels, last_before, order_key, sums_before
+from sightline.plans.ordering import order_key
+from sightline.plans.shared import reliable
+from sightline.plans.sweep import gap_counts, rank_moments
 
 MIN_ROWS = 4
 DAY_MICROS = 86_400_000_000
@@ -58,21 +60,7 @@ def granularity(df: DataFrame, date_col: str) -> DataFrame:
     """
     d = quoted(date_col)
     times = df.where(d.isNotNull()).groupBy(d.cast("timestamp").alias("ts")).agg(F.count(F.lit(1)).alias("c"))
-    times = times.select(order_key(times, "ts").alias("_t"), "c").withColumn("at", F.col("_t"))
-    gaps = last_before(times, ["at"], key_levels("_t")).select(
-        (F.col("at") - F.col("at_before")).alias("gap"), (F.col("c") - 1).alias("zeros")
-    )
-    cells = gaps.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).cast("long").alias("gap"), F.col("zeros").alias("w")),
-                F.struct(F.col("gap"), F.lit(1).cast("long").alias("w")),
-            )
-        )
-    ).where("gap is not null and w > 0")
-    days = cells.groupBy(F.floor(F.col("gap") / DAY_MICROS).alias("days")).agg(
-        F.sum("w").alias("w"), F.min("gap").alias("low"), F.max("gap").alias("high")
-    )
+    days = gap_counts(times.select(order_key(times, "ts").alias("t"), "c"), DAY_MICROS).withColumnRenamed("units", "days")
     # One row per distinct whole-day gap; ranked through one sorted array.
     sorted_days = F.array_sort(F.collect_list(F.struct("days", "w", "low", "high")))
     listed = days.agg(sorted_days.alias("g"), F.sum("w").alias("n"))
@@ -175,16 +163,11 @@ def _trend(steps: DataFrame) -> DataFrame:
     Rows sharing a timestamp take their mean rank. The starting rank of each
     timestamp is the number of earlier rows.
     """
-    keyed = steps.withColumn("_t", order_key(steps, "ts")).drop("ts")
-    ranked = sums_before(keyed, ["c"], key_levels("_t", ("column_name",)))
-    sums = ranked.groupBy("column_name").agg(
-        F.sum("c").alias("n"),
-        F.first("_mean").alias("mean"),
-        F.first("_last").alias("last_value"),
-        F.sum(F.col("_sy") * (F.col("c_before") + (F.col("c") - 1) / 2.0)).alias("_xy"),
-        F.sum("_sy").alias("_y"),
-        F.sum("_syy").alias("_yy"),
-    )
+    steps = reliable(steps)  # one row per measure and timestamp, used twice
+    summed = steps.select("column_name", order_key(steps, "ts").alias("t"), "c", F.col("_sy").alias("sy"), F.col("_syy").alias("syy"))
+    known = steps.groupBy("column_name").agg(F.first("_mean").alias("mean"), F.first("_last").alias("last_value"))
+    sums = rank_moments(summed, "column_name").join(F.broadcast(known), "column_name")
+    sums = sums.select("column_name", "n", "mean", "last_value", F.col("xy").alias("_xy"), F.col("y").alias("_y"), F.col("yy").alias("_yy"))
     n = F.col("n").cast("double")
     sxx = n * (n * n - 1) / 12.0
     sxy = F.col("_xy") - (n - 1) / 2.0 * F.col("_y")
