@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import struct
 import uuid
@@ -27,6 +28,8 @@ from sightline.plans.shared import reliable, scratch_path
 
 #: Bytes of records in a frame, and of compressed frames in a file, before the next begins.
 FRAME, BUNDLE = 1 << 18, 1 << 28
+#: Compressed bytes that a reading task is given, about 100 MB of pages.
+READ_BYTES = 16 << 20
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed value: profile of a record whose payload another record has.
@@ -216,7 +219,10 @@ def read(folder: str, files: DataFrame, payload: bool = True) -> DataFrame:
                     rows.append(_row_of(head, block, payload))
                 yield _table(rows)
 
-    return frames(files, folder).repartition("file", "frame_offset").mapInArrow(records, RECORD)
+    found = reliable(frames(files, folder))  # a few numbers a frame, read twice
+    # Rows of a few bytes stand for whole frames, so the number of tasks is given: by size, Spark would take one.
+    tasks = max(1, math.ceil((found.agg(F.sum("frame_bytes")).first()[0] or 0) / READ_BYTES))
+    return found.repartition(tasks, "file", "frame_offset").mapInArrow(records, RECORD)
 
 
 def fetch(folder: str, entries: DataFrame) -> DataFrame:

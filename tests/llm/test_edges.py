@@ -434,3 +434,15 @@ def test_long_licences_however_wrapped(spark, frame):
     rows = [(k, t) for k, text in texts.items() for t in (text, *dressed(text)[:6], dressed(text)[-1])]
     got = license_digests.scan(frame(rows, "doc_id string, text string")).select("doc_id", "license.license_id").collect()
     assert len(got) == 8 * len(texts) and all(r.doc_id == r.license_id for r in got)
+
+
+def test_archives_are_read_by_as_many_tasks_as_their_frames_need(frame, monkeypatch):
+    monkeypatch.setattr(warc_zstd, "READ_BYTES", 1 << 16)
+    rng = random.Random(2)
+    rows = [(i, "http://x", "".join(rng.choices("abcdefgh <>", k=20_000))) for i in range(200)]
+    folder, index = warc_zstd.archive(frame(rows, "page_id long, url string, html string"))
+    records = warc_zstd.read(folder, index.select("file").distinct())
+    total = index.select("file", "frame", "frame_bytes").distinct().agg(F.sum("frame_bytes")).first()[0]
+    assert records.rdd.getNumPartitions() == -(-total // (1 << 16)) > 10
+    got = records.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 200 and len(got) > 4
