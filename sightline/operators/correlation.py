@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.types import measure, quoted
+from sightline.plans.moments import pair_moments
 from sightline.plans.quantiles import quantiles
 from sightline.plans.shared import beside
 
@@ -29,10 +31,13 @@ def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
     The first scan takes count, mean and variance per column (one driver row per
     column). The second sums products of centred columns: one plain sum per pair
     of complete columns, six for a pair with nulls. A pair whose either side does
-    not vary has none.
+    not vary has none. More than ``PAIRS_PER_SCAN`` pairs take one scan for all, by
+    matrix products.
     """
     names = sorted({c for pair in pairs for c in pair})
     place = {c: i for i, c in enumerate(names)}
+    if len(pairs) > PAIRS_PER_SCAN:
+        return _many_correlations(df, pairs, names, place)
     base = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[
@@ -81,6 +86,19 @@ def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
     )
 
 
+def _many_correlations(df: DataFrame, pairs: list[tuple[str, str]], names: list[str], place: dict[str, int]) -> DataFrame:
+    moments = pair_moments(df, [measure(df, c) for c in names])
+    listed = df.sparkSession.createDataFrame(
+        pa.table({
+            "i": pa.array([min(place[a], place[b]) for a, b in pairs], pa.int32()), "j": pa.array([max(place[a], place[b]) for a, b in pairs], pa.int32()),
+            "col_a": [a for a, _ in pairs], "col_b": [b for _, b in pairs],
+        })
+    )
+    found = listed.join(moments, ["i", "j"], "left")
+    varies = (F.col("si") > F.col("n") * F.col("noise_i")) & (F.col("sj") > F.col("n") * F.col("noise_j"))
+    return found.select("col_a", "col_b", F.when(varies, F.col("c") / F.sqrt(F.col("si") * F.col("sj"))).alias("r"))
+
+
 def finite(x: float | None) -> float:
     return x if x is not None and math.isfinite(x) else 0.0
 

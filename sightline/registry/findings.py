@@ -31,6 +31,22 @@ def top_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlation.top_correlations(rows, PRICES)
 
 
+WIDE = {f"x{i:02d}": f"(l_extendedprice * {1 + i % 4} + l_quantity * {700 * (i % 5)} + (l_orderkey % {i + 2}) * {5000 * (i % 3)} + l_linenumber * {300 * i})" for i in range(16)}
+
+
+@query(
+    "top_correlations_wide",
+    "WITH w AS (SELECT " + ", ".join(f"CASE WHEN l_linenumber % 6 <> {i % 7} THEN CAST({x} AS DOUBLE) END AS {c}" for i, (c, x) in enumerate(WIDE.items())) + " FROM lineitem) "
+    + "SELECT col_a, col_b, round(q.r, 4) AS r FROM ("
+    + union_sql([f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM w" for a, b in combinations(WIDE, 2)])
+    + ") q WHERE abs(q.r) > 0.3 ORDER BY abs(q.r) DESC, col_a, col_b LIMIT 40",
+)
+def wide_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of many columns with missing values, from one scan."""
+    cells = [F.when(F.col("l_linenumber") % 6 != i % 7, F.expr(x).cast("double")).alias(c) for i, (c, x) in enumerate(WIDE.items())]
+    return correlation.top_correlations(table(spark, sf_dir, "lineitem").select(*cells), list(WIDE), top=40)
+
+
 SPARSE_PRICES = f"""(SELECT charge, revenue, l_extendedprice, l_quantity, l_discount, 1.0::DOUBLE AS constant
   FROM (SELECT * REPLACE (CASE WHEN l_returnflag <> 'R' THEN revenue END AS revenue) FROM {PRICED_LINES})
   WHERE revenue IS NOT NULL)"""
