@@ -91,7 +91,7 @@ def anom_zscore(
     far = _flagged(df, order_by, cells, tests).withColumnRenamed("mark", "z_score")
     high = F.col("z_score") > 3.0
     return _flags(
-        _first_rows(far, SHOWN_ZSCORE, "row_key"),
+        _first_rows(far, SHOWN_ZSCORE, "row_key", "value"),
         1,
         value=F.col("value"),
         row_key=F.col("row_key"),
@@ -122,10 +122,15 @@ def anom_iqr(
         reported = anom_zscore(df, columns, order_by)
     # At most three reported rows per column.
     seen, _ = settle(reported.where("detector = 1").select("column_name", "row_key", "value"), SHOWN_ZSCORE * len(cells))
-    # The value counts too: where a key repeats, other rows of the key are not reported yet.
-    out = out.join(F.broadcast(seen), ["column_name", "row_key", "value"], "left_anti")
+    # Where a key repeats, equal cells are as good as each other: as many of them are left out as were reported.
+    # So many first rows hold those reported and those to show.
+    cell = ["column_name", "row_key", "value"]
+    first = _first_rows(out, SHOWN_IQR + SHOWN_ZSCORE, "row_key", "value")
+    copies = first.withColumn("_copy", F.row_number().over(Window.partitionBy(*cell).orderBy("mark")))
+    reported_cells = seen.groupBy(*cell).agg(F.count(F.lit(1)).alias("_reported"))
+    out = copies.join(F.broadcast(reported_cells), cell, "left").where(F.col("_copy") > F.coalesce("_reported", F.lit(0))).drop("_copy", "_reported")
     return _flags(
-        _first_rows(out, SHOWN_IQR, "row_key"),
+        _first_rows(out, SHOWN_IQR, "row_key", "value"),
         2,
         value=F.col("value"),
         row_key=F.col("row_key"),

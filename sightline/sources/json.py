@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions.types import quoted
-from sightline.plans.shared import scratch_path
 from sightline.sources.cleaning import NUMBER
 
 
+CORRUPT = "_corrupt_record"
+# Parts of a variant schema: quoted names, plain names, and the types that a table writes otherwise.
+_PART = re.compile(r"(?P<name>`(?:[^`]|``)*`|\w+(?=\s*:))|OBJECT<|\bVOID\b|\bVARIANT\b|\bDECIMAL\(\d+,\s*(?P<scale>\d+)\)")
 
-def _reread(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """One JSON text per row to a table whose schema covers every row."""
-    path = scratch_path(spark, "json")
-    lines.write.text(path)
-    return spark.read.json(path)
+
+def _struct_of(schema: str) -> str:
+    """The DDL type of a variant schema: nothing known and mixed kinds are texts, broken numbers doubles."""
+
+    def usual(m: re.Match) -> str:
+        if m["name"]:
+            return m[0] if m[0].startswith("`") else f"`{m[0]}`"
+        if m["scale"]:
+            return m[0] if m["scale"] == "0" else "DOUBLE"
+        return "STRUCT<" if m[0] == "OBJECT<" else "STRING"
+
+    return _PART.sub(usual, schema)
+
+
+def _table(lines: DataFrame) -> DataFrame:
+    """One JSON text per row to a table whose schema covers every row; what is no object goes to a column of its own."""
+    whole = F.startswith(F.ltrim("value"), F.lit("{"))
+    seen = lines.agg(F.schema_of_variant_agg(F.when(whole, F.try_parse_json("value"))).alias("schema"), F.count_if(~whole).alias("others")).first()
+    others = [F.when(~whole, F.col("value")).alias(CORRUPT)] if seen["others"] else []
+    if seen["schema"] is None or not seen["schema"].startswith("OBJECT<") or seen["schema"] == "OBJECT<>":
+        return lines.select(*others)
+    row = F.from_json(F.when(whole, F.col("value")), _struct_of(seen["schema"])).alias("row")
+    return lines.select(*others, row).select(*[c for c in (CORRUPT,) if others], "row.*")
 
 
 def json_source(
@@ -63,7 +84,7 @@ def json_source(
     plain = shaped.where("plain").select(F.explode("rows").alias("value"))
     if not seen["objects"]:
         return plain
-    table = _reread(spark, shaped.where(~F.col("plain")).select(F.explode("rows").alias("value")))
+    table = _table(shaped.where(~F.col("plain")).select(F.explode("rows").alias("value")))
     return table.unionByName(plain, allowMissingColumns=True) if seen["plain"] else table
 
 

@@ -124,3 +124,13 @@ def test_jumps_over_partitions(spark, many_partitions):
     dated = df.withColumn("date", F.timestamp_seconds(F.col("day") * 86400))
     flags = anomalies.anom_sudden_change(dated, ["steady", "wild", "sparse"], "date", "key").collect()
     assert {(r["column_name"], r["row_key"]) for r in flags} == {(n, k) for i, n in ((1, "wild"), (2, "sparse")) for _, k, _ in got[i][:2]}
+
+
+def test_outliers_under_one_key(spark):
+    """Rows equal in key and value count one by one: three are far, the next two are outside the fences."""
+    rows = [(1, 1e6)] * 7 + [(k, float(k % 5)) for k in range(2, 400)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(3)
+    far = anomalies.anom_zscore(df, ["v"], "k")
+    fences = anomalies.anom_iqr(df, ["v"], "k")
+    assert [(r["row_key"], r["value"]) for r in far.collect()] == [(1, 1e6)] * 3
+    assert [(r["row_key"], r["value"]) for r in fences.collect()] == [(1, 1e6)] * 2

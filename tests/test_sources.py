@@ -117,6 +117,23 @@ def test_json_shapes_in_one_folder(spark, tmp_path):
     assert any("Skipped 1" in n for n in notes) and any("'items'" in n for n in notes)
 
 
+def test_json_schema_covers_every_row(spark, tmp_path):
+    """The schema comes from all rows in one pass, nothing is written for it."""
+    before = set(tmp_path.iterdir())
+    rows = ['{"a": 1, "my key": "x", "n": null, "l": []}', '{"a": 2.5, "o": {"d": [1, 2]}, "big": 123456789012345678901}', '{"a": 1e3, "o": {"z": "q"}, "VOID": true}', '{"a": "t"}']
+    path = write(tmp_path / "d.json", "[" + ",".join(rows[:3]) + "]")
+    df = json_source(spark, path)
+    kinds = dict(df.dtypes)
+    assert kinds["a"] == "double" and kinds["my key"] == "string" and kinds["n"] == "string" and kinds["l"] == "array<string>"
+    assert kinds["o"] == "struct<d:array<bigint>,z:string>" and kinds["VOID"] == "boolean" and kinds["big"].startswith("decimal")
+    assert sorted(r["a"] for r in df.collect()) == [1.0, 2.5, 1000.0] and [r["o"]["z"] for r in df.where("o.z is not null").collect()] == ["q"]
+    mixed = json_source(spark, write(tmp_path / "m.json", "[" + ",".join(rows) + "]"))
+    assert dict(mixed.dtypes)["a"] == "string" and sorted(r["a"] for r in mixed.collect()) == ["1", "1000.0", "2.5", "t"]
+    odd = json_source(spark, write(tmp_path / "o.json", '{"r": {"a": 1}, "s": 5}'))
+    assert sorted(map(str, ((r["a"], r["_corrupt_record"]) for r in odd.collect()))) == ["(1, None)", "(None, '5')"]
+    assert len(set(tmp_path.iterdir()) - before) == 3
+
+
 def test_cleaning_keeps_identifiers(spark):
     df = table(spark, customer_id=[f"{i:03d}" for i in range(30)], price=["$1", "$2", "$1"] * 10)
     assert dict(cleaning.clean(df).dtypes) == {"customer_id": "string", "price": "double"}
