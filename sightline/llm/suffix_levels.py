@@ -1,11 +1,12 @@
-"""Removal of long repeats with a logarithmic family of sparse suffix arrays.
+"""Removal of long repeats with a logarithmic family of tables of chosen suffixes.
 
-Texts come in batches. A batch gets its own suffix array, which is merge-scanned
-against the arrays of the existing levels for long matches; two levels of one size
-merge into one of the next size, so that a suffix is rewritten a logarithmic number
-of times.
+Texts come in batches. A batch gets its own table of suffixes, bucketed by the hash of their
+first bytes, which is hash-joined to the tables of the existing levels; two levels of
+one size merge into one of the next size, so that an entry is rewritten a logarithmic
+number of times. Nothing is scanned in suffix order, and bytes are compared by fingerprints of
+64 bits: this is not the suffix-array method by the letter (see the README).
 
-The arrays are sparse. Every string of LENGTH bytes belongs to one suffix, its
+The tables are sparse. Every string of LENGTH bytes belongs to one suffix, its
 anchor: the place of the least hash among its first WINDOW places. Equal strings
 have their anchors at equal offsets, so two strings can only be equal if their
 anchors' suffixes share at least RIGHT bytes (``key``). For each anchor an entry holds
@@ -113,7 +114,7 @@ def entries(texts: DataFrame) -> DataFrame:
 
 
 class SuffixFamily:
-    """Levels of suffix arrays in the session's warehouse, bucketed by key and sorted as suffixes.
+    """Levels of entries in the session's warehouse, bucketed and matched by key.
 
     ``add`` puts a batch in and returns nothing; what matched lies in ``matches``.
     ``drop`` removes the arrays. A level is a complete table: a task or executor that
