@@ -6,7 +6,7 @@ back, so the work grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import profile
@@ -395,6 +395,44 @@ def typed_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(read.select(F.col("`Unnamed: 0`").alias("s_suppkey"), F.col("Supplier").alias("s_name"), F.col("`Unnamed: 2`").alias("s_acctbal")))
 
 
+def first_in_file() -> Column:
+    """Whether a row is the first of its partition, thus of the file written from it."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+
+
+@query(
+    "sql_dump_backslash",
+    union_sql(
+        [
+            "SELECT 'standard' AS dialect, c_custkey, 'C:' || chr(92) || c_name || '''s' || chr(92) AS path FROM customer",
+            "SELECT 'mysql' AS dialect, c_custkey, 'C:' || chr(92) || c_name || '''s' || chr(10) AS path FROM customer",
+        ]
+    ),
+)
+def load_backslashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backslash is plain text in one dialect and escapes the next character in the other."""
+    customer, out, back = table(spark, sf_dir, "customer"), None, chr(92)
+    for dialect, before, after in (("standard", f"'C:{back}", f"''s{back}'"), ("mysql", f"'C:{back}{back}", f"{back}'s{back}n'")):
+        path = scratch_path(spark, "backslash")
+        line = F.concat(F.lit("INSERT INTO files VALUES ("), "c_custkey", F.lit(", " + before), "c_name", F.lit(after + ");"))
+        customer.select(line.alias("value")).write.text(path)
+        rows = sql.sql_dump_load(spark, path, schema="c_custkey long, path string", dialect=dialect)
+        one = rows.select(F.lit(dialect).alias("dialect"), "c_custkey", "path")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("sql_dump_one_statement", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 'line' || chr(10) || '(' || l_returnflag || ');' AS note FROM lineitem")
+def load_one_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file is a single INSERT over many lines, with values that run over line ends."""
+    path = scratch_path(spark, "statement")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", first_in_file().alias("first"))
+    begin = F.when(F.col("first"), F.lit("INSERT INTO lines (l_orderkey, l_linenumber, note) VALUES" + chr(10))).otherwise(F.lit(","))
+    cells = F.concat(F.lit("("), "l_orderkey", F.lit(", "), "l_linenumber", F.lit(", 'line" + chr(10) + "("), "l_returnflag", F.lit(");')"))
+    lines.select(F.concat(begin, cells).alias("value")).write.text(path)
+    return sql.sql_dump_load(spark, path, schema="l_orderkey long, l_linenumber long, note string")
+
+
 @query(
     "duplicate_rows_events",
     "SELECT sum(n - 1)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) + to_microseconds(event_id % 7) AS moment FROM events) GROUP BY event_type, moment)",
