@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,18 +52,29 @@ def _steps(df: DataFrame, date_col: str, measures: Sequence[str], order_by: str
 
 
 def granularity(df: DataFrame, date_col: str) -> DataFrame:
-    """Median gap of consecutive rows in whole days, and its name.
+    """Median gap of consecutive rows in whole days, and its name."""
+    return granularities({"": (df, date_col)}).drop("source")
+
+
+def granularities(columns: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``granularity`` of many date columns, of one table or several: a row a column, ``source`` is its name here.
 
     Rows sharing a timestamp have gaps of zero between them. Gaps are counted
     per whole day; that keeps the counted table as short as the span in days, and
-    the two middle gaps are still known exactly at the edge of a day.
+    the two middle gaps are still known exactly at the edge of a day. All columns are
+    laid out in one order, so their number adds no shuffle. A column with fewer than
+    four dated rows has no row.
     """
-    d = quoted(date_col)
-    times = df.where(d.isNotNull()).groupBy(d.cast("timestamp").alias("ts")).agg(F.count(F.lit(1)).alias("c"))
-    days = gap_counts(times.select(order_key(times, "ts").alias("t"), "c"), DAY_MICROS).withColumnRenamed("units", "days")
-    # One row per distinct whole-day gap; ranked through one sorted array.
+    times = None
+    for source, (df, date_col) in columns.items():
+        d = quoted(date_col)
+        one = df.where(d.isNotNull()).groupBy(d.cast("timestamp").alias("ts")).agg(F.count(F.lit(1)).alias("c"))
+        one = one.select(F.lit(source).alias("source"), order_key(one, "ts").alias("t"), "c")
+        times = one if times is None else times.unionByName(one)
+    days = gap_counts(times, DAY_MICROS, "source").withColumnRenamed("units", "days")
+    # One row per distinct whole-day gap; ranked through one sorted array a column.
     sorted_days = F.array_sort(F.collect_list(F.struct("days", "w", "low", "high")))
-    listed = days.agg(sorted_days.alias("g"), F.sum("w").alias("n"))
+    listed = days.groupBy("source").agg(sorted_days.alias("g"), F.sum("w").alias("n"))
     step = F.aggregate(
         "g",
         F.struct(
@@ -77,12 +88,13 @@ def granularity(df: DataFrame, date_col: str) -> DataFrame:
             _middle(acc["right"], acc["seen"], x, F.floor(F.col("n") / 2) + 1).alias("right"),
         ),
     )
-    halves = listed.where(F.col("n") >= MIN_ROWS - 1).select(step.alias("m"))
+    halves = listed.where(F.col("n") >= MIN_ROWS - 1).select("source", step.alias("m"))
     # Both middle gaps in one day: that day. Else: the mean of the two edge gaps.
     left, right = F.col("m.left"), F.col("m.right")
     same = F.floor(left / DAY_MICROS) == F.floor(right / DAY_MICROS)
     whole = F.when(same, F.floor(left / DAY_MICROS)).otherwise(F.floor((left + right) / 2 / DAY_MICROS))
-    return halves.select(whole.alias("median_days")).select(
+    return halves.select("source", whole.alias("median_days")).select(
+        "source",
         "median_days",
         F.when(F.col("median_days") <= 1, "daily")
         .when(F.col("median_days") <= 8, "weekly")

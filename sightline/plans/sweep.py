@@ -39,47 +39,56 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
 
-def gap_counts(times: DataFrame, unit: int) -> DataFrame:
-    """(units, w, low, high): how many gaps of consecutive rows have so many whole units, with the least and the largest gap.
+def gap_counts(times: DataFrame, unit: int, group: str | None = None) -> DataFrame:
+    """(group, units, w, low, high): how many gaps of consecutive rows of a group have so many whole units, with the least and the largest gap.
 
-    ``times`` has distinct BIGINT moments ``t`` with the number ``c`` of their rows;
-    rows of one moment have gaps of zero between them.
+    ``times`` has distinct (group, BIGINT moment ``t``) with the number ``c`` of their
+    rows; rows of one moment have gaps of zero between them. All groups share one sweep;
+    without ``group`` all rows are one.
     """
+    if group is None:
+        return gap_counts(times.withColumn("_all", F.lit("")), unit, "_all").drop("_all")
+    names = [group, "part", "units", "w", "low", "high"]
+    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 4]
 
     def work(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        found: dict[int, list[int]] = {}
-        zeros = 0
+        ends: dict[str, list[int]] = {}
+        found: dict[tuple[str, int], list[int]] = {}
         for batch in batches:
-            t, c = column(batch, "t"), column(batch, "c")
-            if not len(t):
+            if not batch.num_rows:
                 continue
-            zeros += int(c.sum()) - len(c)
-            gaps = np.diff(t if last is None else np.append(last, t))
-            first, last = t[0] if first is None else first, t[-1]
-            days = gaps // unit
-            known, at, n = np.unique(days, return_inverse=True, return_counts=True)
-            low = np.full(len(known), np.iinfo(np.int64).max)
-            high = np.full(len(known), -1)
-            np.minimum.at(low, at, gaps)
-            np.maximum.at(high, at, gaps)
-            for d, w, a, b in zip(known.tolist(), n.tolist(), low.tolist(), high.tolist()):
-                old = found.get(d)
-                found[d] = [w, a, b] if old is None else [old[0] + w, min(old[1], a), max(old[2], b)]
-        rows = [{"part": None, "units": d, "w": w, "low": a, "high": b} for d, (w, a, b) in found.items()]
-        if zeros:
-            rows.append({"part": None, "units": 0, "w": zeros, "low": 0, "high": 0})
-        if first is not None:
-            rows.append({"part": part, "units": None, "w": 1, "low": int(first), "high": int(last)})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), *[(n, pa.int64()) for n in ("units", "w", "low", "high")]]))
-
-    seen = swept(times, ["t"], work, "part int, units bigint, w bigint, low bigint, high bigint")
-    # one row a partition
-    before = F.lag("high").over(Window.orderBy("part"))
-    ends = seen.where("part is not null").select((F.col("low") - before).alias("gap")).where("gap is not null")
-    ends = ends.select(F.floor(F.col("gap") / unit).alias("units"), F.lit(1).cast("long").alias("w"), F.col("gap").alias("low"), F.col("gap").alias("high"))
+            runs = pc.run_end_encode(batch.column(batch.schema.get_field_index(group)))
+            t, c = column(batch, "t"), column(batch, "c")
+            start = 0
+            for name, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                own, rows = t[start:stop], int(c[start:stop].sum())
+                start = stop
+                gaps = np.diff(own if name not in ends else np.append(ends[name][1], own))
+                ends[name] = [ends[name][0] if name in ends else int(own[0]), int(own[-1])]
+                days = gaps // unit
+                known, at, n = np.unique(days, return_inverse=True, return_counts=True)
+                low = np.full(len(known), np.iinfo(np.int64).max)
+                high = np.full(len(known), -1)
+                np.minimum.at(low, at, gaps)
+                np.maximum.at(high, at, gaps)
+                cells = list(zip(known.tolist(), n.tolist(), low.tolist(), high.tolist()))
+                if rows > len(own):
+                    cells.append((0, rows - len(own), 0, 0))
+                for d, w, a, b in cells:
+                    old = found.get((name, d), [0, a, b])
+                    found[name, d] = [old[0] + w, min(old[1], a), max(old[2], b)]
+        out = [(name, None, d, *cell) for (name, d), cell in found.items()]
+        out += [(name, part, None, 1, *two) for name, two in ends.items()]
+        columns = list(zip(*out)) if out else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
+
+    seen = swept(times.select(group, "t", "c"), [group, "t"], work, f"{group} string, part int, units bigint, w bigint, low bigint, high bigint")
+    # one row a group and partition
+    before = F.lag("high").over(Window.partitionBy(group).orderBy("part"))
+    ends = seen.where("part is not null").select(group, (F.col("low") - before).alias("gap")).where("gap is not null")
+    ends = ends.select(group, F.floor(F.col("gap") / unit).alias("units"), F.lit(1).cast("long").alias("w"), F.col("gap").alias("low"), F.col("gap").alias("high"))
     cells = seen.where("part is null").drop("part").unionByName(ends)
-    return cells.groupBy("units").agg(F.sum("w").alias("w"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return cells.groupBy(group, "units").agg(F.sum("w").alias("w"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def rank_moments(steps: DataFrame, group: str) -> DataFrame:

@@ -166,17 +166,9 @@ def granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     def distinct(unit: str, name: str) -> DataFrame:
         return orders.select(F.date_trunc(unit, "o_orderdate").alias(name)).distinct()
 
-    parts = [
-        dates.granularity(table(spark, sf_dir, "events"), "ts").withColumn("source", F.lit("events")),
-        dates.granularity(orders, "o_orderdate").withColumn("source", F.lit("orders")),
-    ] + [
-        dates.granularity(distinct(u, u[0]), u[0]).withColumn("source", F.lit(u + "s"))
-        for u in ("week", "month", "quarter", "year")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return shown(out)
+    columns = {"events": (table(spark, sf_dir, "events"), "ts"), "orders": (orders, "o_orderdate")}
+    columns |= {u + "s": (distinct(u, u[0]), u[0]) for u in ("week", "month", "quarter", "year")}
+    return shown(dates.granularities(columns))
 
 
 DATED = ["o_totalprice", "o_square"]

@@ -86,6 +86,15 @@ def test_gaps_over_partitions(spark, many_partitions):
     assert dates.granularity(df.limit(0), "ts").count() == 0
 
 
+def test_granularities_share_one_sweep(spark, many_partitions):
+    rng = np.random.default_rng(5)
+    stamps = {"hours": rng.permutation(900) * 3600 * 10**6, "weeks": rng.permutation(400) * 7 * dates.DAY_MICROS, "few": np.arange(3) * 10**6}
+    frames = {k: spark.createDataFrame(pa.table({f"{k} at": pa.array(np.sort(v), pa.timestamp("us", tz="UTC"))})).repartition(5) for k, v in stamps.items()}
+    columns = {k: (df, f"{k} at") for k, df in frames.items()} | {"none": (frames["few"].limit(0), "few at")}
+    got = {r["source"]: (r["median_days"], r["granularity"]) for r in dates.granularities(columns).collect()}
+    assert got == {"hours": (0, "daily"), "weeks": (7, "weekly")}
+
+
 def test_trend_over_partitions(spark, many_partitions):
     rng = np.random.default_rng(4)
     n = 3000
