@@ -37,17 +37,19 @@ def _steps(df: DataFrame, date_col: str, measures: Sequence[str], order_by: str
         mean = F.lit(base[f"m{i}"]).cast("double")
         y = measure(df, m) - mean
         sums += [F.count(y).alias(f"c{i}"), F.sum(y).alias(f"y{i}"), F.sum(y * y).alias(f"q{i}")]
-        rows.append(
-            F.struct(
-                F.lit(m).alias("column_name"),
-                mean.alias("_mean"),
-                F.lit(base.get(f"l{i}")).cast("double").alias("_last"),
-                F.col(f"c{i}").alias("c"),
-                F.col(f"y{i}").alias("_sy"),
-                F.col(f"q{i}").alias("_syy"),
-            )
+        rows.append((m, mean, F.lit(base.get(f"l{i}")).cast("double"), f"c{i}", f"y{i}", f"q{i}"))
+    return spread_steps(dated.groupBy(ts.alias("ts")).agg(*sums), rows)
+
+
+def spread_steps(wide: DataFrame, measures: Sequence[tuple[str, Column, Column, str, str, str]]) -> DataFrame:
+    """One row per timestamp to one per timestamp and measure: (name, mean, last value, columns of count, sum and squares around the mean)."""
+    rows = [
+        F.struct(
+            F.lit(name).alias("column_name"), mean.alias("_mean"), last.alias("_last"),
+            F.col(c).alias("c"), F.col(sy).alias("_sy"), F.col(syy).alias("_syy"),
         )
-    wide = dated.groupBy(ts.alias("ts")).agg(*sums)
+        for name, mean, last, c, sy, syy in measures
+    ]
     return wide.select("ts", F.inline(F.array(*rows))).where("c > 0")
 
 
@@ -250,7 +252,11 @@ METRICS = (
 
 def date_metrics(df: DataFrame, date_col: str, measures: Sequence[str], order_by: str) -> DataFrame:
     """All metrics, one row per measure with at least four dated values."""
-    steps = _steps(df, date_col, measures, order_by)
+    return metrics_of(_steps(df, date_col, measures, order_by))
+
+
+def metrics_of(steps: DataFrame) -> DataFrame:
+    """All metrics from counts and sums by timestamp."""
     means = _period_means(steps)
     fit = _enough(_trend(steps))
     # Every joined table has one row per measure.
@@ -277,7 +283,11 @@ def filtered_metrics(base: DataFrame, filtered: DataFrame, date_col: str, measur
     A metric the filtered rows cannot give keeps its baseline. Fit quality and
     forecast stay those of the whole table, the slope has three decimals.
     """
-    steps = _steps(filtered, date_col, measures)
+    return refreshed(base, _steps(filtered, date_col, measures))
+
+
+def refreshed(base: DataFrame, steps: DataFrame) -> DataFrame:
+    """``base`` with the metrics that the steps of a view can give."""
     means = _period_means(steps)
     fit = _enough(_trend(steps)).select(
         "column_name",

@@ -118,6 +118,11 @@ def regenerate_trigger(original: DataFrame, filtered: DataFrame) -> DataFrame:
     """Whether a filter removed enough rows: a tenth of a large table, else a fifth."""
     before = original.agg(F.count(F.lit(1)).alias("original_rows"))
     after = filtered.agg(F.count(F.lit(1)).alias("filtered_rows"))
+    return regenerate_by_counts(before, after)
+
+
+def regenerate_by_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The same from one row of ``original_rows`` and one of ``filtered_rows``."""
     gone = F.try_divide(
         (F.col("original_rows") - F.col("filtered_rows")).cast("double"), F.col("original_rows").cast("double")
     )

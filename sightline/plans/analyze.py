@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.functions.types import kind, numeric_columns, quoted
+from sightline.functions.types import FLOATS, kind, numeric_columns, quoted
 from sightline.operators import anomalies, charts, classify, correlation, dates, findings, profile, wording
 from sightline.operators.classify import Meta
-from sightline.operators.filters import Filter, apply_filter, filterable_dimensions
+from sightline.operators.filters import MAX_CHOICES, Filter, apply_filter, filterable_dimensions
 from sightline.plans.ordering import numbered
+from sightline.plans.rollup import Rollup, rollup
 from sightline.plans.shared import reliable, settle
 from sightline.sources import cleaning
 from sightline.sources.csv import title_row_skip
@@ -38,6 +39,7 @@ class Analysis:
     granularity: DataFrame | None = None
     kpi_columns: DataFrame | None = None
     filterable: DataFrame | None = None
+    views: Rollup | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         named = {
@@ -153,6 +155,7 @@ def analyze(
     view: Filter | None = None,
     approx: bool = False,
     load_warnings: Sequence[str] = (),
+    keep_views: bool = False,
 ) -> Analysis:
     """Analyse a table. ``order_by`` is an integer or datetime key that orders rows.
 
@@ -161,7 +164,8 @@ def analyze(
     outliers, sudden changes and date metrics, which report rows.
 
     Only the column roles are computed at once; all other tables are lazy except
-    for their bounded lookup rows.
+    for their bounded lookup rows. ``keep_views`` also stores partial sums by the first date column
+    and the dimensions offered as filters: ``views`` then answers filters without the rows.
     """
     meta = classify.resolve(df, roles, approx)
     datetimes = [f.name for f in df.schema.fields if kind(f.dataType) == "datetime"]
@@ -216,6 +220,10 @@ def analyze(
     result.kpi_columns = profile.kpi_columns(result.profile)
     categorical = [c for c, kind_ in meta.semantic.items() if kind_ == "categorical"]
     result.filterable = filterable_dimensions(df, categorical) if categorical else None
+    if keep_views and date_col is not None and numeric:
+        # a null counts as one of the values offered
+        offered = [c for c in categorical if 1 <= meta.distinct[c] <= MAX_CHOICES and not isinstance(df.schema[c].dataType, FLOATS)]
+        result.views = rollup(keyed, date_col, offered, numeric, key)
     return result
 
 

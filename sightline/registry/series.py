@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import anomalies, dates, filters
-from sightline.registry.base import gappy_lines, query, shown, table
+from sightline.plans.rollup import Rollup, rollup
+from sightline.registry.base import gappy_lines, query, shown, steady, table
 from sightline.registry.profiles import NULLS_SQL, union_sql
 
 FLAG_FIELDS = ["column_name", "value", "row_key", "anomaly_type", "severity", "z_score"]
@@ -273,14 +274,14 @@ def date_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEW_SQL = f"(SELECT * FROM {ORDERS_WITH_GAPS} WHERE o_orderpriority IN ('1-URGENT') AND o_orderdate < DATE '1998-01-01')"
 
 
-def _filtered_sql(column: str) -> str:
-    """No row of the view has a second measure: that one keeps its baseline."""
-    if column == "o_square":
+def _filtered_sql(column: str, view: str = VIEW_SQL) -> str:
+    """No row of the first view has a second measure: that one keeps its baseline."""
+    if column == "o_square" and view == VIEW_SQL:
         return _all_metrics_sql(column)
-    return f"""SELECT '{column}' AS column_name, {_change_metrics(column, VIEW_SQL)}, round(f.slope, 3) AS trend_slope, round(b.r2, 4) AS trend_r2,
+    return f"""SELECT '{column}' AS column_name, {_change_metrics(column, view)}, round(f.slope, 3) AS trend_slope, round(b.r2, 4) AS trend_r2,
         CASE WHEN f.slope > 0.01 * f.mean THEN 'up' WHEN f.slope < -0.01 * f.mean THEN 'down' ELSE 'flat' END AS trend_direction,
         best_period, worst_period, round({_last_sql(column, ORDERS_WITH_GAPS)} + b.slope, 4) AS forecast_next
-      FROM {full_fit_sql(column, VIEW_SQL)} f, {full_fit_sql(column, ORDERS_WITH_GAPS)} b, ({_month_sql(column, VIEW_SQL)})"""
+      FROM {full_fit_sql(column, view)} f, {full_fit_sql(column, ORDERS_WITH_GAPS)} b, ({_month_sql(column, view)})"""
 
 
 @query("filtered_metrics", union_sql([_filtered_sql(c) for c in DATED]))
@@ -291,6 +292,85 @@ def filtered_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.filtered_metrics(base, filters.apply_filter(orders, view, "o_orderdate"), "o_orderdate", DATED)
 
 
+FINISHED_SQL = f"(SELECT * FROM {ORDERS_WITH_GAPS} WHERE o_orderstatus IN ('F') AND o_orderdate >= DATE '1993-06-01')"
+ROLLUP_VIEWS = {
+    "urgent": (filters.Filter(end="1997-12-31", dimensions={"o_orderpriority": "1-URGENT"}), VIEW_SQL),
+    "finished": (filters.Filter(start="1993-06-01", selection=("o_orderstatus", "F")), FINISHED_SQL),
+}
+
+
+@query(
+    "rollup_metrics",
+    union_sql([f"SELECT '{name}' AS shown_view, * FROM ({_filtered_sql(c, sql)})" for name, (_, sql) in ROLLUP_VIEWS.items() for c in DATED]),
+)
+def rollup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = rollup(orders_with_gaps(spark, sf_dir), "o_orderdate", ["o_orderpriority", "o_orderstatus"], DATED, "o_orderkey")
+    out = None
+    for name, (view, _) in ROLLUP_VIEWS.items():
+        one = kept.filtered_metrics(view).withColumn("shown_view", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LINE_VIEWS = {
+    "all": (filters.Filter(), "true"),
+    "late": (filters.Filter(start="1995-01-01"), "l_shipdate >= DATE '1995-01-01'"),
+    "returned": (filters.Filter(dimensions={"l_returnflag": "R"}, selection=("l_linestatus", "F")), "l_returnflag = 'R' AND l_linestatus = 'F'"),
+    "none": (filters.Filter(dimensions={"l_returnflag": "?"}), "false"),
+}
+LINE_MEASURES = ["l_quantity", "l_tax"]
+GAPPY_SHIPPED = "(SELECT l_shipdate, l_linestatus, l_returnflag, l_quantity, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS l_tax FROM lineitem)"
+
+
+def _line_rollup(spark: SparkSession, sf_dir: str) -> Rollup:
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_returnflag") != "R", F.col("l_tax")))
+    return rollup(lines, "l_shipdate", ["l_returnflag", "l_linestatus"], LINE_MEASURES)
+
+
+@query(
+    "rollup_trigger",
+    union_sql(
+        [
+            f"""SELECT '{name}' AS shown_view, original_rows, filtered_rows,
+        CAST(floor((original_rows - filtered_rows) * 100.0::DOUBLE / original_rows + 0.5) AS BIGINT) AS filtered_out_pct,
+        (original_rows - filtered_rows)::DOUBLE / original_rows >= CASE WHEN original_rows > 50000 THEN 0.10 ELSE 0.20 END AS regenerate
+        FROM (SELECT count(*) AS original_rows, count(*) FILTER (WHERE {cond}) AS filtered_rows FROM lineitem)"""
+            for name, (_, cond) in LINE_VIEWS.items()
+        ]
+    ),
+)
+def rollup_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _line_rollup(spark, sf_dir)
+    out = None
+    for name, (view, _) in LINE_VIEWS.items():
+        one = kept.regenerate_trigger(view).withColumn("shown_view", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _rollup_chart_sql(name: str, cond: str) -> str:
+    rows = f"(SELECT * FROM {GAPPY_SHIPPED} WHERE {cond})"
+    cards = [f"SELECT '{name}' AS shown_view, '{c}' AS chart, 'mean' AS x, round(avg({c}) + 3.7e-7::DOUBLE, 4) AS y FROM {rows}" for c in LINE_MEASURES]
+    cards += [f"SELECT '{name}', '{c}', 'total', round(coalesce(sum({c}), 0) + 3.7e-7::DOUBLE, 4) FROM {rows}" for c in LINE_MEASURES]
+    bars = f"SELECT '{name}', 'bar', l_returnflag, round(avg(l_tax) + 3.7e-7::DOUBLE, 4) FROM {rows} GROUP BY l_returnflag HAVING avg(l_tax) IS NOT NULL"
+    return " UNION ALL ".join([*cards, bars])
+
+
+@query("rollup_charts", union_sql([_rollup_chart_sql(name, cond) for name, (_, cond) in LINE_VIEWS.items()]))
+def rollup_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _line_rollup(spark, sf_dir)
+    out = None
+    for name, (view, _) in LINE_VIEWS.items():
+        cards = kept.kpi_cards(view)
+        cells = F.inline(F.array(*[F.struct(F.lit(k).alias("x"), F.col(k).alias("y")) for k in ("mean", "total")]))
+        one = cards.select(F.col("column_name").alias("chart"), cells).unionByName(
+            kept.top_categories("l_tax", "l_returnflag", 20, view).select(F.lit("bar").alias("chart"), "x", "y")
+        )
+        one = one.select(F.lit(name).alias("shown_view"), "chart", "x", steady("y"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- filters ---------------------------------------------------------------------
 
 ORDER_FIELDS = (
