@@ -13,6 +13,7 @@ comparison with the text itself still decides.
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,19 +124,26 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def rarest(items: DataFrame, counts: DataFrame, window: int, terms: int) -> DataFrame:
-    """(item, picks): for each window that can occur at all, the places of its rarest terms."""
+    """(item, low, high, picks): for each window that can occur at all, the places of its rarest terms.
+
+    Windows of the same words count once, at their first place, so an item that
+    repeats itself has no more picks than it has different windows. These windows lie in the
+    item's words ``low`` to ``high``.
+    """
     placed = items.select("item", F.posexplode("words").alias("at", "term")).join(counts, "term", "left")
-    whole = placed.groupBy("item").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("places")
-    )
+    place = F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term")
+    whole = placed.groupBy("item").agg(F.array_sort(F.collect_list(place)).alias("places"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("places") - window, F.lit(0)))
-    windows = F.transform(starts, lambda s: F.slice("places", s + 1, window))
-    possible = F.filter(windows, lambda w: ~F.exists(w, lambda p: p["n"] == 0))
-    picks = F.transform(
-        possible,
-        lambda w: F.transform(F.slice(F.array_sort(F.transform(w, lambda p: F.struct(p["n"], p["at"]))), 1, terms), lambda p: p["at"]),
+    windows = whole.select("item", F.explode(F.transform(starts, lambda s: F.slice("places", s + 1, window))).alias("w"))
+    possible = windows.where(~F.exists("w", lambda p: p["n"] == 0))
+    first = possible.groupBy("item", F.col("w.term").alias("words")).agg(F.min_by("w", F.col("w")[0]["at"]).alias("w"))
+    by_count = F.array_sort(F.transform("w", lambda p: F.struct(p["n"], p["at"])))
+    picks = first.select("item", "w", F.transform(F.slice(by_count, 1, terms), lambda p: p["at"]).alias("pick"))
+    return picks.groupBy("item").agg(
+        F.min(F.col("w")[0]["at"]).alias("low"),
+        F.max(F.element_at("w", -1)["at"] + 1).alias("high"),
+        F.collect_set("pick").alias("picks"),
     )
-    return whole.select("item", F.array_distinct(picks).alias("picks")).where(F.size("picks") > 0)
 
 
 def alignments(index: DataFrame, items: DataFrame, picks: DataFrame) -> DataFrame:
@@ -145,17 +153,18 @@ def alignments(index: DataFrame, items: DataFrame, picks: DataFrame) -> DataFram
     shifted = index.join(places, "term").select("text_key", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
     met = shifted.groupBy("text_key", "item", "shift").agg(F.collect_set("at").alias("found"))
     return (
-        met.join(picks, "item")
+        met.join(picks.select("item", "picks"), "item")
         .where(F.exists("picks", lambda p: F.size(F.array_except(p, "found")) == 0))
         .select("text_key", "item", "shift")
     )
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFrame:
-    """(query, text_key, start, end): narrowest stretch of at most ``within`` words with all terms of a query.
+def proximity_matches(index: DataFrame, terms: DataFrame, within: int, every: bool = False) -> DataFrame:
+    """(query, text_key, start, end): stretches of at most ``within`` words with all terms of a query.
 
-    ``terms`` has (query, term), terms as word hashes. Queries without terms give
-    nothing; of equally narrow stretches the first counts. Postings of one text
+    ``terms`` has (query, term), terms as word hashes; a term asked twice counts once.
+    Each text gives its narrowest stretch, of equally narrow ones the first, or with ``every`` all that
+    hold no narrower one. Queries without terms give nothing. Postings of one text
     and query meet in one row, as many as the text has words at most.
     """
     asked = terms.distinct()
@@ -164,22 +173,25 @@ def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFr
         index.join(asked, "term").groupBy("query", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("seen"))
     )
 
-    @F.arrow_udf("struct<start: long, end: long>")
-    def narrowest(seen: pa.Array, n: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<struct<start: long, end: long>>")
+    def stretches(seen: pa.Array, n: pa.Array) -> pa.Array:
         out = []
         for places, need in zip(seen.to_pylist(), n.to_pylist()):
-            last, best = {}, None
+            # terms by their last place, the earliest first
+            last, found = OrderedDict(), []
             for p in places:
+                last.pop(p["term"], None)
                 last[p["term"]] = p["pos"]
-                if len(last) == need:
-                    low = min(last.values())
-                    if best is None or p["pos"] - low < best[1] - best[0]:
-                        best = (low, p["pos"])
-            out.append({"start": best[0], "end": best[1] + 1} if best else None)
-        return pa.array(out, pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                low = next(iter(last.values()))
+                if len(last) == need and p["pos"] - low < within and (not found or found[-1]["start"] != low):
+                    found.append({"start": low, "end": p["pos"] + 1})
+            if found and not every:
+                found = [min(found, key=lambda s: s["end"] - s["start"])]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
-    found = lists.join(total, "query").withColumn("s", narrowest.asNondeterministic()("seen", "n"))
-    return found.where(F.col("s.end") - F.col("s.start") <= within).select("query", "text_key", "s.start", "s.end")
+    found = lists.join(total, "query").select("query", "text_key", stretches.asNondeterministic()("seen", "n").alias("found"))
+    return found.select("query", "text_key", F.inline("found"))
 
 
 def phrase_hits(
@@ -209,8 +221,11 @@ def phrase_hits(
         F.explode(F.transform(F.array_distinct(F.flatten("picks")), lambda at: F.element_at("words", at + 1))).alias("term")
     )
     index = build_index(docs, text, term_filter(wanted))
-    placed = alignments(index, items, picks).join(items, "item")
-    found = placed.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("placed"))
+    # An item goes to a text once, however often it is met there, and only the words that windows to be found lie in.
+    hulls = items.join(picks, "item").select("item", "item_id", "low", F.slice("words", F.col("low") + 1, F.col("high") - F.col("low")).alias("words"))
+    met = alignments(index, items, picks).groupBy("text_key", "item").agg(F.collect_list("shift").alias("shifts"))
+    placed = met.join(hulls, "item").withColumn("shifts", F.transform("shifts", lambda x: x + F.col("low")))
+    found = placed.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "shifts", "words")).alias("placed"))
 
     @F.arrow_udf(RESULT)
     def compare(texts: pa.Array, placed: pa.Array) -> pa.Array:
@@ -225,16 +240,20 @@ def phrase_hits(
                 for p in placed[a + i].as_py() or ():
                     item = np.array(p["words"], np.int64)
                     size = min(window, len(item))
-                    low, high = max(0, -p["shift"]), min(len(item), len(own) - p["shift"])
-                    same = np.zeros(len(item) + 1, np.int64)
-                    if high > low:
-                        np.cumsum(own[p["shift"] + low : p["shift"] + high] == item[low:high], out=same[low + 1 : high + 1])
-                        same[high + 1 :] = same[high]
-                    full = np.flatnonzero(same[size:] - same[:-size] == size) + p["shift"]
-                    if len(full):
+                    occurs = False
+                    for shift in p["shifts"]:
+                        low, high = max(0, -shift), min(len(item), len(own) - shift)
+                        if high - low < size:
+                            continue
+                        same = np.zeros(high - low + 1, np.int64)
+                        np.cumsum(own[shift + low : shift + high] == item[low:high], out=same[1:])
+                        full = np.flatnonzero(same[size:] - same[:-size] == size) + (shift + low)
+                        if len(full):
+                            occurs = True
+                            hit[full] += 1
+                            hit[full + size] -= 1
+                    if occurs:
                         seen = True
-                        hit[full] += 1
-                        np.subtract.at(hit, full + size, 1)
                         if p["item_id"] is not None:
                             ids.add(p["item_id"])
                 n_hit = int((np.cumsum(hit) > 0).sum()) if seen else 0

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -275,6 +276,41 @@ def test_proximity(frame, spark):
     assert sorted((r.start, r.end) for r in phrase_index.proximity_matches(index, terms, 5).collect()) == [(0, 5), (5, 7)]
 
 
+def test_proximity_every_stretch(frame):
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choices("abcx", k=rng.randrange(40))) for i in range(12)}
+    docs = frame(list(texts.items()), "doc_id long, text string")
+    keys = {r.k: r.doc_id for r in docs.select("doc_id", phrase_index.text_key("text").alias("k")).collect()}
+    terms = frame([("q", w) for w in "abca"], "query string, word string").select("query", F.element_at(phrase_index.word_hashes(F.col("word")), 1).alias("term"))
+    got = phrase_index.proximity_matches(phrase_index.build_index(docs), terms, 6, every=True).collect()
+
+    def minimal(words):
+        holds = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if set("abc") <= set(words[i:j])}
+        return {(i, j) for i, j in holds if j - i <= 6 and (i + 1, j) not in holds and (i, j - 1) not in holds}
+
+    assert sorted((keys[r.text_key], r.start, r.end) for r in got) == sorted((i, *s) for i, t in texts.items() for s in minimal(t.split()))
+
+
+def test_phrases_that_repeat_themselves(frame):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices("ab", [9, 1], k=rng.randrange(200))) for i in range(15)}
+    texts |= {20: "x " * 60, 21: "u v " * 30, 22: None}
+    items = {i: " ".join(rng.choices("ab", [9, 1], k=rng.randrange(60))) for i in range(15)}
+    items |= {20: "x " * 25, 21: "x " * 9, 22: "v u " * 40, 23: "x " * 30 + "y " + "x " * 30}
+    got = phrase_index.phrase_hits(frame(list(texts.items()), "doc_id long, text string"), frame(list(items.items()), "item_id long, text string"))
+    want = brute.leaks(texts, items)
+    assert {r.doc_id: (r.leak.n_words, r.leak.n_hit, r.leak["items"]) for r in got.collect()} == {i: (w, h, sorted(ids)) for i, (w, h, ids) in want.items()}
+
+
+def test_phrases_in_20000_equal_words(frame):
+    start = time.monotonic()
+    docs = frame([(1, "word " * 20_000), (2, "word " * 9)], "doc_id long, text string")
+    items = frame([(1, "word " * 10_000), (2, "word " * 12 + "other")], "item_id long, text string")
+    got = {r.doc_id: r.leak for r in phrase_index.phrase_hits(docs, items).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1]["items"], got[2].n_hit) == (20_000, 20_000, ["1", "2"], 0)
+    assert time.monotonic() - start < 30
+
+
 def test_pieces_follow_the_pattern():
     rng, pattern = random.Random(1), regex.compile(public_tokenizers.PATTERN)
     assert bpe_fold.PATTERN == public_tokenizers.PATTERN
