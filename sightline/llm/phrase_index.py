@@ -146,15 +146,26 @@ def rarest(items: DataFrame, counts: DataFrame, window: int, terms: int) -> Data
     )
 
 
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+
+
 def alignments(index: DataFrame, items: DataFrame, picks: DataFrame) -> DataFrame:
-    """(text_key, item, shift): item placed at word ``shift`` of a text, with all rarest terms of a window in place."""
+    """(text_key, item, shift): item placed at word ``shift`` of a text, with all rarest terms of a window in place.
+
+    Places met are kept as bits by their number modulo 64, which tells the places of one
+    window apart; places of other windows may stand in for each other, so a few more alignments
+    come back than there are, and none less.
+    """
     wanted = picks.select("item", F.explode(F.array_distinct(F.flatten("picks"))).alias("at"))
     places = items.select("item", F.posexplode("words").alias("at", "term")).join(wanted, ["item", "at"])
-    shifted = index.join(places, "term").select("text_key", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
-    met = shifted.groupBy("text_key", "item", "shift").agg(F.collect_set("at").alias("found"))
+    shifted = index.join(places, "term").select("text_key", "item", (F.col("pos") - F.col("at")).alias("shift"), _bit(F.col("at")).alias("place"))
+    met = shifted.groupBy("text_key", "item", "shift").agg(F.bit_or("place").alias("found"))
+    bits = F.transform("picks", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda have, at: have.bitwiseOR(_bit(at))))
+    needed = picks.select("item", F.array_distinct(bits).alias("needed"))
     return (
-        met.join(picks.select("item", "picks"), "item")
-        .where(F.exists("picks", lambda p: F.size(F.array_except(p, "found")) == 0))
+        met.join(needed, "item")
+        .where(F.exists("needed", lambda n: n.bitwiseAND(F.col("found")) == n))
         .select("text_key", "item", "shift")
     )
 
