@@ -6,26 +6,32 @@ comment), the state behind it, and what statement is open there. In the last sca
 split reads its own statements and the tuples of a statement that began before, so
 that even one INSERT over the whole file is worked on by all tasks. The few tuples that
 splits share are put together from their parts.
+
+Tuples of plain values are matched and cut in runs. They are kept some at a time in one
+row until the statements that cannot be read are known.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.plans.shared import reliable, settle
+from sightline.plans.shared import scratch_path, settle
 from sightline.sources.split_text import in_order, located, stretches
 
 DIALECTS = ("standard", "mysql")
 BETWEEN, SINGLE, DOUBLE, TICK, COMMENT = range(5)
 OPENERS = {b"'": SINGLE, b'"': DOUBLE, b"`": TICK, b"/": COMMENT}
+CLOSERS = {SINGLE: b"'", DOUBLE: b'"', TICK: b"`", COMMENT: b"*/"}
 #: Bytes of an open statement that are handed on to the next split. A longer one without VALUES is no INSERT of rows.
 HEADER = 1 << 16
+#: Tuples that are kept in one row, and about how many bytes of them.
+TOGETHER, TOGETHER_BYTES = 64, 1 << 14
 #: MySQL's escapes in strings; before any other character the backslash is dropped.
 ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a", "%": "\\%", "_": "\\_"}
 SILENT = ("BEGIN", "COMMIT", "SET", "USE", "LOCK", "UNLOCK", "PRAGMA", "START")
@@ -49,39 +55,60 @@ class Lexer:
         self._close = {s: re.compile(p, re.S).match for s, p in ((SINGLE, single), (DOUBLE, double), (TICK, tick), (COMMENT, comment))}
         skipped = rb"%b|%b|/\*%b" % (strings, line, comment)
         self._code = re.compile(rb"(?:[^%b]++|%b|/(?!\*)|-(?!-))*+" % (special, skipped), re.S).match
-        self._marks = re.compile(rb"%b|[;()]|\bVALUES\b|['\"`]|/\*" % skipped, re.S | re.I).finditer
-        self._flat = re.compile(rb"\((?:[^()%b;]++|%b|/(?!\*)|-(?!-))*+\)" % (special, skipped), re.S).match
+        self._marks = re.compile(marks := rb"%b|[;()]|\bVALUES\b|['\"`]|/\*" % skipped, re.S | re.I).finditer
+        flat = rb"\((?:[^();%b]++|%b|/(?!\*)|-(?!-))*+\)" % (special, skipped)
+        self._flat = re.compile(flat, re.S).match
+        # From one flat pair of parentheses on, all that leaves the depth as it was.
+        self._sums = re.compile(rb"%b(?:[^();%b]++|%b|/(?!\*)|-(?!-)|%b)*+|%b" % (flat, special, skipped, flat, marks), re.S | re.I).finditer
+        ended = rb"(?:[^;%b]++|%b|/(?!\*)|-(?!-))*+;" % (special, skipped)
+        self.whole = re.compile(rb"(?:%b)*+" % ended, re.S).match
+        self.ended = re.compile(ended, re.S).findall
+        # A string, or a word that is one token but for a sign; more is left to ``tuple``.
+        word = rb"[+-]?+(?![0-9.]+[eE][0-9]+\b[^\s,)])[^\s'\"`(),;/#+-]++"
+        plain = rb"\(\s*+(?:'%b|%b)\s*+(?:,\s*+(?:'%b|%b)\s*+)*+\)" % (single, word, single, word)
+        self.run = re.compile(rb"(?:[\s,]*+%b)*+" % plain, re.S).match
+        self._cells = re.compile((rb"[(\s,]*+(?:'(%b)'|(%b))\s*+([,)])" % (single[:-1], word)).decode(), re.S | re.A).findall
         self._gap = re.compile(rb"(?:[\s,]++|%b|/\*%b)*+" % (line, comment), re.S).match
         self.tokens = re.compile(rb"%b|%b|/\*%b|[(),;]|[0-9.]+[eE][+-]?[0-9]+\b|[^\s'\"`(),;/-]+|[^\s]" % (strings, line, comment), re.S).finditer
 
+    def begin(self, text: bytes, state: int) -> int | None:
+        """Where the text is between tokens for the first time; None if nowhere."""
+        if state == BETWEEN:
+            return 0
+        end = self._close[state](text) if CLOSERS[state] in text else None
+        return None if end is None else end.end()
+
     def after(self, text: bytes, state: int) -> int:
         """The lexer's state behind the text."""
-        at = 0
-        if state != BETWEEN:
-            end = self._close[state](text)
-            if end is None:
-                return state
-            at = end.end()
+        at = self.begin(text, state)
+        if at is None:
+            return state
         end = self._code(text, at).end()
         return BETWEEN if end == len(text) else OPENERS[text[end : end + 1]]
 
-    def marks(self, text: bytes, state: int, at: int = 0) -> Iterator[tuple[bytes, int, int]]:
-        """(mark, begin, end) of semicolons, parentheses and VALUES in code, then (b"open", place, state) if the text ends inside of something."""
+    def marks(self, text: bytes, state: int, at: int = 0, runs: bool = False) -> Iterator[tuple[bytes, int, int]]:
+        """(mark, begin, end) of semicolons, parentheses and VALUES in code, then (b"open", place, state) if the text ends inside of something.
+
+        With ``runs``, pairs of parentheses without others inside are left out.
+        """
         if state != BETWEEN:
             end = self._close[state](text, at)
             if end is None:
                 yield b"open", at, state
                 return
             at = end.end()
-        for m in self._marks(text, at):
-            t = m[0]
-            if len(t) == 1 and t in b";()":
-                yield t, m.start(), m.end()
-            elif t in (b"'", b'"', b"`", b"/*"):
-                yield b"open", m.start(), OPENERS[t[:1]]
-                return
-            elif len(t) == 6 and t[:1] in b"vV":
-                yield b"VALUES", m.start(), m.end()
+        for found in (self._sums if runs else self._marks)(text, at):
+            run = len(found[0]) > 1 and found[0][:1] == b"("
+            inside = (found,) if not run else self._marks(text, found.start(), found.end()) if b"VALUES" in found[0].upper() else ()
+            for m in inside:
+                t = m[0]
+                if len(t) == 1 and t in b";()":
+                    yield t, m.start(), m.end()
+                elif t in (b"'", b'"', b"`", b"/*"):
+                    yield b"open", m.start(), OPENERS[t[:1]]
+                    return
+                elif len(t) == 6 and t[:1] in b"vV":
+                    yield b"VALUES", m.start(), m.end()
 
     def bare(self, text: bytes) -> bytes:
         """Text without comments."""
@@ -116,6 +143,18 @@ class Lexer:
                 out[-1].append(t)
         return [self.value(v) for v in out]
 
+    def plain(self, text: bytes) -> list[list[str | None]]:
+        """The values of each tuple of a run."""
+        decoded = text.decode("utf-8", "replace")
+        found = self._cells(decoded)
+        if self.dialect == "mysql" and "\\" in decoded:
+            found = [(self.value([f"'{s}'"]) if "\\" in s or "'" in s else s, w, end) for s, w, end in found]
+        elif "''" in decoded:
+            found = [(s.replace("''", "'"), w, end) for s, w, end in found]
+        cells = [s if not w else None if w.upper() == "NULL" else w for s, w, _ in found]
+        ends = [i for i, x in enumerate(found, 1) if x[2] == ")"]
+        return [cells[a:b] for a, b in zip([0, *ends], ends)]
+
     def insert(self, header: bytes) -> tuple[str, list[str] | None] | None:
         """Table and columns of what stands in front of a statement's tuples."""
         words = self.words(header)
@@ -159,20 +198,24 @@ class Summary:
         self.header, self.rows = b"", False
 
     def feed(self, text: bytes) -> None:
-        at, state = 0, BETWEEN
-        for mark, begin, end in self.lexer.marks(text, self.state):
-            if mark == b"open":
-                state = end
-            elif mark == b";":
-                self.statements += 1
+        at, state, begun = 0, BETWEEN, self.lexer.begin(text, self.state)
+        if begun is None:
+            state = self.state
+        else:  # what stands in front of the last semicolon is over
+            end = self.lexer.whole(text, begun).end()
+            if end > begun:
+                self.statements += len(self.lexer.ended(text, begun, end))
                 self.depth = self.low = 0
-                self.header, self.rows, at = b"", False, end
-            elif mark == b"VALUES":
-                if not self.rows:
-                    self.header, self.rows = (self.header + text[at:end])[: HEADER + 1], True
-            else:
-                self.depth += 1 if mark == b"(" else -1
-                self.low = min(self.low, self.depth)
+                self.header, self.rows, at, begun = b"", False, end, end
+            for mark, begin, end in self.lexer.marks(text, BETWEEN, begun, runs=True):
+                if mark == b"open":
+                    state = end
+                elif mark == b"VALUES":
+                    if not self.rows:
+                        self.header, self.rows = (self.header + text[at:end])[: HEADER + 1], True
+                else:
+                    self.depth += 1 if mark == b"(" else -1
+                    self.low = min(self.low, self.depth)
         if not self.rows:
             self.header = (self.header + text[at:])[: HEADER + 1]
         self.state = state
@@ -186,24 +229,27 @@ CONTEXT = "state: int, depth: int, header: binary, rows: boolean, began: bigint,
 
 def contexts(spark: SparkSession, path: str, lexer: Lexer) -> dict:
     """{(file, start): what is open where the split begins}, for splits that begin inside a statement or end a file inside one."""
-    facts = "statements bigint, depth int, low int, header binary, rows boolean"
+    facts = "sums array<struct<statements: bigint, depth: int, low: int, header: binary, rows: boolean>>"
+    kept = pa.struct([("statements", pa.int64()), ("depth", pa.int32()), ("low", pa.int32()), ("header", pa.binary()), ("rows", pa.bool_())])
 
     def surveyed(states: dict | None):
+        """Sums of a split that begins between tokens and of one that begins in a string, or twice those of the state it is known to begin in."""
+
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict = {}
             for file, start, rows in stretches(batches):
                 if (file, start) not in found:
-                    begin = BETWEEN if states is None else states.get((file, start), BETWEEN)
-                    found[file, start] = (Summary(lexer, begin), list(range(5)))
-                summary, behind = found[file, start]
+                    begins = (BETWEEN, SINGLE) if states is None else (states.get((file, start), BETWEEN),)
+                    found[file, start] = ([Summary(lexer, s) for s in begins], list(range(5)))
+                summaries, behind = found[file, start]
                 text = b"\n".join(rows.column(0).to_pylist()) + b"\n"
                 if states is None:
-                    behind[1:] = [lexer.after(text, s) for s in behind[1:]]
-                summary.feed(text)
-                behind[0] = summary.state
-            out = [{"file": f, "start": s, "behind": b, **x.row()} for (f, s), (x, b) in found.items()]
-            kinds = [("file", pa.string()), ("start", pa.int64()), ("behind", pa.list_(pa.int32())), ("statements", pa.int64()),
-                     ("depth", pa.int32()), ("low", pa.int32()), ("header", pa.binary()), ("rows", pa.bool_())]
+                    behind[2:] = [lexer.after(text, s) for s in behind[2:]]
+                for i, summary in enumerate(summaries):
+                    summary.feed(text)
+                    behind[i] = summary.state
+            out = [{"file": f, "start": s, "behind": b, "sums": [x.row() for x in (x[0], x[-1])]} for (f, s), (x, b) in found.items()]
+            kinds = [("file", pa.string()), ("start", pa.int64()), ("behind", pa.list_(pa.int32())), ("sums", pa.list_(kept))]
             yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
 
         return sums
@@ -217,7 +263,10 @@ def contexts(spark: SparkSession, path: str, lexer: Lexer) -> dict:
         if not inside_now:  # a statement that follows is the split's own
             state = dict(state, header=b"", began=split["start"], no=0)
         told = {k: state[k] for k in ("state", "depth", "header", "rows", "began", "no", "tuple_from")}
-        after = dict(state, state=split["behind"][0])
+        now = state["state"]
+        behind = split["behind"][0 if again else now]
+        split = split | split["sums"][min(now, SINGLE)]
+        after = dict(state, state=behind)
         if split["statements"]:
             after |= {"depth": split["depth"], "header": split["header"], "rows": split["rows"], "began": split["start"], "no": split["statements"]}
             here = True
@@ -236,12 +285,12 @@ def contexts(spark: SparkSession, path: str, lexer: Lexer) -> dict:
     first = located(spark, path).mapInArrow(surveyed(None), kind).persist()  # one row a split
     try:
         states = {(r["file"], r["start"]): r["state"] for r in in_order(first, ["behind"], lambda: {"state": BETWEEN}, lexed, "state: int")}
+        again = any(s > SINGLE for s in states.values())
         summed = first
-        if states:  # some splits begin in a quote or comment: what they hold is summed up again from there
+        if again:  # some splits begin in other quotes or a comment: what they hold is summed up again from there
             summed = located(spark, path).mapInArrow(surveyed(states), kind)
         begin = lambda: {"state": BETWEEN, "depth": 0, "header": b"", "rows": False, "began": 0, "no": 0, "tuple_from": None}
-        columns = ["behind", "statements", "depth", "low", "header", "rows"]
-        return {(r["file"], r["start"]): r.asDict() for r in in_order(summed, columns, begin, opened, CONTEXT)}
+        return {(r["file"], r["start"]): r.asDict() for r in in_order(summed, ["behind", "sums"], begin, opened, CONTEXT)}
     finally:
         first.unpersist()
 
@@ -252,7 +301,7 @@ def contexts(spark: SparkSession, path: str, lexer: Lexer) -> dict:
 class Reader:
     """The statements and tuples of one split, fed with its text piece by piece.
 
-    ``rows`` collects (kind, statement's split, number, table, names, cells, rest);
+    ``rows`` collects (kind, statement's split, number, table, names, tuples, rest);
     kinds are row, create and bad. ``parts`` collects the parts of tuples that other splits share.
     """
 
@@ -274,7 +323,7 @@ class Reader:
             self.mode, self.state, self.seen = "skip", c["state"], c["header"]
         else:
             self.mode, self.rest, self.seen = "head", c["header"], None
-        self.piece = b""
+        self.piece, self.singly = b"", 0
 
     def _next(self) -> None:
         self.no += 1
@@ -301,10 +350,22 @@ class Reader:
         if names is not None and len(names) != len(cells):
             self._bad(text)
         else:
-            self.rows.append(("row", *self.id, table, names, cells, None))
+            self.rows.append(("row", *self.id, table, names, [cells], None))
+
+    def _run(self, text: bytes) -> bool:
+        """Plain tuples, some to a row; False if one has the wrong length."""
+        tuples = self.lexer.plain(text)
+        table, names = self.table
+        if names is not None and any(len(t) != len(names) for t in tuples):
+            return False
+        step = max(1, min(TOGETHER, TOGETHER_BYTES * len(tuples) // len(text)))
+        for _, same in groupby(tuples, len):
+            listed = list(same)
+            self.rows += [("row", *self.id, table, names, listed[i : i + step], None) for i in range(0, len(listed), step)]
+        return True
 
     def feed(self, text: bytes) -> None:
-        text, at, self.rest = self.rest + text, 0, b""
+        text, at, self.rest, self.singly = self.rest + text, 0, b"", 0
         while at is not None:
             at = getattr(self, "_" + self.mode)(text, at)
 
@@ -324,6 +385,11 @@ class Reader:
         return None
 
     def _tuples(self, text: bytes, at: int) -> int | None:
+        if at >= self.singly:
+            end = self.lexer.run(text, at).end()
+            if end > at and self._run(text[at:end]):
+                return end
+            self.singly = end  # up to there, one tuple at a time
         at = self.lexer._gap(text, at).end()
         mark = text[at : at + 1]
         if mark == b";":
@@ -417,50 +483,44 @@ class Reader:
 
 
 FOUND = [("kind", pa.string()), ("began", pa.int64()), ("no", pa.int64()), ("table_name", pa.string()), ("names", pa.list_(pa.string())),
-         ("cells", pa.list_(pa.string())), ("rest", pa.string()), ("file", pa.string())]
-PARTS = [("tuple_from", pa.int64()), ("start", pa.int64()), ("began", pa.int64()), ("no", pa.int64()), ("table_name", pa.string()),
-         ("names", pa.list_(pa.string())), ("part", pa.binary()), ("file", pa.string())]
-FOUND_DDL = "kind string, began bigint, no bigint, table_name string, names array<string>, cells array<string>, rest string, file string"
-PARTS_DDL = "tuple_from bigint, start bigint, began bigint, no bigint, table_name string, names array<string>, part binary, file string"
+         ("tuples", pa.list_(pa.list_(pa.string()))), ("rest", pa.string()), ("tuple_from", pa.int64()), ("start", pa.int64()), ("part", pa.binary()),
+         ("width", pa.int32()), ("n", pa.int32()), ("file", pa.string())]
+FOUND_DDL = """kind string, began bigint, no bigint, table_name string, names array<string>, tuples array<array<string>>, rest string,
+    tuple_from bigint, start bigint, part binary, width int, n int, file string"""
 
 
-def units(spark: SparkSession, path: str, lexer: Lexer) -> DataFrame:
-    """Tuples, created tables and statements that cannot be read, each with its statement (file, began, no)."""
-    known = contexts(spark, path, lexer)
+def _told(reader: Reader, file: str) -> pa.RecordBatch:
+    """What a reader has collected, which it then forgets; n tuples of ``width`` values to a row."""
+    out = [(*r, None, None, None, len(r[5][0]) if r[5] else None, len(r[5] or ()), file) for r in reader.rows]
+    out += [("part", *p[2:6], None, None, p[0], p[1], p[6], None, 0, file) for p in reader.parts]
+    reader.rows.clear()
+    reader.parts.clear()
+    columns = zip(*out) if out else [()] * len(FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, FOUND)], [name for name, _ in FOUND])
 
-    def read(batches: Iterator[pa.RecordBatch], parts: bool) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(PARTS if parts else FOUND)
 
-        def told(reader: Reader, file: str) -> pa.RecordBatch:
-            rows = reader.parts if parts else reader.rows
-            out = [dict(zip(schema.names, (*r, file))) for r in rows]
-            rows.clear()
-            return pa.RecordBatch.from_pylist(out, schema)
+def stored(spark: SparkSession, path: str, lexer: Lexer) -> DataFrame:
+    """Tuples, created tables and statements that cannot be read, each with its statement (file, began, no), written once to shared storage."""
+    known = contexts(spark, path, lexer)
+    folder = scratch_path(spark, "dump")
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, reader = None, None
         for file, start, lines in chain(stretches(batches), [(None, None, None)]):
             if (file, start) != key:
                 if reader is not None:
                     reader.finish()
-                    yield told(reader, key[0])
+                    yield _told(reader, key[0])
                 key = (file, start)
                 reader = None if file is None else Reader(lexer, start, known.get(key))
             if reader is None:
                 continue
             for low in range(0, lines.num_rows, 2000):
                 reader.feed(b"\n".join(lines.column(0).slice(low, 2000).to_pylist()) + b"\n")
-                (reader.rows if parts else reader.parts).clear()
-                yield told(reader, file)
-
-    lines = located(spark, path)
-    whole = lines.mapInArrow(lambda batches: read(batches, False), FOUND_DDL)
-    if not any(c["tuple_from"] is not None for c in known.values()):
-        return whole
+                yield _told(reader, file)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(FOUND)
         for batch in batches:
-            out = []
             for r in batch.to_pylist():
                 reader = Reader(lexer, r["began"], None)
                 reader.id, reader.table, reader.mode = (r["began"], r["no"]), (r["table_name"], r["names"]), "tuples"
@@ -468,38 +528,53 @@ def units(spark: SparkSession, path: str, lexer: Lexer) -> DataFrame:
                 reader.feed(text)
                 if reader.rest.strip() or reader.mode != "tuples":  # the file ends inside it, or it is no tuple
                     reader._bad(text)
-                out += [dict(zip(schema.names, (*x, r["file"]))) for x in reader.rows]
-            yield pa.RecordBatch.from_pylist(out, schema)
+                yield _told(reader, r["file"])
 
-    parts = lines.mapInArrow(lambda batches: read(batches, True), PARTS_DDL)
+    located(spark, path).mapInArrow(read, FOUND_DDL).write.parquet(f"{folder}/whole")
+    whole = spark.read.schema(FOUND_DDL).parquet(f"{folder}/whole")
+    if not any(c["tuple_from"] is not None for c in known.values()):
+        return whole.where("kind <> 'part'")
     first = F.sort_array(F.collect_list(F.struct("start", "part"))).alias("parts")
-    joined = parts.groupBy("file", "tuple_from", "began", "no", "table_name", "names").agg(first)
-    return whole.unionByName(joined.select("file", "began", "no", "table_name", "names", "parts").mapInArrow(parse, FOUND_DDL))
+    joined = whole.where("kind = 'part'").groupBy("file", "tuple_from", "began", "no", "table_name", "names").agg(first)
+    joined.select("file", "began", "no", "table_name", "names", "parts").mapInArrow(parse, FOUND_DDL).write.parquet(f"{folder}/joined")
+    return spark.read.schema(FOUND_DDL).parquet(f"{folder}/whole", f"{folder}/joined").where("kind <> 'part'")
 
 
-def dump_rows(spark: SparkSession, path: str, dialect: str = "standard") -> DataFrame:
-    """One row per value tuple of INSERT statements: table_name, names, cells; per other statement, ``rest``.
+def units(spark: SparkSession, path: str, lexer: Lexer) -> DataFrame:
+    """``stored`` with a row for each tuple."""
+    return stored(spark, path, lexer).select("kind", "file", "began", "no", "table_name", "names", F.explode_outer("tuples").alias("cells"), "rest")
 
-    Quoted values may hold anything, doubled quotes included; with ``dialect="mysql"``
-    backslashes escape and are decoded. cells are the values' texts; an unquoted NULL is null.
-    names is null where a statement has no column list, unless the files create the
-    table. ``rest`` holds the beginning of what is neither INSERT, CREATE, comment nor
-    transaction keyword; a statement with a tuple of the wrong length or with
-    anything behind its tuples is left out whole. The rows found are written once to shared storage.
-    """
-    found = reliable(units(spark, path, Lexer(dialect)))
+
+def dump_runs(spark: SparkSession, path: str, dialect: str = "standard") -> DataFrame:
+    """``dump_rows`` with several tuples of a table to a row: table_name, names, n, width, tuples, rest."""
+    found = stored(spark, path, Lexer(dialect))
     statement = ["file", "began", "no"]
     rows = found.where("kind = 'row'")
     created = found.where("kind = 'create'").groupBy(F.col("table_name").alias("created")).agg(F.min_by("names", F.struct(*statement)).alias("columns"))
     settled, fits = settle(created)
     rows = rows.join(F.broadcast(settled) if fits else settled, F.lower("table_name") == F.col("created"), "left")
     rows = rows.withColumn("names", F.coalesce("names", "columns")).drop("created", "columns")
-    odd = F.col("names").isNotNull() & (F.size("names") != F.size("cells"))
     failed = found.where("kind = 'bad'").select(*statement, "rest")
-    failed = failed.unionByName(rows.where(odd).select(*statement, F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit("NULL"))), ", ").substr(1, 200).alias("rest")))
+    odd = rows.where(F.col("names").isNotNull() & (F.size("names") != F.col("width")))
+    if not odd.isEmpty():
+        told = F.transform("tuples", lambda t: F.array_join(F.transform(t, lambda c: F.coalesce(c, F.lit("NULL"))), ", ").substr(1, 200))
+        failed = failed.unionByName(odd.select(*statement, F.array_max(told).alias("rest")))
     failed = failed.groupBy(*statement).agg(F.max("rest").alias("rest"))
     settled, fits = settle(failed)
     good = rows.join(F.broadcast(settled.select(*statement)) if fits else settled.select(*statement), statement, "left_anti")
-    good = good.select("table_name", "names", "cells", F.lit(None).cast("string").alias("rest"))
-    none = [F.lit(None).cast(t).alias(n) for t, n in (("string", "table_name"), ("array<string>", "names"), ("array<string>", "cells"))]
-    return good.unionByName(settled.select(*none, "rest"))
+    columns = [("table_name", "string"), ("names", "array<string>"), ("n", "int"), ("width", "int"), ("tuples", "array<array<string>>")]
+    good = good.select(*[name for name, _ in columns], F.lit(None).cast("string").alias("rest"))
+    return good.unionByName(settled.select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns], "rest"))
+
+
+def dump_rows(spark: SparkSession, path: str, dialect: str = "standard") -> DataFrame:
+    """One row per value tuple of INSERT statements: table_name, names, cells; per other statement, ``rest``.
+
+    Quoted values may hold anything, doubled quotes included; with ``dialect="mysql"``
+    backslashes escape and are decoded. cells are the values' texts; an unquoted NULL is null.
+    names is null where a statement has no column list, unless the files create the
+    table. ``rest`` holds the beginning of what is neither INSERT, CREATE, comment nor
+    transaction keyword; a statement with a tuple of the wrong length or with
+    anything behind its tuples is left out whole. The rows found are written once to shared storage.
+    """
+    return dump_runs(spark, path, dialect).select("table_name", "names", F.explode_outer("tuples").alias("cells"), "rest")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.sources.dump import dump_rows
+from sightline.sources.dump import dump_rows, dump_runs
 
 # A statement holding one of these is never run.
 FORBIDDEN = (
@@ -99,27 +99,27 @@ def sql_dump_load(
     Each statement's values go by its own column list; columns it doesn't list are
     null. Statements that cannot be read are counted in a warning.
     """
-    rows = dump_rows(spark, path, dialect)
+    rows = dump_runs(spark, path, dialect)
     left = rows.where("rest is not null").count()
     if left and warnings is not None:
         warnings.append(f"Skipped {left} statements that could not be read")
     rows = rows.where("rest is null")
     if table is None:
-        sizes = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+        sizes = rows.groupBy("table_name").agg(F.sum("n").alias("n"))
         best = sizes.orderBy(F.desc("n"), "table_name").first()
         if best is None:
             raise ValueError("SQL produced no data rows")
         table = best["table_name"]
     chosen = rows.where(F.col("table_name") == table)
-    # Lists of column names: as many as the dump has different ones.
-    lists = chosen.groupBy("names").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("width"))
-    lists = lists.orderBy(F.desc("n"), "names").collect()
     if schema is None:
+        # Lists of column names: as many as the dump has different ones.
+        lists = chosen.groupBy("names").agg(F.sum("n").alias("n"), F.max("width").alias("width"))
+        lists = lists.orderBy(F.desc("n"), "names").collect()
         names = list(dict.fromkeys(n for r in lists for n in (r["names"] or [f"c{i}" for i in range(r["width"])])))
         schema = ", ".join(f"`{n}` string" for n in names)
     fields = T.StructType.fromDDL(schema).fields
     # Without any list, values go by position.
-    places = F.coalesce("names", F.array(*[F.lit(f.name) for f in fields]))
-    at = lambda f: F.get("cells", (F.array_position(F.transform(places, F.lower), f.name.lower()) - 1).cast("int"))
-    found = [F.when(F.array_contains(F.transform(places, F.lower), f.name.lower()), at(f)) for f in fields]
-    return chosen.select(*[c.try_cast(f.dataType).alias(f.name) for c, f in zip(found, fields)])
+    places = F.transform(F.coalesce("names", F.array(*[F.lit(f.name) for f in fields])), F.lower)
+    at = [F.when(F.array_contains(places, f.name.lower()), (F.array_position(places, f.name.lower()) - 1).cast("int")).alias(f"at{i}") for i, f in enumerate(fields)]
+    tuples = chosen.select(*at, F.explode("tuples").alias("cells"))
+    return tuples.select(*[F.get("cells", F.col(f"at{i}")).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
