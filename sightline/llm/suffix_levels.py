@@ -11,7 +11,8 @@ anchor: the place of the least hash among its first WINDOW places. Equal strings
 have their anchors at equal offsets, so two strings can only be equal if their
 anchors' suffixes share at least RIGHT bytes (``key``). For each anchor an entry holds
 the range of offsets of its strings and a fingerprint ``cls`` of all bytes that these
-strings cover. If all entries of a key have one fingerprint, all their strings are
+strings cover. Equal anchors of a text that follow each other closely, as in a phrase said
+over and over, are one entry with its first and last place. If all entries of a key have one fingerprint, all their strings are
 repeated; otherwise the bytes around one entry of each fingerprint are compared.
 
 Texts are known by hash and length of their content. A text that stands in several
@@ -45,7 +46,7 @@ PAIRS = 48
 #: Bits of the filter of entries whose bytes are compared: 4 MB, however many there are.
 FILTER_BITS = 1 << 25
 
-ENTRY = "head long, key long, cls long, text_key long, size int, pos int, low int, high int"
+ENTRY = "head long, key long, cls long, text_key long, size int, pos int, last int, times int, low int, high int"
 ENTRY_NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 IDENTITY = ["key", "cls", "low", "high"]
 
@@ -63,11 +64,15 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Entries of some texts: text index, place of the anchor, offsets of its strings, key and fingerprint."""
+    """Entries of some texts: text index, places of the anchor, offsets of its strings, key and fingerprint.
+
+    Anchors of a text that are equal in all but place, each at most LENGTH behind the one
+    before, are one entry with first and last place and number: what their strings cover has no gap.
+    """
     sizes = np.diff(offsets)
     none = np.zeros(0, np.int64)
     if not (sizes >= LENGTH).any():
-        return {k: none for k in ("text", "pos", "low", "high", "key", "cls", "head")}
+        return {k: none for k in ("text", "pos", "last", "times", "low", "high", "key", "cls", "head")}
     prefix = W.prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     hashes = W.range_hash(prefix, at, at + GRAM)
@@ -84,12 +89,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     last = np.append(first[1:], len(begins)) - 1
     p, low, high = own[first], own[first] - begins[last], own[first] - begins[first]
     text = np.searchsorted(offsets, p, "right") - 1
+    key, cls = W.range_hash(prefix, p, p + RIGHT), W.range_hash(prefix, p - high, p - low + LENGTH)
+    order = np.lexsort((p, high, low, cls, key))
+    near = (np.diff(p[order]) <= LENGTH) & (np.diff(text[order]) == 0)
+    for same in (key, cls, low, high):
+        near &= same[order[1:]] == same[order[:-1]]
+    run = np.flatnonzero(np.concatenate([[True], ~near]))
+    times = np.diff(np.append(run, len(p)))
+    end = p[order[run + times - 1]]
+    back = np.argsort(order[run])  # in the order of places
+    one, end, times = order[run][back], end[back], times[back]
+    p, low, high, text, key, cls = (x[one] for x in (p, low, high, text, key, cls))
     head = np.zeros(len(p), np.int64)
     for j in range(7):  # seven bytes keep the order of suffixes in a signed number
         head = head << 8 | data[p + j]
     return {
-        "text": text, "pos": p - offsets[text], "low": low, "high": high, "head": head,
-        "key": W.range_hash(prefix, p, p + RIGHT).view(np.int64), "cls": W.range_hash(prefix, p - high, p - low + LENGTH).view(np.int64),
+        "text": text, "pos": p - offsets[text], "last": end - offsets[text], "times": times, "low": low, "high": high, "head": head,
+        "key": key.view(np.int64), "cls": cls.view(np.int64),
     }
 
 
@@ -107,7 +123,7 @@ def entries(texts: DataFrame) -> DataFrame:
             keys, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             for a, b, data, offsets in W.slices(batch.column(2)):
                 e = anchors(data, offsets)
-                columns = [e["head"], e["key"], e["cls"], keys[a:b][e["text"]], sizes[a:b][e["text"]]] + [e[c].astype(np.int32) for c in ("pos", "low", "high")]
+                columns = [e["head"], e["key"], e["cls"], keys[a:b][e["text"]], sizes[a:b][e["text"]]] + [e[c].astype(np.int32) for c in ENTRY_NAMES[5:]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ENTRY_NAMES)
 
     return texts.where(F.col("size") >= LENGTH).mapInArrow(find, ENTRY)
@@ -155,7 +171,7 @@ class SuffixFamily:
         rows = entries(texts).repartition(self.buckets, "key").dropDuplicates(["key", "text_key", "size", "pos"])
         self.fresh = self._store(rows)
         fresh = self.spark.table(self.fresh)
-        keys = fresh.groupBy("key").agg(F.count("*").alias("n"))
+        keys = fresh.groupBy("key").agg(F.sum("times").alias("n"))
         partners = [keys.where("n > 1").select("key")]
         parts = []
         for table in self.levels.values():
@@ -216,7 +232,7 @@ def contexts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
                 left = [raw[p - h : p][::-1] for p, h in zip(at.tolist(), e["high"][take].tolist())]
                 right = [raw[p : p - low + LENGTH] for p, low in zip(at.tolist(), e["low"][take].tolist())]
                 columns = [pa.array(c) for c in (e["key"][take], e["cls"][take], key[take], sizes[a:b][e["text"]][take])]
-                columns += [pa.array(e[c][take].astype(np.int32)) for c in ("pos", "low", "high")] + [pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+                columns += [pa.array(e[c][take].astype(np.int32)) for c in ENTRY_NAMES[5:]] + [pa.array(left, pa.binary()), pa.array(right, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*ENTRY_NAMES[1:], "left", "right"])
 
     rows = texts.where(F.col("size") >= LENGTH).mapInArrow(find, kind)
@@ -337,7 +353,7 @@ def repeated_ranges(texts: DataFrame, found: DataFrame) -> DataFrame:
     ``found``: distinct matching entries. Strings at offsets between least and most
     cover the same bytes whether each of them is repeated or not.
     """
-    classes = found.groupBy(*IDENTITY).agg(F.count("*").alias("n"), F.min(F.struct("text_key", "size", "pos")).alias("one"))
+    classes = found.groupBy(*IDENTITY).agg(F.sum("times").alias("n"), F.min(F.struct("text_key", "size", "pos")).alias("one"))
     classes = reliable(classes.select(*IDENTITY, "n", "one.*"))
     kinds = classes.groupBy("key").agg(F.count("*").alias("kinds"))
     full = classes.where("n > 1").select(*IDENTITY, F.col("low").alias("least"), F.col("high").alias("most"))
@@ -396,7 +412,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "repeats", ba
     family.drop()
     ranges = repeated_ranges(texts, found)
     hits = found.join(ranges, IDENTITY).select(
-        "text_key", "size", (F.col("pos") - F.col("most")).alias("begin"), (F.col("pos") - F.col("least") + LENGTH).alias("end")
+        "text_key", "size", (F.col("pos") - F.col("most")).alias("begin"), (F.col("last") - F.col("least") + LENGTH).alias("end")
     )
     copies = texts.where(F.col("size") >= LENGTH).groupBy("text_key", "size").count().where("count > 1")
     copies = copies.select("text_key", "size", F.lit(0).alias("begin"), F.col("size").alias("end"))

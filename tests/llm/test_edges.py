@@ -148,6 +148,23 @@ def test_large_repeat_groups_agree(spark, frame, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
 
 
+def test_phrases_said_over_and_over(spark, frame):
+    """A phrase repeated in a text is one entry of it, not one for each time; the rows stay those of brute force."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    texts = {0: "one phrase " * 300, 1: letters(50) + "one phrase " * 300 + letters(90), 2: "x" * 3000, 3: letters(500) + "x" * 401}
+    for i, period in enumerate((2, 7, 150, 301, 399, 400, 401, 450), 4):
+        phrase = letters(period)
+        parts = [letters(rng.randrange(20)), phrase * (1300 // period + 1), letters(rng.choice((3, 350, 500))), phrase * (900 // period + 2)]
+        texts[i] = "".join(parts)[: -rng.randrange(1, 5)]
+        texts[i + 20] = letters(30) + phrase * (410 // period + 1) + letters(10)
+    rows = frame(list(texts.items()), "doc_id long, text string")
+    got = suffix_levels.remove_repeats(rows).select("doc_id", "repeats.*").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute.repeats(texts)
+    over = suffix_levels.entries(suffix_levels._texts(rows.where("doc_id in (0, 2)"), "text"))
+    assert over.count() < 20 and over.agg(F.sum("times")).first()[0] > 2800
+
+
 def test_suffix_family_grows_by_levels(spark, frame):
     family = suffix_levels.SuffixFamily(spark, 4)
     rng = random.Random(6)
