@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,10 @@ from sightline.plans.shared import reliable, scratch_path
 #: Bytes of a repeated string, places among which its anchor is chosen, bytes hashed at a place.
 LENGTH, WINDOW, GRAM = 400, 301, 16
 RIGHT = LENGTH - WINDOW + 1
+#: Bytes of text whose anchors a task finds at once (about 100 bytes of arrays each); a longer text is worked on alone.
+SLICE = 1 << 18
+#: Bytes of an Arrow batch of texts; by rows alone, 10,000 texts would be one, in several copies on either side.
+ARROW_BYTES = 4 << 20
 #: Batches that a whole corpus is cut into, by hash.
 BATCHES = 4
 #: Entries of one key with different fingerprints that one task compares; more are compared string by string.
@@ -121,7 +126,7 @@ def entries(texts: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for a, b, data, offsets in W.slices(batch.column(2)):
+            for a, b, data, offsets in W.slices(batch.column(2), SLICE):
                 e = anchors(data, offsets)
                 columns = [e["head"], e["key"], e["cls"], keys[a:b][e["text"]], sizes[a:b][e["text"]]] + [e[c].astype(np.int32) for c in ENTRY_NAMES[5:]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ENTRY_NAMES)
@@ -222,7 +227,7 @@ def contexts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
         bits = np.frombuffer(bitmap, np.uint8)
         for batch in batches:
             keys, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for a, b, data, offsets in W.slices(batch.column(2)):
+            for a, b, data, offsets in W.slices(batch.column(2), SLICE):
                 e = anchors(data, offsets)
                 key = keys[a:b][e["text"]]
                 bit = (e["cls"] ^ key ^ (e["pos"] << 11)) & (FILTER_BITS - 1)
@@ -376,22 +381,41 @@ CUT = T.StructType(
 )
 
 
-@F.arrow_udf(CUT)
-def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    rows = []
-    for text, found in zip(texts, spans):
-        raw = text.as_py() or b""
-        merged: list[list[int]] = []
-        for s in sorted((x["begin"], x["end"]) for x in found.as_py() or ()):
-            if merged and s[0] <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], s[1])
-            else:
-                merged.append(list(s))
-        edges = [0, *[x for s in merged for x in s], len(raw)]
-        kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-        rows.append((len(raw), len(raw) - len(kept), len(merged), merged, kept))
-    kinds = [pa.int64()] * 3 + [pa.list_(pa.list_(pa.int32())), pa.binary()]
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], CUT.names)
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What Spark runs within this sends texts to Python by ARROW_BYTES; the session's setting returns afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def runs(ranges: DataFrame) -> DataFrame:
+    """(text_key, size, n_removed, spans) of each text: the maximal runs of its ranges in order."""
+    text = ["text_key", "size"]
+    order = Window.partitionBy(*text).orderBy("begin")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = ranges.withColumn("opens", F.when(F.col("begin") <= before, 0).otherwise(1))
+    rows = opens.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = rows.groupBy(*text, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return merged.groupBy(*text).agg(F.sum(F.col("end") - F.col("begin")).alias("n_removed"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+
+def _cut(text: Column, removed: Column, spans: Column) -> Column:
+    """Struct CUT of a text as bytes and its maximal runs; Spark cuts it, so no task holds more than one row's pieces."""
+    spans = F.coalesce(spans, F.array().cast("array<struct<begin int, end int>>"))
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["begin"]), F.array(F.length(text)))
+    pieces = F.zip_with(begins, ends, lambda a, b: F.substring(text, a + 1, b - a).cast("string"))
+    kept = F.array_join(pieces, "").cast("binary")  # joined byte by byte, whatever the pieces hold
+    columns = [F.length(text), F.coalesce(removed, F.lit(0)), F.size(spans), F.transform(spans, lambda s: F.array(s["begin"], s["end"])), kept]
+    return F.struct(*[c.alias(n) for c, n in zip(columns, CUT.names)]).cast(CUT)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", out: str = "repeats", batches: int = BATCHES) -> DataFrame:
@@ -405,22 +429,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "repeats", ba
     """
     spark = docs.sparkSession
     texts = _texts(docs, text)
-    family = SuffixFamily(spark)
-    for i in range(batches):
-        family.add(texts.where(F.pmod("text_key", F.lit(batches)) == i))
-    found = reliable(family.matches().dropDuplicates(["key", "text_key", "size", "pos"]))
-    family.drop()
-    ranges = repeated_ranges(texts, found)
+    with _small_batches(spark):  # every pass over texts is run here
+        family = SuffixFamily(spark)
+        for i in range(batches):
+            family.add(texts.where(F.pmod("text_key", F.lit(batches)) == i))
+        found = reliable(family.matches().dropDuplicates(["key", "text_key", "size", "pos"]))
+        family.drop()
+        ranges = repeated_ranges(texts, found)
     hits = found.join(ranges, IDENTITY).select(
         "text_key", "size", (F.col("pos") - F.col("most")).alias("begin"), (F.col("last") - F.col("least") + LENGTH).alias("end")
     )
     copies = texts.where(F.col("size") >= LENGTH).groupBy("text_key", "size").count().where("count > 1")
     copies = copies.select("text_key", "size", F.lit(0).alias("begin"), F.col("size").alias("end"))
-    spans = hits.unionByName(copies).groupBy("text_key", "size").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    spans = runs(hits.unionByName(copies))
     columns = [c for c in docs.columns if c.lower() != out.lower()]
     plain = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), plain.alias("bytes"))
     rows = rows.withColumn("text_key", F.xxhash64("bytes")).withColumn("size", F.length("bytes")).drop("bytes")
     joined = rows.join(spans, ["text_key", "size"], "left")
-    cut = joined.select("row", _cut.asNondeterministic()(F.col(f"row.`{text}`").cast("binary"), "found").alias("cut"))
+    content = F.coalesce(F.col(f"row.`{text}`").cast("binary"), F.lit(b""))
+    cut = joined.select("row", _cut(content, F.col("n_removed"), F.col("spans")).alias("cut"))
     return cut.select("row.*", F.col("cut").alias(out))

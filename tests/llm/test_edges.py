@@ -3,6 +3,7 @@
 import base64
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -165,6 +166,42 @@ def test_phrases_said_over_and_over(spark, frame):
     assert over.count() < 20 and over.agg(F.sum("times")).first()[0] > 2800
 
 
+def test_texts_are_cut_row_by_row(spark, frame, capsys, monkeypatch):
+    """The last step holds no batch of texts for Python: Spark cuts each row by runs merged beforehand, at any byte."""
+    rng = random.Random(12)
+    raw = lambda n: rng.randbytes(n)
+    a, b, c = raw(500), raw(400), "é漢".encode() * 100
+    texts = {0: a + b + c, 1: raw(3) + b + raw(5) + c[1:], 2: b + raw(1) + a[:450] + a[40:] + raw(2), 3: raw(700), 4: None, 5: b"", 6: a + b + c, 7: b, 8: raw(1) + c}
+    rows = frame([(i, t, "x", "y") for i, t in texts.items()], "doc_id long, text binary, spans string, n_removed string")
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, sent, put = spark.conf.get(setting, None), [], suffix_levels.reliable
+    monkeypatch.setattr(suffix_levels, "reliable", lambda df: sent.append(spark.conf.get(setting)) or put(df))
+    cut = suffix_levels.remove_repeats(rows)
+    assert set(sent) == {str(suffix_levels.ARROW_BYTES)} and spark.conf.get(setting, None) == before
+    cut.explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "EvalPython" not in plan
+    assert cut.schema["repeats"].dataType == suffix_levels.CUT
+    got = {r.doc_id: r for r in cut.collect()}
+    seen = Counter(t[j : j + 400] for t in texts.values() if t for j in range(len(t) - 399))
+    for r in got.values():
+        assert [r.spans, r.n_removed] == ["x", "y"]
+        spans, t = r.repeats["spans"], r.text or b""
+        gone = sorted({k for j in range(len(t) - 399) if seen[bytes(t[j : j + 400])] > 1 for k in range(j, j + 400)})
+        begins, ends = [k for k in gone if k - 1 not in gone], [k + 1 for k in gone if k + 1 not in gone]
+        assert [tuple(s) for s in spans] == list(zip(begins, ends)) and r.repeats["n_spans"] == len(begins)
+        assert (r.repeats["n_bytes"], r.repeats["n_removed"]) == (len(t), len(gone))
+        assert bytes(r.repeats["kept"]) == bytes(x for k, x in enumerate(t) if k not in set(gone))
+
+
+def test_runs(spark):
+    ranges = [(1, 9, 0, 4), (1, 9, 4, 6), (1, 9, 7, 9), (1, 9, 1, 2), (2, 9, 5, 8), (2, 9, 5, 6), (2, 8, 0, 8), (2, 8, 3, 4)]
+    got = suffix_levels.runs(spark.createDataFrame(ranges, "text_key long, size int, begin int, end int")).collect()
+    assert {(r.text_key, r.size): (r.n_removed, [tuple(s) for s in r.spans]) for r in got} == {
+        (1, 9): (8, [(0, 6), (7, 9)]), (2, 9): (3, [(5, 8)]), (2, 8): (8, [(0, 8)]),
+    }
+
+
 def test_suffix_family_grows_by_levels(spark, frame):
     family = suffix_levels.SuffixFamily(spark, 4)
     rng = random.Random(6)
